@@ -27,10 +27,12 @@ def _curated(t):
 @query(
     "feedback_totals",
     """SELECT count(*) AS total_entries, count(*) FILTER (WHERE coalesce(human_value, '') <> coalesce(ocr_value, '')) AS total_corrected_fields,
- avg(confidence_score) AS average_confidence FROM e_feedback""",
+ round(avg(confidence_score), 9) AS average_confidence FROM e_feedback""",
 )
 def feedback_totals(t):
-    return FB.feedback_totals(t.feedback)
+    return FB.feedback_totals(t.feedback).withColumn(
+        "average_confidence", F.round("average_confidence", 9)
+    )
 
 
 @query(
@@ -103,10 +105,12 @@ _BUCKET = """CASE WHEN confidence_score < 0.2 THEN '0.00-0.20' WHEN confidence_s
     f"""WITH {_CURATED}, x AS (SELECT 'document_type' AS dimension, document_type AS label, confidence_score AS c FROM cur
  UNION ALL SELECT 'field_name', field_name, confidence_score FROM cur UNION ALL SELECT 'decision', coalesce(nullif(decision, ''), 'UNKNOWN'), confidence_score FROM cur
  UNION ALL SELECT 'reviewer', reviewer, confidence_score FROM cur UNION ALL SELECT 'confidence', {_BUCKET}, confidence_score FROM cur)
-SELECT dimension, label, count(*) AS records, avg(c) AS average_confidence FROM x GROUP BY 1, 2""",
+SELECT dimension, label, count(*) AS records, round(avg(c), 9) AS average_confidence FROM x GROUP BY 1, 2""",
 )
 def learning_statistics(t):
-    return FB.learning_statistics(_curated(t))
+    return FB.learning_statistics(_curated(t)).withColumn(
+        "average_confidence", F.round("average_confidence", 9)
+    )
 
 
 @query(

@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import vocab
+from dossier.session import spread
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: Tables whose rows cost enough to be worth spreading over all cores.
+_WORKED = {"lineitem", "orders", "events", "documents", "pages", "conversations", "customer"}
+
 _DOC_ID = (
     "((((l_orderkey * 200000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber) * 64"
     " + cast(l_quantity as bigint))"
@@ -130,7 +134,7 @@ _NORM = f"""CASE WHEN h % 9 = 0 THEN NULL WHEN h % 23 = 0 THEN '  ' ELSE CASE fi
    ELSE CASE WHEN h % 10 = 0 THEN 'OFFICE  1' ELSE 'OFFICE ' || cast(a % 50 as string) END END END END"""
 
 _FIELD_BASE = f"""SELECT d.document_id, d.application_id, d.document_type, f.field_no, f.field_name,
- (d.partkey * 31 + d.suppkey * 17 + f.field_no * 7) % 1000 AS h,
+ (d.partkey * 31 + d.suppkey * 17 + f.field_no * 7 + d.linenumber * 3) % 1000 AS h,
  d.application_id AS a,
  cast(10000000 + d.application_id * 13 + CASE WHEN (d.partkey + f.field_no) % 10 = 0 THEN 1 ELSE 0 END as string) AS acct,
  substr(cast(d.uploaded_at as string), 1, 10) AS d_iso,
@@ -292,8 +296,8 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in DRIVER_TABLES:
-            build = lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name in DRIVER_TABLES and f"e_{name}" not in ENTITIES:
+            build = lambda: self.source(name)
         elif f"e_{name}" in ENTITIES or name in ENTITIES:
             build = lambda: self._entity(name if name in ENTITIES else f"e_{name}")
         else:
@@ -304,7 +308,11 @@ class Tables:
 
     def source(self, name: str) -> DataFrame:
         """A driver table, also where an entity has the same name."""
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        key = "source:" + name
+        if key not in self._cache:
+            table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            self._cache[key] = spread(table) if name in _WORKED else table
+        return self._cache[key]
 
     def entity(self, name: str) -> DataFrame:
         return self._entity(f"e_{name}")

@@ -570,3 +570,285 @@ RECOMMENDATIONS = (
     ("COMPLETE_PENDING_REVIEW", "Complete the manual review of pending items."),
     ("NO_ACTION_REQUIRED", "No corrective action required."),
 )
+
+# ---------------------------------------------------------------- normalization
+# Fixed values.
+NORMALIZATION_VERSION = "1.0.0"
+BANK_ALIASES = {
+    "HBL": "HABIB BANK LIMITED",
+    "HABIB BANK": "HABIB BANK LIMITED",
+    "HABIB BANK LTD": "HABIB BANK LIMITED",
+    "HABIB BANK LIMITED": "HABIB BANK LIMITED",
+    "UBL": "UNITED BANK LIMITED",
+    "UNITED BANK": "UNITED BANK LIMITED",
+    "UNITED BANK LTD": "UNITED BANK LIMITED",
+    "UNITED BANK LIMITED": "UNITED BANK LIMITED",
+    "MCB": "MCB BANK LIMITED",
+    "MCB BANK": "MCB BANK LIMITED",
+    "MCB BANK LIMITED": "MCB BANK LIMITED",
+    "ABL": "ALLIED BANK LIMITED",
+    "ALLIED BANK": "ALLIED BANK LIMITED",
+    "ALLIED BANK LTD": "ALLIED BANK LIMITED",
+    "ALLIED BANK LIMITED": "ALLIED BANK LIMITED",
+    "MEEZAN BANK": "MEEZAN BANK LIMITED",
+    "MEEZAN BANK LTD": "MEEZAN BANK LIMITED",
+    "MEEZAN BANK LIMITED": "MEEZAN BANK LIMITED",
+    "NBP": "NATIONAL BANK OF PAKISTAN",
+    "NATIONAL BANK": "NATIONAL BANK OF PAKISTAN",
+    "NATIONAL BANK OF PAKISTAN": "NATIONAL BANK OF PAKISTAN",
+    "BOP": "BANK OF PUNJAB",
+    "BANK OF PUNJAB": "BANK OF PUNJAB",
+    "BANK ALFALAH": "BANK ALFALAH LIMITED",
+    "BANK ALFALAH LTD": "BANK ALFALAH LIMITED",
+    "BANK ALFALAH LIMITED": "BANK ALFALAH LIMITED",
+}
+BRANCH_ALIASES = {
+    "BR": "BRANCH",
+    "BRNCH": "BRANCH",
+    "B/O": "BRANCH OFFICE",
+    "H.O": "HEAD OFFICE",
+    "HO": "HEAD OFFICE",
+    "HEAD OFFICE": "HEAD OFFICE",
+    "ISB": "ISLAMABAD",
+    "LHR": "LAHORE",
+    "KHI": "KARACHI",
+    "KARACHI": "KARACHI",
+    "LAHORE": "LAHORE",
+    "ISLAMABAD": "ISLAMABAD",
+    "M. TOWN": "MODEL TOWN",
+    "MODEL TOWN": "MODEL TOWN",
+    "SADDAR": "SADDAR",
+    "GUJRAWALA": "GUJRANWALA",
+}
+FIELD_NORMALIZERS = {
+    "iban": "iban",
+    "account_number": "account_number",
+    "account_holder": "title",
+    "employee_name": "title",
+    "employer_name": "title",
+    "full_name": "title",
+    "taxpayer_name": "title",
+    "bank_name": "bank_name",
+    "document_number": "cnic",
+    "employee_id": "cnic",
+    "tax_reference_number": "cnic",
+    "date_of_birth": "date",
+    "issue_date": "date",
+    "expiry_date": "date",
+    "payment_date": "date",
+    "statement_period": "statement_period",
+    "salary_month": "salary_month",
+    "branch": "branch",
+    "branch_name": "branch",
+    "vendor_name": "vendor",
+    "payee": "vendor",
+}
+DEFAULT_NORMALIZER = "general_text"
+MONTHS = (
+    "january february march april may june july august september october november december"
+).split()
+
+# ---------------------------------------------------------------- analysis
+# Fixed values.
+ANALYSIS_VERSION = "1.0.0"
+EXPECTED_FIELDS = {
+    "BANK_STATEMENT": (
+        "account_holder",
+        "account_number",
+        "iban",
+        "bank_name",
+        "statement_period",
+        "opening_balance",
+        "closing_balance",
+        "total_credits",
+        "total_debits",
+        "currency",
+        "transaction_count",
+    ),
+    "PAYSLIP": (
+        "employee_name",
+        "employer_name",
+        "gross_salary",
+        "net_salary",
+        "salary_month",
+        "payment_date",
+        "employee_id",
+    ),
+    "ID_DOCUMENT": (
+        "full_name",
+        "date_of_birth",
+        "document_number",
+        "nationality",
+        "issue_date",
+        "expiry_date",
+    ),
+    "TAX_DOCUMENT": (
+        "taxpayer_name",
+        "tax_reference_number",
+        "tax_year",
+        "gross_income",
+        "total_tax",
+        "currency",
+    ),
+    BILATERAL: (
+        "organization_name",
+        "platform_name",
+        "transaction_charges",
+        "account_holder",
+        "account_number",
+        "iban",
+        "effective_date",
+    ),
+    AUTHORITY: (
+        "focal_person_name",
+        "focal_person_designation",
+        "organization_name",
+        "account_holder",
+        "account_number",
+        "iban",
+    ),
+    CERTIFICATE: (
+        "account_holder",
+        "account_number",
+        "iban",
+        "bank_name",
+        "branch_name",
+        "issue_date",
+    ),
+    TRIPARTITE: (
+        "party_1link",
+        "party_kpitb",
+        "party_subbiller",
+        "account_holder",
+        "account_number",
+        "branch_code",
+    ),
+    REQUIREMENT: ("digitization_intent_confirmed", "revenue_services_listed"),
+    ONE_LINK: ("organization_name", "account_number_or_iban", "account_holder", "bank_name"),
+    CNIC_FRONT: ("document_number", "full_name", "date_of_expiry"),
+    FORMAL_REQUEST: (
+        "organization_name",
+        "addressee",
+        "subject",
+        "date",
+        "focal_person_name",
+        "focal_person_designation",
+    ),
+}
+ANALYSIS_CRITICAL_FIELDS = {
+    "BANK_STATEMENT": ("account_number", "account_holder", "opening_balance", "closing_balance"),
+    "PAYSLIP": ("employee_name", "gross_salary", "net_salary", "salary_month"),
+    "ID_DOCUMENT": ("full_name", "date_of_birth", "document_number", "expiry_date"),
+    "TAX_DOCUMENT": ("taxpayer_name", "tax_reference_number", "tax_year", "gross_income"),
+    BILATERAL: ("organization_name", "account_number", "transaction_charges"),
+    AUTHORITY: ("focal_person_name", "focal_person_designation", "organization_name"),
+    CERTIFICATE: ("account_holder", "account_number", "iban"),
+    TRIPARTITE: (
+        "party_1link",
+        "party_kpitb",
+        "party_subbiller",
+        "account_holder",
+        "account_number",
+    ),
+    REQUIREMENT: ("digitization_intent_confirmed",),
+    ONE_LINK: ("organization_name",),
+    CNIC_FRONT: ("document_number",),
+    FORMAL_REQUEST: ("organization_name", "subject", "date"),
+}
+#: Validator of a field per document type; other expected fields need only be present.
+FIELD_VALIDATORS = {
+    "BANK_STATEMENT": {
+        "account_number": "account_number",
+        "iban": "iban_checksum",
+        "currency": "currency",
+        "opening_balance": "balance",
+        "closing_balance": "balance",
+        "statement_period": "period",
+        "transaction_count": "non_negative",
+    },
+    "PAYSLIP": {
+        "gross_salary": "amount",
+        "net_salary": "amount",
+        "salary_month": "salary_month",
+        "payment_date": "date_not_future",
+    },
+    "ID_DOCUMENT": {
+        "date_of_birth": "date_not_future",
+        "issue_date": "date",
+        "expiry_date": "date",
+        "document_number": "document_number",
+    },
+    "TAX_DOCUMENT": {
+        "tax_year": "tax_year",
+        "gross_income": "amount",
+        "total_tax": "amount",
+        "currency": "currency",
+    },
+    BILATERAL: {
+        "account_number": "account_number",
+        "iban": "iban_checksum",
+        "effective_date": "date",
+    },
+    AUTHORITY: {"account_number": "account_number", "iban": "iban_checksum"},
+    CERTIFICATE: {
+        "account_number": "account_number",
+        "iban": "iban_checksum",
+        "issue_date": "date_not_future",
+    },
+    TRIPARTITE: {"account_number": "account_number"},
+    FORMAL_REQUEST: {"date": "date_not_future"},
+}
+#: Reader-facing names that are not simply the field name in title case.
+FIELD_LABELS = {
+    "account_holder": "Account holder",
+    "account_number": "Account number",
+    "iban": "IBAN",
+    "bank_name": "Bank name",
+    "statement_period": "Statement period",
+    "opening_balance": "Opening balance",
+    "closing_balance": "Closing balance",
+    "total_credits": "Total credits",
+    "total_debits": "Total debits",
+    "currency": "Currency",
+    "transaction_count": "Transaction count",
+    "employee_name": "Employee name",
+    "employer_name": "Employer name",
+    "gross_salary": "Gross salary",
+    "net_salary": "Net salary",
+    "salary_month": "Salary month",
+    "payment_date": "Payment date",
+    "employee_id": "Employee id",
+    "full_name": "Full name",
+    "date_of_birth": "Date of birth",
+    "document_number": "Document number",
+    "nationality": "Nationality",
+    "issue_date": "Issue date",
+    "expiry_date": "Expiry date",
+    "taxpayer_name": "Taxpayer name",
+    "tax_reference_number": "Tax reference number",
+    "tax_year": "Tax year",
+    "gross_income": "Gross income",
+    "total_tax": "Total tax",
+    "organization_name": "Organization name",
+    "platform_name": "Platform name",
+    "transaction_charges": "Transaction charges",
+    "effective_date": "Effective date",
+    "focal_person_name": "Focal person name",
+    "focal_person_designation": "Focal person designation",
+    "branch_name": "Branch name",
+    "branch_code": "Branch",
+    "party_1link": "1-Link party",
+    "party_kpitb": "KPITB party",
+    "party_subbiller": "Sub-biller party",
+    "digitization_intent_confirmed": "Digitization intent confirmation",
+    "revenue_services_listed": "Revenue-generating services list",
+    "addressee": "Addressee",
+    "subject": "Subject",
+    "date": "Date",
+}
+SCORE_WEIGHTS = (0.5, 0.3, 0.2)
+SCORE_CUTOFFS = (("VERIFIED", 0.8), ("PARTIALLY_VERIFIED", 0.6), ("NEEDS_REVIEW", 0.4))
+
+
+def field_label(name: str) -> str:
+    return FIELD_LABELS.get(name, name.replace("_", " ").title())
