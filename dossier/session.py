@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,23 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in
+    ``spark.checkpoint.dir``, or a fresh temporary one where that is unset, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or tempfile.mkdtemp(prefix="dossier-")
 
-    The folder comes from ``spark.checkpoint.dir``; only when that is unset, as
-    in tests, a fresh temporary one is used.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and continue from that table.
+
+    Used where several branches read the same derived rows: lineage is cut, a lost
+    executor only costs re-reading files, and each branch scans just its own columns.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="dossier-ckpt-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/dossier-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

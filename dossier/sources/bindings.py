@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.session import spread
+from dossier.session import spread, stored
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -317,6 +317,13 @@ class Tables:
     def entity(self, name: str) -> DataFrame:
         return self._entity(f"e_{name}")
 
+    def table(self, name: str) -> DataFrame:
+        """An entity written out once, for queries that read it in several branches."""
+        key = "stored:" + name
+        if key not in self._cache:
+            self._cache[key] = stored(self.entity(name))
+        return self._cache[key]
+
     def _entity(self, name: str) -> DataFrame:
         key = "entity:" + name
         if key not in self._cache:
