@@ -15,14 +15,22 @@ def lookup(col: Column, table: Mapping, default: Column | None = None) -> Column
     return found if default is None else F.coalesce(found, default)
 
 
-def blank(col: Column) -> Column:
-    """True when the text is null or holds no visible character."""
-    return ~F.coalesce(col.rlike(r"(?U)\S"), F.lit(False))
+#: Every character that counts as white space in Unicode, plus the ASCII separators.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only spaces."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
+def blank(col: Column) -> Column:
+    """True when the text is null or holds no visible character."""
+    return F.coalesce(strip(col) == "", F.lit(True))
 
 
 def sorted_present(flags: Iterable[tuple[str, Column]]) -> Column:

@@ -19,15 +19,6 @@ from dossier.functions.lit import blank, strip
 
 PASS, FAIL, WARNING, PENDING = vocab.RULE_STATUSES
 
-#: Columns of the candidate table used in verdicts.
-V = F.col  # short form for the expressions below
-
-
-class Verdict(NamedTuple):
-    """When a candidate decides its rule, and what it says then."""
-
-    status: Column
-    message: Column
 
 
 class ValueRule(NamedTuple):
@@ -41,18 +32,19 @@ class ValueRule(NamedTuple):
     category: str
     fields: tuple[str, ...]
     document_type: str | None
-    verdict: Verdict | None
+    verdict: Column | None
     passed: str
     related: tuple[str, ...]
 
 
-def verdict(*arms: tuple[Column, str, Column]) -> Verdict:
-    """Verdict from (test, status, message) arms, first true test first."""
-    status = message = None
-    for test, value, text in arms:
-        status = F.when(test, value) if status is None else status.when(test, value)
-        message = F.when(test, text) if message is None else message.when(test, text)
-    return Verdict(status, message)
+def verdict(*arms: tuple[Column, str, Column]) -> Column:
+    """(status, message) of a candidate that decides its rule, null for any other; the
+    first true test of the (test, status, message) arms counts."""
+    found = None
+    for test, status, text in arms:
+        made = F.struct(F.lit(status).alias("status"), text.alias("message"))
+        found = F.when(test, made) if found is None else found.when(test, made)
+    return found
 
 
 def with_values(fields: DataFrame) -> DataFrame:
@@ -73,46 +65,39 @@ def with_values(fields: DataFrame) -> DataFrame:
 
 
 def candidates(values: DataFrame, rules: Iterable[ValueRule]) -> DataFrame:
-    """Field rows paired with the rules that read them, with position inside the rule."""
-    rules = list(rules)
+    """Field rows paired with the rules that read them, as (rule_no, spot in the rule)."""
     spots = []
-    for r in rules:
-        names = r.fields or (None,)
-        for i, name in enumerate(names):
+    for no, r in enumerate(rules):
+        for i, name in enumerate(r.fields or (None,)):
             test = F.lit(True) if name is None else F.col("field_name") == name
             if r.document_type is not None:
                 test = test & (F.col("document_type") == r.document_type)
-            spots.append(
-                F.when(test, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(i).alias("spot")))
-            )
+            spots.append(F.when(test, F.struct(F.lit(no).alias("rule_no"), F.lit(i).alias("spot"))))
     paired = values.withColumn("_r", F.explode(F.array_compact(F.array(*spots))))
-    return paired.select(*values.columns, "_r.rule_id", "_r.spot")
+    return paired.select(*values.columns, "_r.rule_no", "_r.spot")
 
 
 def judged(cands: DataFrame, rules: Iterable[ValueRule]) -> DataFrame:
-    """Candidates with the status and message of the rule they decide (else null)."""
-    status = message = F.when(F.lit(False), F.lit(""))
-    for r in rules:
-        if r.verdict is None:
-            continue
-        arm = F.col("rule_id") == r.rule_id
-        status = status.when(arm, r.verdict.status)
-        message = message.when(arm, r.verdict.message)
-    return cands.withColumn("status", status).withColumn(
-        "message", F.when(F.col("status").isNotNull(), message)
-    )
+    """Candidates with ``found``, the verdict of the rule they decide (else null)."""
+    nothing = F.struct(F.lit("").alias("status"), F.lit("").alias("message"))
+    found = F.when(F.lit(False), nothing)
+    # Rules over every field see most candidates, so they are looked at first.
+    for no, r in sorted(enumerate(rules), key=lambda x: len(x[1].fields) > 0):
+        if r.verdict is not None:
+            found = found.when(F.col("rule_no") == no, r.verdict)
+    return cands.withColumn("found", found)
 
 
 def first_verdicts(rows: DataFrame) -> DataFrame:
     """Per (application, rule): rows seen, rows with a value, and the first deciding row."""
     order = F.struct("spot", "document_id", "field_name")
-    return rows.groupBy("application_id", "rule_id").agg(
+    return rows.groupBy("application_id", "rule_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if("present").alias("n_present"),
         F.count_if(F.coalesce("nv", F.lit("")) != "").alias("n_filled"),
         F.min_by(
-            F.struct("status", "message", "document_id", "field_name"),
-            F.when(F.col("status").isNotNull(), order),
+            F.struct("found.status", "found.message", "document_id", "field_name"),
+            F.when(F.col("found").isNotNull(), order),
         ).alias("first"),
     )
 
@@ -124,8 +109,9 @@ def every_rule(apps: DataFrame, rules: Iterable[tuple]) -> DataFrame:
             F.lit(r[0]).alias("rule_id"),
             F.lit(r[1]).alias("rule_name"),
             F.lit(r[2]).alias("rule_category"),
+            F.lit(no).alias("rule_no"),
         )
-        for r in rules
+        for no, r in enumerate(rules)
     ]
     return apps.select("application_id", F.explode(F.array(*cells)).alias("r")).select(
         "application_id", "r.*"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.session import tune
 from dossier.sources.bindings import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,12 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, root: fn(Tables(spark, root))
+
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            tune(spark)
+            return fn(Tables(spark, root))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return fn

@@ -34,6 +34,18 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Keep generated methods small enough for the JIT compiler.
+
+    HotSpot does not compile methods over 8000 bytecodes; the wide ``when`` chains of the
+    rule and text jobs would exceed that in whole-stage code. Spark's default is left
+    alone when the session has already chosen a value of its own.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, "8000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``, or a fresh temporary one where that is unset, as in tests."""
