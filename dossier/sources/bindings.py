@@ -196,7 +196,7 @@ FROM {events} WHERE event_id % 7 = 0""",
     "e_fields": f"""SELECT document_id * 1 AS ocr_result_id, document_id, application_id, document_type, field_no, field_name,
  {_RAW} AS extracted_value,
  {_NORM} AS normalized_value,
- CASE WHEN h % 29 = 0 THEN NULL ELSE cast((h % 100) / 100.0 as double) END AS confidence_score,
+ CASE WHEN h % 29 = 0 THEN NULL ELSE cast(h % 128 as double) / 128 END AS confidence_score,
  CASE h % 4 WHEN 0 THEN 'template' ELSE 'regex' END AS confidence_source,
  {_case("h % 8", ("AUTO_VERIFIED", "PENDING_REVIEW", "VERIFIED", "CORRECTED", "CANNOT_VERIFY", "AUTO_VERIFIED", None, "AUTO_VERIFIED"))} AS verification_status,
  CASE WHEN h % 8 = 3 THEN 'Fixed ' || cast(h as string) WHEN h % 31 = 0 THEN '' END AS human_corrected_value
@@ -205,15 +205,15 @@ FROM (SELECT b.*, substr(d_iso, 9, 2) || '/' || substr(d_iso, 6, 2) || '/' || su
  FROM ({_FIELD_BASE}) b) c""",
     "e_ocr": """SELECT document_id AS ocr_result_id, document_id,
  CASE WHEN partkey % 4 = 0 THEN 'PADDLE_OCR' ELSE 'PYMUPDF_TEXT_EXTRACTION' END AS processing_method,
- CASE WHEN partkey % 10 = 0 THEN NULL ELSE cast((partkey % 100) / 100.0 as double) END AS overall_confidence,
+ CASE WHEN partkey % 10 = 0 THEN NULL ELSE cast(partkey % 128 as double) / 128 END AS overall_confidence,
  CASE partkey % 8 WHEN 0 THEN ' ' || chr(10) WHEN 1 THEN '' ELSE original_filename || ' page text ' || cast(suppkey as string) END AS raw_ocr_text
 FROM {e_documents} WHERE suppkey % 9 <> 0""",
     "e_analysis": """SELECT document_id, application_id, document_type,
  CASE partkey % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'PARTIALLY_VERIFIED' WHEN 2 THEN 'NEEDS_REVIEW' ELSE 'FAILED' END AS verification_status,
- cast((partkey % 100) / 100.0 as double) AS confidence_score
+ cast(partkey % 128 as double) / 128 AS confidence_score
 FROM {e_documents} WHERE suppkey % 8 <> 0""",
     "e_detections": """SELECT document_id, application_id, kind AS detection_type, suppkey % 5 <> 0 AS is_present,
- CASE WHEN suppkey % 10 = 0 THEN NULL ELSE cast((suppkey % 100) / 100.0 as double) END AS confidence
+ CASE WHEN suppkey % 10 = 0 THEN NULL ELSE cast(suppkey % 128 as double) / 128 END AS confidence
 FROM {e_documents} CROSS JOIN (VALUES (0, 'SIGNATURE'), (1, 'STAMP')) AS k(kind_no, kind)
 WHERE (partkey + kind_no) % 4 <> 0""",
     "e_checks": f"""SELECT document_id, application_id, rule_id,

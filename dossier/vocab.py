@@ -852,3 +852,108 @@ SCORE_CUTOFFS = (("VERIFIED", 0.8), ("PARTIALLY_VERIFIED", 0.6), ("NEEDS_REVIEW"
 
 def field_label(name: str) -> str:
     return FIELD_LABELS.get(name, name.replace("_", " ").title())
+
+# ---------------------------------------------------------------- technical checks
+# Check id, name, what to do when it fails or warns.
+TECHNICAL_CHECKS = (
+    (
+        "TECH_FILE_EXISTS",
+        "File exists",
+        "Ensure the document's file is present in storage and re-upload the document",
+    ),
+    (
+        "TECH_FILE_READABLE",
+        "File is readable",
+        "Ensure the document's file is readable and re-upload the document",
+    ),
+    (
+        "TECH_FILE_NOT_EMPTY",
+        "File is not empty",
+        "Re-upload the document with its full content",
+    ),
+    (
+        "TECH_FILE_TYPE",
+        "File type is supported",
+        "Provide the document as a PDF, JPEG or PNG file",
+    ),
+    ("TECH_PDF_OPEN", "PDF can be opened", "Upload an undamaged PDF document"),
+    (
+        "TECH_PDF_PASSWORD",
+        "PDF is not password protected",
+        "Upload the PDF without password protection",
+    ),
+    (
+        "TECH_PDF_PAGES",
+        "PDF has at least one page",
+        "Upload a PDF that contains at least one page",
+    ),
+    (
+        "TECH_PDF_DIMENSIONS",
+        "PDF page dimensions are valid",
+        "Re-generate the PDF with valid page dimensions",
+    ),
+    (
+        "TECH_PDF_RENDER",
+        "PDF page can be rendered",
+        "Re-upload the PDF so its pages can be rendered",
+    ),
+    (
+        "TECH_IMAGE_LOAD",
+        "Image loads successfully",
+        "Re-scan or re-export the document as a valid image",
+    ),
+    (
+        "TECH_IMAGE_RESOLUTION",
+        "Image resolution meets minimum",
+        "Re-scan the document at a resolution of at least 800x800 pixels",
+    ),
+    (
+        "TECH_BLUR",
+        "Image is not blurry",
+        "Re-scan the document so the image is in focus",
+    ),
+    (
+        "TECH_ROTATION",
+        "Document is not rotated",
+        "Re-scan the document so its content is oriented upright",
+    ),
+    (
+        "TECH_BLANK_PAGE",
+        "Page is not blank",
+        "Re-scan the document so the page contains content",
+    ),
+)
+READABILITY_CHECK = "TECH_READABILITY"
+TECHNICALLY_FINE = "Document is technically suitable for processing"
+TECHNICAL_GROUPS = {
+    "file_accessible": ("TECH_FILE_EXISTS", "TECH_FILE_READABLE", "TECH_FILE_NOT_EMPTY"),
+    "file_type_valid": ("TECH_FILE_TYPE",),
+    "pdf_valid": ("TECH_PDF_OPEN", "TECH_PDF_PASSWORD", "TECH_PDF_PAGES", "TECH_PDF_DIMENSIONS"),
+    "image_valid": ("TECH_IMAGE_LOAD", "TECH_IMAGE_RESOLUTION"),
+}
+
+#: Document type a presence, field or visual rule depends on.
+RULE_TARGET_TYPE = (
+    {r.rule_id: r.document_type for r in DOCUMENT_RULES + UNREGISTERED_DOCUMENT_RULES}
+    | {r.rule_id: r.document_type for r in FIELD_RULES}
+    | {r.rule_id: r.document_type for r in VISUAL_RULES}
+)
+#: Labels and required copies by stored type; unlisted types read as the first entry.
+TYPE_LABELS = {t: label for _, label, _, types in UPLOAD_CATEGORIES for t in types} | {
+    SUPPORTING: "Other Supporting Document",
+    BULK: "Bulk Upload",
+}
+TYPE_COPIES = {t: n for _, _, n, types in UPLOAD_CATEGORIES for t in types} | {
+    SUPPORTING: 0,
+    BULK: 0,
+}
+DEFAULT_TYPE_LABEL = UPLOAD_CATEGORIES[0][1]
+DEFAULT_TYPE_COPIES = UPLOAD_CATEGORIES[0][2]
+NOT_YET_AVAILABLE = (
+    "Required document is missing. This check will become available when the required "
+    "document is provided."
+)
+
+
+def type_label(document_type: str) -> str:
+    return TYPE_LABELS.get(document_type, DEFAULT_TYPE_LABEL)
