@@ -33,7 +33,12 @@ def _case(subject: str, values, default: str | None = None) -> str:
     """CASE over 0..n-1 with quoted text values (None gives NULL)."""
 
     def quoted(v):
-        return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+        if v is None:
+            return "NULL"
+        # Line feeds and backslashes as codes: the two engines read escapes differently.
+        text = str(v).replace("'", "''")
+        text = text.replace("\\", "' || chr(92) || '").replace("\n", "' || chr(10) || '")
+        return "'" + text + "'"
 
     arms = " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values))
     tail = f" ELSE {default}" if default else ""
@@ -142,6 +147,180 @@ _FIELD_BASE = f"""SELECT d.document_id, d.application_id, d.document_type, f.fie
 FROM {{e_documents}} d CROSS JOIN (VALUES {_values(enumerate(_FIELD_NAMES))}) AS f(field_no, field_name)
 WHERE (d.partkey + d.suppkey * 3 + f.field_no * 5) % 6 = 0"""
 
+_PAGE_HEADS = (
+    "Tripartite Agreement\n",
+    "page one\nAPPLICATION FORM (IN-DIRECT member)\n",
+    "Application Form (In-Direct\n",
+    "Account Maintenance Certificate\n",
+    "MCB Bank\n",
+    "Document Checklist\nTripartite Agreement\n",
+    "Islamic Republic of Pakistan\nDate of Issue\n",
+    "National Identity Card\nGender\n",
+    "Office of the Director\nSubject: account\n",
+    "- Subject: on-boarding of office\n",
+    "the closing balance and average balance\n",
+    "organization name (as per registration document)\n",
+    "this refers to the bilateral agreement\n",
+    "about a business requirement\n",
+    "\n \n\n",
+    "Onelink\n",
+    "authorized to deal with and conduct correspondence and matters related to 1-link and the khyber pakhtunkhwa information technology board\n",
+)
+_FILE_NAMES = (
+    "scan.pdf",
+    "C:\\docs\\my file?.PDF",
+    "photo.jpg",
+    "photo.jpeg",
+    "  ",
+    "noextension",
+    ".pdf",
+    "a/b/..",
+    "sheet.xlsx",
+    "page.tif",
+)
+_TEXT_TYPES = (
+    "BANK_STATEMENT",
+    "PAYSLIP",
+    "ID_DOCUMENT",
+    "TAX_DOCUMENT",
+    vocab.BILATERAL,
+    vocab.AUTHORITY,
+    vocab.CERTIFICATE,
+    vocab.TRIPARTITE,
+    vocab.REQUIREMENT,
+    vocab.ONE_LINK,
+    vocab.CNIC_FRONT,
+    vocab.FORMAL_REQUEST,
+    None,
+)
+
+
+def _text(*lines: str) -> str:
+    """Concatenation of line expressions with line feeds."""
+    return " || chr(10) || ".join(lines)
+
+
+#: Labelled texts per type, 0..12; some lines are dropped or damaged by modulus.
+_TEXTS = "CASE k % 13 " + " ".join(
+    f"WHEN {i} THEN {body}"
+    for i, body in enumerate(
+        (
+            _text(
+                "'ACCOUNT STATEMENT'",
+                "'Account Holder: ' || nm",
+                "'Account Number: ' || acct",
+                "'IBAN: ' || CASE WHEN k % 2 = 0 THEN 'GB82WEST12345698765432' ELSE 'GB00WEST12345698765432' END",
+                "'Bank Name: Town Bank'",
+                "'Statement Period: ' || d || ' to 2024-12-31'",
+                "'Opening Balance: ' || bal",
+                "'Closing Balance: ' || CASE k % 4 WHEN 0 THEN bal WHEN 1 THEN '1,250.50' WHEN 2 THEN '1.250,50' ELSE '12,5' END",
+                "CASE WHEN k % 3 = 0 THEN 'Total Credits: 10.00' || chr(10) || 'Total Debits: 10.00' ELSE 'no totals' END",
+                "'Currency: EUR'",
+                "'Transactions: ' || cast(k % 3 as string)",
+            ),
+            _text(
+                "'Salary Slip'",
+                "'Employee Name: ' || nm",
+                "'Employee ID: E-' || cast(k as string)",
+                "'Employer Name: ' || seg || ' Co'",
+                "'Gross Salary: ' || bal",
+                "'Net Salary: ' || CASE WHEN k % 2 = 0 THEN '1,000' ELSE '100' END",
+                "'Salary Month: ' || CASE WHEN k % 3 = 0 THEN 'March 2023' ELSE '2023-3' END",
+                "'Payment Date: ' || CASE k % 4 WHEN 0 THEN '2023-03-28' WHEN 1 THEN '05/04/2023' WHEN 2 THEN '2099-01-01' ELSE 'soon' END",
+            ),
+            _text(
+                "'National ID card'",
+                "'Full Name: ' || nm",
+                "'Date of Birth: ' || CASE k % 3 WHEN 0 THEN '1980-02-30' WHEN 1 THEN '05/06/1990' ELSE '1850-01-01' END",
+                "'ID Number: AB-' || acct",
+                "'Nationality: PK'",
+                "'Issue Date: 2020-01-01'",
+                "'Expiry Date: ' || CASE WHEN k % 2 = 0 THEN '2019-12-31' ELSE '2030-12-31' END",
+            ),
+            _text(
+                "'Tax return'",
+                "'Taxpayer Name: ' || nm",
+                "'Tax Reference: T' || acct",
+                "'Tax Year: 20' || cast(10 + k % 14 as string)",
+                "'Gross Income: ' || bal",
+                "'Total Tax: ' || CASE WHEN k % 2 = 0 THEN '99999999' ELSE '10.5' END",
+                "'Currency: usd'",
+            ),
+            _text(
+                "'BILATERAL AGREEMENT between the Board;'",
+                "'and'",
+                "nm || ' Office, Town'",
+                "'uses the paymir platform on this 11 day of 5, 2026'",
+                "'Account Title'",
+                "'Account No'",
+                "'Office of ' || seg",
+                "acct",
+                "'5.2 Transaction Charges:'",
+                "'PKR 10 per item'",
+                "'6. GENERAL TERMS'",
+                "'end'",
+            ),
+            _text(
+                "'Directorate of ' || seg || ' Affairs'",
+                "'AUTHORITY LETTER'",
+                "'Mr. Sample Person, Deputy Director, is authorized on behalf of ' || CASE WHEN k % 2 = 0 THEN 'the ' || seg || ' office' ELSE 'this directorate' END",
+                "'Account Title: ' || nm",
+                "'Account Number: ' || acct",
+            ),
+            _text(
+                "'ACCOUNT MAINTENANCE CERTIFICATE'",
+                "'Date: 0' || cast(1 + k % 9 as string) || '-03-2024'",
+                "'Bank Name: Town Bank'",
+                "'Branch: Main ' || cast(k % 7 as string)",
+                "'This is to certify that the account is maintained'",
+                "'Title of Account: ' || nm",
+                "'Account No: ' || acct || CASE WHEN k % 2 = 0 THEN ' (PK36SCBL0000001123456702)' ELSE '' END",
+                "'IBAN: PK36SCBL0000001123456702'",
+            ),
+            _text(
+                "'TRIPARTITE AGREEMENT'",
+                "'1LINK (Private) Limited, and KPITB , with'",
+                "seg || ' Town Office hereby irrevocably undertakes'",
+                "'Title of Account: ' || seg || ' Fund'",
+                "'Account Number: ' || acct || '00'",
+                "'Branch Code: 0' || cast(k % 90 as string)",
+            ),
+            _text(
+                "'BUSINESS REQUIREMENT'",
+                "'we join ' || CASE WHEN k % 2 = 0 THEN 'KPITB''s FinTech Unit' ELSE 'nothing' END",
+                "'Services offered: fees'",
+                "'licences ' || seg",
+            ),
+            _text(
+                "'1LINK APPLICATION FORM'",
+                "'Organization Name (as per registration document): ' || nm || '  Ltd'",
+                "'Bank Account Number: no ' || acct",
+                "'Title of Account: ' || seg",
+                "'Name of the Bank and branch: Town Bank'",
+            ),
+            _text(
+                "'Name'",
+                "nm",
+                "'35202-' || substr(acct, 1, 7) || '-3'",
+                "'Date of Issue'",
+                "'Date of Expiry'",
+                "'01.02.2020'",
+                "'0' || cast(1 + k % 9 as string) || '.02.2030'",
+            ),
+            _text(
+                "'OFFICE OF THE DIRECTOR'",
+                "seg || ' Town'",
+                "'Date: 05/06/2023'",
+                "'To, The Managing Director KPITB'",
+                "'Subject: request for ' || seg",
+                "'Focal Person: ' || nm",
+                "'Designation: Clerk'",
+            ),
+            _text("'plain text with iban and opening balance ' || nm", "'no type stored'"),
+        )
+    )
+) + " END"
+
 ENTITIES: dict[str, str] = {
     "e_applications": f"""SELECT o_orderkey AS application_id,
  {_case("o_orderkey % 8", vocab.APPLICATION_STATUSES)} AS status,
@@ -255,6 +434,15 @@ FROM {events}""",
  o.o_orderdate AS checked_at
 FROM {{orders}} o CROSS JOIN (VALUES {_values(enumerate(vocab.CHECKLIST_ITEMS))}) AS i(item_no, item_name)
 WHERE (o.o_orderkey + i.item_no) % 4 <> 0""",
+    "e_pages": f"""SELECT conv_id AS file_id, turn AS page_no, {_case("(conv_id * 7 + turn * 5) % 19", _PAGE_HEADS, "''")} || text AS text,
+ CASE WHEN turn % 5 = 4 THEN NULL ELSE cast((conv_id + turn) % 64 as double) / 64 END AS confidence FROM {{conversations}}""",
+    "e_uploads": f"""SELECT page_id AS file_id, {_case("page_id % 11", _FILE_NAMES, "'scan.pdf'")} AS filename,
+ {_case("page_id % 6", ("application/pdf", "application/octet-stream", "image/png; q=1", None, "text/html"), "' IMAGE/JPEG '")} AS declared_type,
+ cast(page_id % 9 as int) AS prefix_no, html FROM {{pages}}""",
+    "e_texts": f"""SELECT document_id, document_type, cast((document_id % 64) as double) / 64 AS overall_confidence, application_id,
+ {_TEXTS} AS raw_text FROM (SELECT c_custkey AS document_id, c_custkey % 100 AS application_id, {_case("c_custkey % 13", _TEXT_TYPES)} AS document_type,
+  c_custkey AS k, c_name AS nm, c_mktsegment AS seg, cast(50000000 + c_custkey * 7 as string) AS acct, cast(cast(abs(c_acctbal) as decimal(18, 2)) as string) AS bal,
+  '202' || cast(c_custkey % 4 as string) || '-0' || cast(1 + c_custkey % 9 as string) || '-1' || cast(c_custkey % 9 as string) AS d FROM {{customer}}) c""",
 }
 
 

@@ -957,3 +957,147 @@ NOT_YET_AVAILABLE = (
 
 def type_label(document_type: str) -> str:
     return TYPE_LABELS.get(document_type, DEFAULT_TYPE_LABEL)
+
+# ---------------------------------------------------------------- page titles
+# Fixed values, in matching order.
+HEADER_ZONE = 0.33
+CERTIFICATE_BANKS = (
+    "THE BANK OF KHYBER",
+    "BANK OF KHYBER",
+    "NATIONAL BANK OF PAKISTAN",
+    "ABHI MICROFINANCE BANK",
+    "FINCA MICROFINANCE BANK",
+    "AL BARAKA BANK",
+    "ALLIED BANK",
+    "APNA MICROFINANCE BANK",
+    "ASKARI BANK",
+    "BANK AL HABIB",
+    "BANK ALFALAH",
+    "BANKISLAMI",
+    "BANK MAKRAMAH",
+    "SUMMIT BANK",
+    "THE BANK OF PUNJAB",
+    "BANK OF PUNJAB",
+    "DUBAI ISLAMIC BANK",
+    "EASYPAISA",
+    "FAYSAL BANK",
+    "FIRST WOMEN BANK",
+    "HABIB BANK LIMITED",
+    "HABIBMETRO BANK",
+    "HABIB METRO BANK",
+    "ICBC PAKISTAN",
+    "JS BANK",
+    "MCB ISLAMIC BANK",
+    "MCB BANK",
+    "MEEZAN BANK",
+    "MOBILINK MICROFINANCE BANK",
+    "JAZZCASH",
+    "NRSP MICROFINANCE BANK",
+    "SAMBA BANK",
+    "SINDH BANK",
+    "SONERI BANK",
+    "STANDARD CHARTERED BANK",
+    "UNITED BANK LIMITED",
+)
+TITLE_PHRASES = (
+    (TRIPARTITE, ("TRIPARTITE AGREEMENT",)),
+    (
+        BILATERAL,
+        (
+            "BILATERAL AGREEMENT",
+            "SERVICE LEVEL AGREEMENT",
+            "SUB-BILLER AGREEMENT",
+            "SUBBILER AGREEMENT",
+            "SUB BILLER AGREEMENT",
+            "SCHEDULE OF CHARGES",
+        ),
+    ),
+    (
+        CERTIFICATE,
+        ("ACCOUNT MAINTENANCE CERTIFICATE", "ACCOUNT MAINTENANCE", *CERTIFICATE_BANKS),
+    ),
+    (
+        ONE_LINK,
+        (
+            "1LINK APPLICATION FORM",
+            "1-LINK APPLICATION FORM",
+            "ONE-LINK APPLICATION FORM",
+            "ONE LINK APPLICATION FORM",
+            "ONELINK APPLICATION FORM",
+            "APPLICATION FORM (IN-DIRECT",
+            "ONELINK",
+            "ONE-LINK",
+            "1LINK",
+        ),
+    ),
+    (AUTHORITY, ("AUTHORITY LETTER", "AUTHORIZATION LETTER", "AUTHORIZATION")),
+    (REQUIREMENT, ("BUSINESS REQUIREMENT DOCUMENT", "BUSINESS REQUIREMENT")),
+    (
+        FORMAL_REQUEST,
+        ("FORMAL REQUEST LETTER", "FORMAL REQUEST", "SUBJECT: REQUEST FOR DIGITAL ACCOUNT"),
+    ),
+)
+CONTINUATION_PHRASES = ("APPLICATION FORM (IN-DIRECT",)
+FULL_PAGE_PHRASES = (
+    (TRIPARTITE, ("PARTICIPATION MEMORANDUM",)),
+    (BILATERAL, ("FOR DIGITAL PAYMENT COLLECTION VIA PAYMIR",)),
+)
+#: Too common in running text to count anywhere but at the start of a header line.
+NOT_WEAK_PHRASES = ("1LINK", "ONELINK", "ONE-LINK", "AUTHORIZATION", *CERTIFICATE_BANKS)
+CHECKLIST_MARKERS = ("CHECKLIST", "CHECK LIST")
+ID_CARD_PHRASES = (
+    "COMPUTERISED NATIONAL IDENTITY",
+    "COMPUTERIZED NATIONAL IDENTITY",
+    "NATIONAL IDENTITY CARD",
+    "ISLAMIC REPUBLIC OF PAKISTAN",
+)
+ID_CARD_BACK_WORDS = (
+    "ISSUING AUTHORITY",
+    "ISSUE DATE",
+    "DATE OF ISSUE",
+    "PLACE OF ISSUE",
+    "MANAGER",
+    "THUMB",
+    "QUALIFICATION",
+)
+LETTERHEAD_PREFIX = "OFFICE OF THE"
+SUBJECT_PREFIX = "SUBJECT:"
+SUBJECT_KEYWORDS = (
+    "SUB-BILLER",
+    "SUB- BILLER",
+    "SUB BILLER",
+    "SUBBILLER",
+    "ON BOARDING",
+    "ON-BOARDING",
+    "ONBOARDING",
+)
+BALANCE_LABELS = ("CLOSING BALANCE", "AVERAGE BALANCE")
+AUTHORITY_STATEMENT = (
+    "AUTHORIZED TO DEAL WITH AND CONDUCT CORRESPONDENCE AND MATTERS RELATED TO 1-LINK AND "
+    "THE KHYBER PAKHTUNKHWA INFORMATION TECHNOLOGY BOARD"
+)
+ONE_LINK_LABEL = "ORGANIZATIONNAME(ASPERREGISTRATIONDOCUMENT)"
+
+# ---------------------------------------------------------------- files
+# First bytes (hex) and the extension they stand for, in matching order.
+MAGIC_PREFIXES = (
+    ("255044462D", ".pdf"),
+    ("89504E470D0A1A0A", ".png"),
+    ("FFD8FF", ".jpg"),
+    ("49492A00", ".tif"),
+    ("4D4D002A", ".tif"),
+    ("D0CF11E0A1B11AE1", ".doc"),
+    ("504B0304", ".docx"),
+)
+MEDIA_TYPES = {
+    ".pdf": "application/pdf",
+    ".doc": "application/msword",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".png": "image/png",
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
+    ".tif": "image/tiff",
+    ".tiff": "image/tiff",
+}
+GENERIC_MEDIA_TYPES = ("", "application/octet-stream", "binary/octet-stream")
+MAX_FILENAME_LENGTH = 255
