@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.functions.lit import lookup
+from dossier.functions.lit import let, lookup
 
 _MONTH_NUMBERS = {m: f"{i:02d}" for i, m in enumerate(vocab.MONTHS, 1)} | {
     m[:3]: f"{i:02d}" for i, m in enumerate(vocab.MONTHS, 1)
@@ -88,12 +88,13 @@ def parse_day_of_month(text: Column) -> Column:
     spaced = F.regexp_replace(
         text, r"^(\d{1,2})\s+day\s+of\s+(\d{1,2}),\s*(\d{4}).*$", "$1-$2-$3"
     )
-    return F.when(text.rlike(_SHAPES["DMY of"]), _parse(spaced, ("DMY",)))
+    parsed = let(spaced, lambda v: _parse(v, ("DMY",)))
+    return F.when(text.rlike(_SHAPES["DMY of"]), parsed)
 
 
 def parse_certificate_date(text: Column) -> Column:
-    single = F.regexp_replace(text, r"\s+", " ")
-    return _parse(single, ("DMY", "DMY.", "NDY", "DNY,", "DNY"))
+    """Forms of an issue date on a certificate; ``text`` has single spaces only."""
+    return _parse(text, ("DMY", "DMY.", "NDY", "DNY,", "DNY"))
 
 
 def parse_salary_month(text: Column) -> Column:

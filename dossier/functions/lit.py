@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it.
+
+    Keeps long chains of text steps linear in size where each step refers to its input
+    several times.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lookup(col: Column, table: Mapping, default: Column | None = None) -> Column:
     """Constant map lookup; null (or ``default``) when the key is absent."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

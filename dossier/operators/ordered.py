@@ -121,13 +121,9 @@ def with_previous_where(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    lasts = (
-        rows.filter(F.col("_mark").isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.max_by("_mark", F.struct(*order)).alias("_last"))
+    chunk_lasts = rows.groupBy(*keys, CHUNK).agg(
+        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(*order))).alias("_last")
     )
-    chunks = rows.select(*keys, CHUNK).distinct()
-    chunk_lasts = _attach(chunks, lasts, keys)
     carried = chunk_lasts.select(
         *keys,
         CHUNK,

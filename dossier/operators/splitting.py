@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier import vocab
 from dossier.functions.lit import lookup
 from dossier.operators.completeness import assign_copy_numbers, completeness
+from dossier.session import stored
 from dossier.operators.ordered import range_chunk, with_previous_where, with_running_sum
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~ ]*"
@@ -180,7 +181,8 @@ def split_bulk_files(pages: DataFrame, documents: DataFrame, as_of: str) -> tupl
     ``file_id`` is the application; ``documents`` are the ones already stored
     (application_id, document_type, copy_number, processing_status).
     """
-    segmented = segment_pages(classify_pages(pages))
+    # Segmenting reads the page verdicts in several branches; they are written once.
+    segmented = segment_pages(stored(classify_pages(pages)))
     cut = split_documents(segmented).select(
         F.col("file_id").alias("application_id"),
         "document_type",

@@ -211,7 +211,7 @@ _TEXTS = "CASE k % 13 " + " ".join(
                 "'Account Number: ' || acct",
                 "'IBAN: ' || CASE WHEN k % 2 = 0 THEN 'GB82WEST12345698765432' ELSE 'GB00WEST12345698765432' END",
                 "'Bank Name: Town Bank'",
-                "'Statement Period: ' || d || ' to 2024-12-31'",
+                "'Statement Period: ' || CASE WHEN k % 2 = 0 THEN '01/02/2023 - 31/03/2023' ELSE d || ' to 2024-12-31' END",
                 "'Opening Balance: ' || bal",
                 "'Closing Balance: ' || CASE k % 4 WHEN 0 THEN bal WHEN 1 THEN '1,250.50' WHEN 2 THEN '1.250,50' ELSE '12,5' END",
                 "CASE WHEN k % 3 = 0 THEN 'Total Credits: 10.00' || chr(10) || 'Total Debits: 10.00' ELSE 'no totals' END",
@@ -253,7 +253,7 @@ _TEXTS = "CASE k % 13 " + " ".join(
                 "'uses the paymir platform on this 11 day of 5, 2026'",
                 "'Account Title'",
                 "'Account No'",
-                "'Office of ' || seg",
+                "'Office of the Town Board ' || seg",
                 "acct",
                 "'5.2 Transaction Charges:'",
                 "'PKR 10 per item'",
