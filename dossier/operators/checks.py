@@ -10,6 +10,7 @@ from dossier.functions import shapes
 from dossier.functions.dates import valid_iso
 from dossier.functions.timing import moment
 from dossier.operators import extract
+from dossier.session import stored
 
 _VALIDATION = "array<struct<field:string,validator:string,status:string,message:string>>"
 _CONSISTENCY = "array<struct<rule_id:string,rule_name:string,status:string,message:string>>"
@@ -324,9 +325,9 @@ def analyze_documents(
     ``texts``: document_id, stored_type, text and any columns to carry along.
     """
     routed = extract.route_document_type(texts)
-    found = validate_fields(extract.extract_fields(routed), as_of)
+    found = validate_fields(stored(extract.extract_fields(routed)), as_of)
     if resolved is not None:
-        found = validate_fields(extract.merge_fallback(found, resolved), as_of)
+        found = validate_fields(stored(extract.merge_fallback(found, resolved)), as_of)
     scored = analysis_score(consistency_checks(found, as_of))
     analysed = F.col("route").isin("STORED", "DETECTED")
     return scored.select(

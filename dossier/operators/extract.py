@@ -19,6 +19,7 @@ from dossier.functions.reading import (
 )
 from dossier.operators import patterns as PT
 from dossier.operators.bankblock import bank_block
+from dossier.session import stored
 
 _UNCLASSIFIED = (vocab.SUPPORTING, vocab.BULK)
 _EXTRACTED_TYPES = tuple(PT.PATTERNS)
@@ -159,10 +160,10 @@ def _without(fields: Column, others: Column) -> Column:
     return F.map_filter(fields, lambda k, v: ~F.map_contains_key(others, k))
 
 
-def with_block_values(found: DataFrame) -> DataFrame:
+def with_block_values(found: DataFrame, routed: DataFrame) -> DataFrame:
     """Add holder, number and IBAN from the block of lines, for the types that have one."""
     kind = F.col("document_type")
-    block = bank_block(found.filter(kind.isin(*PT.BANK_BLOCK_TYPES)).select("document_id", "text"))
+    block = bank_block(routed.filter(kind.isin(*PT.BANK_BLOCK_TYPES)).select("document_id", "text"))
     joined = found.join(block, "document_id", "left")
     own = F.col("extracted_fields")
     merged = None
@@ -190,8 +191,13 @@ def with_block_values(found: DataFrame) -> DataFrame:
 
 
 def extract_fields(routed: DataFrame) -> DataFrame:
-    """Pattern fields plus block values."""
-    return with_block_values(pattern_fields(routed))
+    """Pattern fields plus block values, without the text.
+
+    The pattern results are written once (fields only, not the texts), so the later steps
+    read small rows instead of searching the texts again.
+    """
+    found = stored(pattern_fields(routed).drop("text"))
+    return with_block_values(found, routed)
 
 
 def fields_needing_clarification(analysis: DataFrame) -> DataFrame:

@@ -271,6 +271,11 @@ def _long_fields(found):
     return found.select("document_id", F.explode("extracted_fields").alias("field_name", "value"))
 
 
+def _found(t):
+    """Pattern results as the stored table the later steps start from."""
+    return stored(X.pattern_fields(_plain(t)).drop("text"))
+
+
 def _plain(t):
     routed = _texts(t).withColumn("document_type", F.col("stored_type"))
     return routed.filter(F.col("document_type").isin(*_PLAIN_TYPES))
@@ -278,13 +283,13 @@ def _plain(t):
 
 @query("pattern_fields", f"WITH {_FOUND} SELECT * FROM found")
 def pattern_fields(t):
-    return _long_fields(X.pattern_fields(_plain(t)))
+    return _long_fields(_found(t))
 
 
 @query("extract_fields")
 def extract_fields(t):
     """All twelve types; patterns with look-around have no DuckDB form, see the tests."""
-    return _long_fields(X.extract_fields(X.route_document_type(_texts(t))))
+    return _long_fields(stored(X.extract_fields(X.route_document_type(_texts(t)))))
 
 
 @query(
@@ -312,7 +317,7 @@ _VALID = f"""ex(k, f, l, v) AS (VALUES {_EXPECTED}), vl AS (SELECT t.document_id
 
 
 def _validated(t):
-    return CK.validate_fields(X.pattern_fields(_plain(t)), AS_OF)
+    return CK.validate_fields(_found(t), AS_OF)
 
 
 @query("validate_fields", f"WITH {_FOUND}, {_VALID} SELECT document_id, field, validator, status FROM vl")
@@ -352,7 +357,7 @@ SELECT document_id, field_name, value FROM found WHERE NOT EXISTS (SELECT 1 FROM
 UNION ALL SELECT document_id, field, value FROM need""",
 )
 def merge_fallback(t):
-    return _long_fields(X.merge_fallback(_validated(t), _resolved(t)))
+    return _long_fields(stored(X.merge_fallback(_validated(t), _resolved(t))))
 
 
 _CONSISTENT = f"""w AS (SELECT document_id, any_value(document_type) AS kind, max(value) FILTER (WHERE field = 'gross_salary')::DOUBLE AS gs, max(value) FILTER (WHERE field = 'net_salary')::DOUBLE AS ns,
