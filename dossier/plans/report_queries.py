@@ -51,9 +51,10 @@ def report_rule_groups(t):
     return R.report_rule_groups(t.results)
 
 
+# Half-up on the decimal value, as Spark rounds: a binary tie such as 0.53875 goes up.
 _EXTRACTION = """ex AS (SELECT application_id, count(*) AS total_fields, count(*) FILTER (WHERE verification_status = 'AUTO_VERIFIED') AS auto_verified,
  count(*) FILTER (WHERE verification_status = 'CORRECTED' OR coalesce(human_corrected_value, '') <> '') AS human_corrected, count(*) FILTER (WHERE verification_status = 'PENDING_REVIEW') AS pending_review,
- count(*) FILTER (WHERE verification_status = 'CANNOT_VERIFY') AS cannot_verify, round(avg(confidence_score), 4) AS overall_confidence FROM e_fields GROUP BY 1)"""
+ count(*) FILTER (WHERE verification_status = 'CANNOT_VERIFY') AS cannot_verify, CAST(round(CAST(avg(confidence_score) AS DECIMAL(20, 12)), 4) AS DOUBLE) AS overall_confidence FROM e_fields GROUP BY 1)"""
 
 
 @query("extraction_summary", f"WITH {_EXTRACTION} SELECT * FROM ex")
@@ -72,7 +73,7 @@ def field_progress(t):
 
 _VISUAL = """vs AS (SELECT application_id, count(DISTINCT document_id) AS documents_checked, count(*) FILTER (WHERE detection_type = 'SIGNATURE' AND is_present) AS signature_detected,
  count(*) FILTER (WHERE detection_type = 'SIGNATURE' AND NOT is_present) AS signature_missing, count(*) FILTER (WHERE detection_type = 'STAMP' AND is_present) AS stamp_detected,
- count(*) FILTER (WHERE detection_type = 'STAMP' AND NOT is_present) AS stamp_missing, round(avg(confidence), 4) AS average_confidence FROM e_detections GROUP BY 1)"""
+ count(*) FILTER (WHERE detection_type = 'STAMP' AND NOT is_present) AS stamp_missing, CAST(round(CAST(avg(confidence) AS DECIMAL(20, 12)), 4) AS DOUBLE) AS average_confidence FROM e_detections GROUP BY 1)"""
 
 
 @query("visual_summary", f"WITH {_VISUAL} SELECT * FROM vs")
