@@ -1,14 +1,13 @@
 """Streams replayed over the given tables: the table is written in steps of consecutive
 times, read as a stream step by step, and the result compared with its batch form."""
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.plans.catalog import query
 from dossier.plans.lifecycle_queries import _SPANS
-from dossier.session import shared_folder
+from dossier.session import new_path
 from dossier.sources.bindings import Tables
 from dossier.streaming import streams as ST
 
@@ -17,7 +16,7 @@ _PARTS = 4
 
 def _replay(t: Tables, rows: DataFrame, ts: str, name: str):
     """``rows`` as a stream of :data:`_PARTS` consecutive steps, each of one file per core."""
-    root = f"{shared_folder(t.spark)}/replay-{name}-{uuid.uuid4().hex}"
+    root = f"{new_path(t.spark)}-replay-{name}"
     files = t.spark.sparkContext.defaultParallelism
     source, sink = f"{root}/in", f"{root}/out"
     bounds = rows.selectExpr(

@@ -1,16 +1,13 @@
-"""Session helpers: defaults for local runs, checkpoints and size-checked broadcasts."""
+"""Session helpers: defaults for local runs, the shared folder and stored stages."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest plan-time size estimate a side may have to be broadcast on request.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
@@ -23,6 +20,7 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", str(cpus))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -46,43 +44,68 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, "8000")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``, or a fresh temporary one where that is unset, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="dossier-")
+#: Folders of this process, by application: (session, folder). Emptied at exit.
+_FOLDERS: dict[str, tuple[SparkSession, str]] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and continue from that table.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Used where several branches read the same derived rows: lineage is cut, a lost
-    executor only costs re-reading files, and each branch scans just its own columns.
+    Where that is unset, a temporary folder serves a session that runs in one process; on
+    a cluster each executor would write to a disk of its own, so there it is an error.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/dossier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="dossier-")
+        _FOLDERS[app] = (spark, f"{base.rstrip('/')}/dossier-{app}-{uuid.uuid4().hex[:8]}")
+    return _FOLDERS[app][1]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate allows it.
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    Beyond the limit the side is returned unchanged and Spark picks a shuffled join.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= limit else df
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system layer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a few small files one partition per core.
+def drop_stored(spark: SparkSession) -> None:
+    """Delete every table that this application has stored; its readers end with it."""
+    entry = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if entry:
+        drop_path(spark, entry[1])
 
-    A table with at least as many splits as the cluster has cores, which is every large
-    one, is returned as it is, without a shuffle.
+
+@atexit.register
+def _drop_all() -> None:
+    for spark, folder in list(_FOLDERS.values()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                drop_path(spark, folder)
+        except Exception as error:  # the session may have ended on its own; say what stays
+            print(f"left {folder}: {type(error).__name__}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and continue from that table.
+
+    Used where several branches read the same derived rows: lineage is cut, a lost
+    executor only costs re-reading files, and each branch scans just its own columns. The
+    tables go when the application ends, or earlier by ``drop_stored``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def data_root(default: str = "/root/testdata/sf0.1") -> str:

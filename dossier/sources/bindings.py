@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.session import spread, stored
+from dossier.session import stored
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-#: Tables whose rows cost enough to be worth spreading over all cores.
-_WORKED = {"lineitem", "orders", "events", "documents", "pages", "conversations", "customer"}
 
 _DOC_ID = (
     "((((l_orderkey * 200000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber) * 64"
@@ -499,7 +497,7 @@ class Tables:
         key = "source:" + name
         if key not in self._cache:
             table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            self._cache[key] = spread(table) if name in _WORKED else table
+            self._cache[key] = table
         return self._cache[key]
 
     def entity(self, name: str) -> DataFrame:
