@@ -3,6 +3,8 @@
 Pass one hashes every text to two slots of a bit array and keeps the bits of the slots hit
 more than once. Pass two tests each row against that array: a row with an unset bit has no
 equal and passes straight through; only the others shuffle, and an exact digest decides.
+Where only decisions are asked for, one scan of the texts stores the digests and both passes
+run over those.
 
 The array grows with the number of rows, up to ``max_bits``; that bounds what reaches every
 task. Beyond it more rows than necessary shuffle and the result stays the same.
@@ -73,16 +75,16 @@ def mark_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept and text_sha256."""
-    key = F.xxhash64(normalized(df[text_col]))
-    array, bits = repeated_slots(df, key, max_bits)
-    rows = stored(
+    hashed = stored(
         df.select(
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("row"),
             F.unhex(F.sha2(normalized(df[text_col]), 256)).alias("digest"),
-            possibly_repeated(key, array, bits).alias("again"),
         )
     )
+    key = F.xxhash64("digest")
+    array, bits = repeated_slots(hashed, key, max_bits)
+    rows = hashed.withColumn("again", possibly_repeated(key, array, bits))
     alone = rows.filter("NOT again").select(
         "id",
         F.col("id").alias("keep_id"),
