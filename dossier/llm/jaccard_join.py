@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +70,14 @@ def shingle_set(text: str | None, words: WordHashes, powers: Powers) -> np.ndarr
     return np.unique(ranges.windows(SHINGLE))
 
 
+def _least_values(s: np.ndarray, columns: int = 65_536) -> list[int]:
+    """Least value of a set under each function; long sets are taken in parts."""
+    if not len(s):
+        return []
+    parts = [(_ODD[:, None] * s[i : i + columns]).min(1) for i in range(0, len(s), columns)]
+    return (np.min(parts, axis=0) >> np.uint64(33)).tolist()
+
+
 def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, two halves of the set's digest, size, least values and tokens."""
 
@@ -85,8 +92,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out[0].append(int.from_bytes(digest[:8], "little", signed=True))
                     out[1].append(int.from_bytes(digest[8:], "little", signed=True))
                     out[2].append(len(s))
-                    least = [int((s * a).min() >> np.uint64(33)) for a in _ODD] if len(s) else []
-                    out[3].append(least)
+                    out[3].append(_least_values(s))
                     # 32 bits tell the tokens of two sets apart when they are compared.
                     out[4].append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
@@ -206,6 +212,21 @@ def _unite(parent: np.ndarray, link: np.ndarray, a: slice, b: slice) -> None:
         parent[max(x, y)] = min(x, y)
 
 
+def _compare_two(ids, block, members, tokens, nodes, path, crossing, similarity):
+    """The comparison of two rows, by far the most frequent one."""
+    a, b = map(len, tokens)
+    links, names = np.zeros(2, np.int64), ids.copy()
+    if min(a, b) < similarity * max(a, b) or crossing and block[0] == block[1]:
+        return links, names
+    common = len(np.intersect1d(*tokens, assume_unique=True))
+    if common * (1 + similarity) >= similarity * (a + b) - 1e-3:
+        names[:] = ids.min()
+        shared = np.intersect1d(*nodes)
+        if not (shared < path).any():
+            links[:] = members[::-1]
+    return links, names
+
+
 def compare(
     ids: np.ndarray,
     block: np.ndarray,
@@ -220,6 +241,8 @@ def compare(
     """Linked texts and least group member of each row, for the pairs of this comparison.
 
     ``crossing``: rows of one block are compared with those of the other, else all pairs."""
+    if len(ids) == 2:
+        return _compare_two(ids, block, members, tokens, nodes, path, crossing, similarity)
     order = np.argsort([len(t) for t in tokens], kind="stable")
     ids, block, members = ids[order], block[order], members[order]
     tokens, nodes = [tokens[i] for i in order], [nodes[i] for i in order]
@@ -255,21 +278,54 @@ def compare(
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        links, names = compare(
-            group["cid"].to_numpy(),
-            group["block"].to_numpy(),
-            group["members"].to_numpy(),
-            [np.frombuffer(t, np.uint32) for t in group["tokens"]],
-            [np.asarray(p, np.int64) for p in group["paths"]],
-            int(group["path"].iloc[0]),
-            bool(group["left"].iloc[0] != group["right"].iloc[0]),
+    """Results of all comparisons; rows of one comparison follow each other in a task, so
+    the many small ones cost no group of their own."""
+    names = ("cid", "block", "members", "tokens", "paths", "path", "left", "right")
+
+    def result(group: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(group[0])
+        links, least = compare(
+            ids,
+            np.array(group[1]),
+            np.array(group[2]),
+            [np.frombuffer(t, np.uint32) for t in group[3]],
+            [np.array(p, np.int64) for p in group[4]],
+            group[5][0],
+            group[6][0] != group[7][0],
             similarity,
         )
-        out = pd.DataFrame({"cid": group["cid"], "links": links, "least": names})
-        return out[(out["links"] > 0) | (out["least"] != out["cid"])]
-
-    return rows.groupBy("path", "left", "right").applyInPandas(run, "cid long, links long, least long")
+        found = (links > 0) | (least != ids)
+        return ids[found], links[found], least[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in names]
+
+        def out(results: list) -> pa.RecordBatch:
+            arrays = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*results)]
+            return pa.RecordBatch.from_arrays(arrays, names=["cid", "links", "least"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in (5, 6, 7)])
+            starts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), batch.num_rows]
+            columns, results = [c.to_pylist() for c in batch.columns], []
+            for low, high in zip(starts, starts[1:]):
+                if held[0] and tuple(h[-1] for h in held[5:]) != tuple(keys[:, low]):
+                    results.append(result(held))
+                    held = [[] for _ in names]
+                for h, c in zip(held, columns):
+                    h.extend(c[low:high])
+            if results:
+                yield out(results)
+        if held[0]:
+            yield out([result(held)])
+
+    key = ("path", "left", "right")
+    return (
+        rows.select(*names)
+        .repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(run, "cid long, links long, least long")
+    )
 
 
 def least_members(edges: DataFrame) -> DataFrame:
