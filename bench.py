@@ -28,6 +28,9 @@ HEADLINE = (
     "normalize_fields",
     "classify_pages",
     "evaluate_rules",
+    "extract_fields",
+    "analyze_documents",
+    "validation_report",
 )
 
 

@@ -18,7 +18,7 @@ from dossier.functions.reading import (
     trim_marks,
 )
 from dossier.operators import patterns as PT
-from dossier.operators.bankblock import bank_block
+from dossier.operators.accountlines import account_values
 from dossier.session import stored
 
 _UNCLASSIFIED = (vocab.SUPPORTING, vocab.BULK)
@@ -160,12 +160,12 @@ def _without(fields: Column, others: Column) -> Column:
     return F.map_filter(fields, lambda k, v: ~F.map_contains_key(others, k))
 
 
-def with_block_values(found: DataFrame, routed: DataFrame) -> DataFrame:
-    """Add holder, number and IBAN from the block of lines, for the types that have one."""
-    kind = F.col("document_type")
-    block = bank_block(routed.filter(kind.isin(*PT.BANK_BLOCK_TYPES)).select("document_id", "text"))
-    joined = found.join(block, "document_id", "left")
-    own = F.col("extracted_fields")
+def with_block_values(found: DataFrame) -> DataFrame:
+    """Add holder, number and IBAN from labelled lines, for the types that have them."""
+    kind, own = F.col("document_type"), F.col("extracted_fields")
+    has_block = kind.isin(*PT.BANK_BLOCK_TYPES)
+    read = {n: F.when(has_block, c) for n, c in account_values(F.col("text")).items()}
+    joined = found.withColumns({f"_{n}": c for n, c in read.items()})
     merged = None
     for t, (names, replaces) in PT.BANK_BLOCK_TYPES.items():
         offered = F.map_from_entries(
@@ -173,9 +173,9 @@ def with_block_values(found: DataFrame, routed: DataFrame) -> DataFrame:
                 F.array(
                     *[
                         F.when(
-                            F.col(n).isNotNull()
+                            F.col(f"_{n}").isNotNull()
                             & (F.lit(replaces) | ~F.map_contains_key(own, n)),
-                            F.struct(F.lit(n).alias("name"), F.col(n).alias("value")),
+                            F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value")),
                         )
                         for n in names
                     ]
@@ -185,19 +185,16 @@ def with_block_values(found: DataFrame, routed: DataFrame) -> DataFrame:
         value = F.map_concat(_without(own, offered), offered)
         arm = kind == t
         merged = F.when(arm, value) if merged is None else merged.when(arm, value)
-    return joined.withColumn("extracted_fields", merged.otherwise(own)).drop(
-        "account_holder", "account_number", "iban"
-    )
+    return joined.withColumn("extracted_fields", merged.otherwise(own)).drop(*[f"_{n}" for n in read])
 
 
 def extract_fields(routed: DataFrame) -> DataFrame:
-    """Pattern fields plus block values, without the text.
+    """Pattern fields plus block values, without the text: one scan of the texts.
 
-    The pattern results are written once (fields only, not the texts), so the later steps
-    read small rows instead of searching the texts again.
+    The results are written once (fields only, not the texts), so the later steps read
+    small rows instead of searching the texts again.
     """
-    found = stored(pattern_fields(routed).drop("text"))
-    return with_block_values(found, routed)
+    return stored(with_block_values(pattern_fields(routed)).drop("text"))
 
 
 def fields_needing_clarification(analysis: DataFrame) -> DataFrame:
@@ -223,15 +220,16 @@ def clarification_names(validations: Column) -> Column:
 def merge_fallback(analysis: DataFrame, resolved: DataFrame) -> DataFrame:
     """Fields completed from a table of resolved values (document_id, field_name, value).
 
-    Only names that need clarification are taken, and only values that are not null.
+    Only names that need clarification are taken, and only values that are not null; of
+    several values for a name the first in order of text counts.
     A document has few names, so its resolved values fit in one map.
     """
     given = (
         resolved.filter(F.col("value").isNotNull())
+        .groupBy("document_id", "field_name")
+        .agg(F.min("value").alias("value"))
         .groupBy("document_id")
-        .agg(
-            F.map_from_entries(F.collect_set(F.struct("field_name", "value"))).alias("_given")
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("_given"))
     )
     joined = analysis.join(given, "document_id", "left")
     wanted = clarification_names(F.col("validation_results"))

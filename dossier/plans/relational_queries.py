@@ -153,11 +153,11 @@ def document_job_messages(t):
 @query(
     "text_preview",
     """SELECT d.document_id, d.application_id, CASE WHEN o.document_id IS NULL THEN 'NOT_PROCESSED' WHEN o.processing_method = 'PADDLE_OCR' THEN 'OCR_PROCESSED'
- ELSE 'TEXT_EXTRACTED' END AS ocr_status, o.overall_confidence AS ocr_confidence, left(o.raw_ocr_text, 12) AS ocr_text_preview
+ ELSE 'TEXT_EXTRACTED' END AS ocr_status, o.overall_confidence AS ocr_confidence, left(o.raw_ocr_text, 1000) AS ocr_text_preview
 FROM e_documents d LEFT JOIN e_ocr o USING (document_id)""",
 )
 def text_preview(t):
-    return R.text_preview(t.entity("documents"), t.ocr, 12)
+    return R.text_preview(t.entity("documents"), t.ocr)
 
 
 @query(

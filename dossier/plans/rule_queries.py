@@ -183,7 +183,7 @@ _POLICY = [
         where="document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE'",
     ),
     f"""pol1 AS (SELECT a.application_id, 'POL_SINGLE_CURRENCY' AS rule_id, CASE WHEN count(v.v) = 0 THEN 'WARNING' WHEN count(DISTINCT v.v) > 1 THEN 'FAIL' ELSE 'PASS' END AS status,
- CASE WHEN count(v.v) = 0 THEN '{_NOTHING}' WHEN count(DISTINCT v.v) > 1 THEN 'Multiple currencies are used: ' || string_agg(DISTINCT '''' || v.v || '''', ', ' ORDER BY '''' || v.v || '''')
+ CASE WHEN count(v.v) = 0 THEN '{_NOTHING}' WHEN count(DISTINCT v.v) > 1 THEN 'Multiple currencies are used: ' || count(DISTINCT v.v) || ' values'
   ELSE 'A single currency (' || min(v.v) || ') is used' END AS message
  FROM e_applications a LEFT JOIN vals v ON v.application_id = a.application_id AND v.present AND v.field_name = 'currency' AND v.document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE' GROUP BY 1)""",
     rf"""pol2 AS (WITH p AS (SELECT application_id, field_name, arg_min(replace(v, ',', ''), document_id) AS x FROM vals WHERE present AND document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE'
@@ -292,7 +292,7 @@ def _cross_rule(name, rule_id, field, types):
     inlist = ", ".join(f"'{t}'" for t in types)
     return f"""{name} AS (WITH s AS (SELECT a.application_id, p.t, EXISTS (SELECT 1 FROM e_documents d WHERE d.application_id = a.application_id AND d.document_type = p.t) AS has_doc,
   EXISTS (SELECT 1 FROM vals v WHERE v.application_id = a.application_id AND v.document_type = p.t AND v.field_name = '{field}' AND v.present) AS has_val FROM e_applications a CROSS JOIN (VALUES {listed}) AS p(t)),
- d AS (SELECT application_id, count(DISTINCT v) AS n, string_agg(DISTINCT '''' || v || '''', ', ' ORDER BY '''' || v || '''') AS pv FROM vals WHERE present AND field_name = '{field}' AND document_type IN ({inlist}) GROUP BY 1)
+ d AS (SELECT application_id, count(DISTINCT v) AS n, count(DISTINCT v) || ' values' AS pv FROM vals WHERE present AND field_name = '{field}' AND document_type IN ({inlist}) GROUP BY 1)
  SELECT s.application_id, '{rule_id}' AS rule_id, CASE {" ".join(arms_s)} WHEN any_value(d.n) = 1 THEN 'PASS' ELSE 'FAIL' END AS status,
  CASE {" ".join(arms_m)} WHEN any_value(d.n) = 1 THEN 'Field {field} is consistent across the compared documents' ELSE 'Field {field} differs between documents: ' || any_value(d.pv) END AS message
  FROM s LEFT JOIN d USING (application_id) GROUP BY s.application_id)"""
@@ -302,7 +302,7 @@ _CROSS = [_cross_rule(f"cr{i}", r[0], r[2], r[3]) for i, r in enumerate(vocab.CR
 _CROSS.append(
     """cr9 AS (WITH f AS (SELECT DISTINCT application_id, v FROM vals WHERE present AND field_name = 'account_number_or_iban' AND document_type = 'ONE_LINK_LETTER'),
  c AS (SELECT DISTINCT application_id, v FROM vals WHERE present AND field_name IN ('account_number', 'iban') AND document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE'),
- u AS (SELECT application_id, string_agg('''' || v || '''', ', ' ORDER BY '''' || v || '''') AS pv FROM (SELECT * FROM f UNION SELECT * FROM c) z GROUP BY 1),
+ u AS (SELECT application_id, count(*) || ' values' AS pv FROM (SELECT * FROM f UNION SELECT * FROM c) z GROUP BY 1),
  b AS (SELECT a.application_id, EXISTS (SELECT 1 FROM e_documents d WHERE d.application_id = a.application_id AND d.document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE') AS dc,
   EXISTS (SELECT 1 FROM e_documents d WHERE d.application_id = a.application_id AND d.document_type = 'ONE_LINK_LETTER') AS df, EXISTS (SELECT 1 FROM f WHERE f.application_id = a.application_id) AS vf,
   EXISTS (SELECT 1 FROM c WHERE c.application_id = a.application_id) AS vc, EXISTS (SELECT 1 FROM f JOIN c USING (application_id, v) WHERE f.application_id = a.application_id) AS hit FROM e_applications a)
@@ -422,12 +422,28 @@ def schedule_of_charges_rule(t):
     ).select("application_id", "rule_id", "status")
 
 
+_COMPARED = [(r[0], [r[2]], list(r[3])) for r in vocab.CROSS_RULES] + [
+    (vocab.ONE_LINK_RULE[0], ["account_number_or_iban"], [vocab.ONE_LINK]),
+    (vocab.ONE_LINK_RULE[0], ["account_number", "iban"], [vocab.CERTIFICATE]),
+    (cross.CURRENCY_RULE, ["currency"], [vocab.CERTIFICATE]),
+]
+
+
+def _any_of(names):
+    return ", ".join(f"'{n}'" for n in names)
+
+
 @query(
     "differing_values",
-    f"""WITH {_VALS} SELECT DISTINCT application_id, 'CROSS_IBAN_MATCH' AS rule_id, v FROM vals WHERE present AND field_name = 'iban' AND document_type IN ('ACCOUNT_MAINTENANCE_CERTIFICATE', 'BILATERAL_AGREEMENT')""",
+    f"WITH {_VALS} "
+    + " UNION ".join(
+        f"SELECT application_id, '{rule}' AS rule_id, v FROM vals WHERE present"
+        f" AND field_name IN ({_any_of(fields)}) AND document_type IN ({_any_of(types)})"
+        for rule, fields, types in _COMPARED
+    ),
 )
 def differing_values(t):
-    return cross.differing_values(_vals(t)).filter(F.col("rule_id") == "CROSS_IBAN_MATCH")
+    return cross.differing_values(_vals(t))
 
 
 _ALL = _union(_DOCUMENT, _FIELD, _FORMAT, _CROSS, _DATE, _VISUAL, _POLICY, _QUALITY)

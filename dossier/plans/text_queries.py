@@ -5,11 +5,11 @@ import re
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.operators import bankblock as BB
 from dossier.operators import checks as CK
 from dossier.operators import extract as X
 from dossier.operators import patterns as PT
 from dossier.operators import splitting as S
+from dossier.operators.accountlines import account_values
 from dossier.operators.normalize import outcome_tally
 from dossier.plans.catalog import AS_OF, query
 from dossier.plans.document_queries import _REQUIRED
@@ -300,7 +300,7 @@ def extract_fields(t):
 )
 def bank_block(t):
     texts = _texts(t).filter(F.col("stored_type").isin(*PT.BANK_BLOCK_TYPES))
-    return BB.bank_block(texts)
+    return texts.select("document_id", *[c.alias(n) for n, c in account_values(F.col("text")).items()])
 
 
 _EXPECTED = _values(

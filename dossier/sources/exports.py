@@ -12,6 +12,7 @@ from dossier.operators.feedback import (
     learning_export_rows,
     learning_version,
 )
+from dossier.session import stored
 
 
 def _write(rows: DataFrame, path: str, fmt: str) -> None:
@@ -30,10 +31,13 @@ def write_feedback_export(feedback: DataFrame, path: str, fmt: str) -> None:
 
 
 def write_learning_export(curated: DataFrame, path: str, fmt: str) -> DataFrame:
-    """Curated dataset under ``records`` and its version row under ``version``."""
-    _write(learning_export_rows(curated), f"{path}/records", fmt)
-    learning_version(curated).write.mode("overwrite").parquet(f"{path}/version")
-    return curated.sparkSession.read.parquet(f"{path}/version")
+    """Curated dataset and its version row, in a folder named by the version; the exports of
+    other versions stay. Gives back the version row."""
+    version = stored(learning_version(curated))
+    name = version.select("dataset_version").first()[0]
+    _write(learning_export_rows(curated), f"{path}/records/dataset_version={name}", fmt)
+    version.write.mode("overwrite").parquet(f"{path}/version/dataset_version={name}")
+    return version
 
 
 def replaced_results(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -43,9 +47,22 @@ def replaced_results(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_results(new: DataFrame, path: str) -> None:
-    """Overwrite only the (run_date, rule_category) partitions present in ``new``."""
+    """Exchange the results of the (application, category) pairs in ``new`` in place.
+
+    Only the (run_date, rule_category) partitions present in ``new`` are written again; the
+    rows of other applications in them are set aside in the shared folder first.
+    """
+    spark, keys = new.sparkSession, ["run_date", "rule_category"]
+    rows = stored(new)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        touched = rows.select(*keys).distinct()
+        rerun = rows.select("application_id", *keys).distinct()
+        held = spark.read.schema(new.schema).parquet(path).join(touched, keys, "left_semi")
+        rows = rows.unionByName(stored(held.join(rerun, ["application_id", *keys], "left_anti")))
     (
-        new.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_date", "rule_category")
         .parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -82,29 +82,43 @@ def stream_queue_backlog(jobs: DataFrame) -> DataFrame:
     )
 
 
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that are stored below ``path``."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    files = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in files or ())
+
+
+def _keep(batch: DataFrame, path: str, epoch: int) -> DataFrame:
+    """Store a batch under its number, so that a replay replaces it; all batches up to it."""
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    folders = [f"{path}/epoch={e}" for e in _epochs(spark, path) if e <= epoch]
+    return spark.read.schema(batch.schema).parquet(*folders)
+
+
 def stream_completeness(
     documents: DataFrame, apps: DataFrame, stored_path: str, out_path: str
 ) -> DataStreamWriter:
     """Refresh the completeness of every application that new documents arrive for.
 
-    ``stored_path`` holds all documents so far; the snapshot under ``out_path`` is written
-    anew for each batch, in a folder of its own.
+    ``stored_path`` holds all documents so far, one folder per batch; the snapshot under
+    ``out_path`` is written anew for each batch, from the last one found there. Nothing is
+    kept in the driver, so a restart goes on from what is stored and a replayed batch
+    replaces itself.
     """
-    state: dict[str, str | None] = {"current": None}
 
     def refresh(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(stored_path)
+        everything = _keep(batch, stored_path, epoch)
         touched = batch.select("application_id").distinct()
-        everything = spark.read.schema(batch.schema).parquet(stored_path)
         held = everything.join(touched, "application_id", "left_semi")
         fresh = completeness(apps.join(touched, "application_id", "left_semi"), held)
-        if state["current"] is not None:
-            before = spark.read.schema(fresh.schema).parquet(state["current"])
+        earlier = [e for e in _epochs(spark, out_path) if e < epoch]
+        if earlier:
+            before = spark.read.schema(fresh.schema).parquet(f"{out_path}/epoch={earlier[-1]}")
             fresh = upsert(before, fresh, ["application_id"])
-        target = f"{out_path}/epoch={epoch}"
-        fresh.write.mode("overwrite").parquet(target)
-        state["current"] = target
+        fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     return documents.writeStream.foreachBatch(refresh)
 
@@ -126,18 +140,16 @@ def start_analysis_once(
 
     def start(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(jobs_path)
-        everything = spark.read.schema(batch.schema).parquet(jobs_path)
+        everything = _keep(batch, jobs_path, epoch)
         latest = everything.groupBy("job_id").agg(
             F.max_by(F.struct("application_id", "job_type", "status"), "seq").alias("j")
         ).select("job_id", "j.*")
-        ready = ready_for_analysis(latest, apps).filter("outcome = 'START'").select("application_id")
-        known = spark.read.schema("application_id LONG, epoch LONG").option(
-            "pathGlobFilter", "*.parquet"
-        )
-        started = known.parquet(started_path).select("application_id")
-        new = ready.join(started, "application_id", "left_anti")
-        new.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(started_path)
+        new = ready_for_analysis(latest, apps).filter("outcome = 'START'").select("application_id")
+        earlier = [f"{started_path}/epoch={e}" for e in _epochs(spark, started_path) if e < epoch]
+        if earlier:
+            started = spark.read.schema("application_id LONG").parquet(*earlier)
+            new = new.join(started, "application_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{started_path}/epoch={epoch}")
 
     return jobs.writeStream.foreachBatch(start)
 

@@ -4,13 +4,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from dossier.operators import ordered, splitting
-from dossier.operators.bankblock import read_block
+from dossier.operators import extract, ordered, splitting
+from dossier.operators.accountlines import account_values
 from dossier.operators.lifecycle import waiting_spans
-from dossier.operators.rules import base, catalogue, presence
+from dossier.operators.rules import base, catalogue, cross, presence
 from dossier.functions.timing import moment
 from dossier.sources import exports
 from dossier.sources.files import scan_files
+from dossier.streaming import streams
 
 
 def at(day, hour=0):
@@ -81,7 +82,13 @@ def test_bulk_file_cuts(spark):
     assert _segments(spark, "x\n" * 9 + "Authority Letter") == [("AUTHORITY_LETTER", 0, 0)]
 
 
-def test_bank_block_forms():
+def test_bank_block_forms(spark):
+    def read_block(text):
+        row = spark.createDataFrame([(text,)], "t string").select(
+            *[c.alias(n) for n, c in account_values(F.col("t")).items()]
+        ).first()
+        return {n: v for n, v in row.asDict().items() if v is not None}
+
     table = "Account Title\nAccount No\nOffice of the Town Council Board\n0012345678"
     assert read_block(table) == {
         "account_holder": "Office of the Town Council Board",
@@ -95,9 +102,68 @@ def test_bank_block_forms():
     }
     below = "Account Title:\nTown Fund\n(Main)\nAccount Number\n99887766"
     assert read_block(below)["account_number"] == "99887766"
+    both = "Account No / IBAN: 12345678 / PK36SCBL0000001123456702"
+    assert read_block(both) == {"account_number": "12345678", "iban": "PK36SCBL0000001123456702"}
     prose = "This is in the name of Town Council. Account No 55"
     assert read_block(prose) == {"account_holder": "Town Council"}
-    assert read_block("nothing here") == {}
+    assert read_block("nothing here") == read_block(None) == {}
+
+
+def test_cross_message_is_alike_at_every_size(spark):
+    schema = "application_id long, document_type string, field_name string, v string, present boolean"
+    rule = ("R", "Rule", "iban", ("ACCOUNT_MAINTENANCE_CERTIFICATE", "BILATERAL_AGREEMENT"))
+    sizes = {1: 1, 2: 200, 3: 201, 4: 5000}
+    rows = [
+        (app, t, "iban", f"v{i}", True) for app, n in sizes.items() for i in range(n) for t in rule[3]
+    ]
+    docs = spark.createDataFrame([(a, t) for a in sizes for t in rule[3]], "application_id long, document_type string")
+    docs = docs.withColumn("document_id", F.monotonically_increasing_id())
+    apps = docs.select("application_id").distinct()
+    got = cross.cross_rules(apps, docs, spark.createDataFrame(rows, schema), [rule]).filter("rule_id = 'R'")
+    messages = {r.application_id: r.message for r in got.collect()}
+    assert messages[1] == "Field iban is consistent across the compared documents"
+    for app in (2, 3, 4):
+        assert messages[app] == f"Field iban differs between documents: {sizes[app]} values"
+
+
+def test_two_resolved_values_for_one_name(spark):
+    analysis = spark.sql(
+        "SELECT 1L AS document_id, map('a', 'x') AS extracted_fields,"
+        " array(named_struct('field', 'b', 'status', 'missing')) AS validation_results"
+    )
+    resolved = spark.sql("SELECT * FROM VALUES (1L, 'b', 'z'), (1L, 'b', 'y') AS t(document_id, field_name, value)")
+    assert extract.merge_fallback(analysis, resolved).first().extracted_fields == {"a": "x", "b": "y"}
+
+
+def _batches(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _drain(writer, checkpoint):
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_completeness_survives_a_restart(spark, tmp_path):
+    schema = "document_id long, application_id long, document_type string, processing_status string, uploaded_at timestamp_ntz"
+    apps = spark.createDataFrame([(1, "SUBMITTED"), (2, "SUBMITTED")], "application_id long, status string")
+    for app in (1, 2):  # each round is a stream of its own, from the same checkpoint
+        stream = _batches(spark, str(tmp_path / "in"), [(app, app, "AUTHORITY_LETTER", "UPLOADED", at(1))], schema)
+        writer = streams.stream_completeness(stream, apps, str(tmp_path / "kept"), str(tmp_path / "out"))
+        _drain(writer, str(tmp_path / "check"))
+    last = spark.read.parquet(str(tmp_path / "out" / "epoch=1"))
+    assert {r.application_id for r in last.collect()} == {1, 2}
+
+
+def test_analysis_starts_once(spark, tmp_path):
+    schema = "job_id long, application_id long, job_type string, status string, seq long"
+    apps = spark.createDataFrame([(1, "PROCESSING"), (2, "PROCESSING")], "application_id long, status string")
+    for rows in ([(1, 1, "DOCUMENT_OCR", "COMPLETED", 1)], [(1, 1, "DOCUMENT_OCR", "COMPLETED", 2), (2, 2, "DOCUMENT_OCR", "COMPLETED", 1)]):
+        stream = _batches(spark, str(tmp_path / "in"), rows, schema)
+        writer = streams.start_analysis_once(stream, apps, str(tmp_path / "started"), str(tmp_path / "jobs"))
+        _drain(writer, str(tmp_path / "check"))
+    got = [(r.epoch, r.application_id) for r in spark.read.parquet(str(tmp_path / "started")).collect()]
+    assert sorted(got) == [(0, 1), (1, 2)]
 
 
 def test_first_deciding_value_wins(spark):
@@ -133,12 +199,15 @@ def test_exports_and_replacement(spark, tmp_path):
     exports.write_feedback_export(feedback, str(tmp_path / "c"), "csv")
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first().human_corrected_value == 'b,"c"'
     results = spark.createDataFrame(
-        [("d", "date", 1), ("d", "format", 1)], "run_date string, rule_category string, n int"
+        [(1, "d", "date", 1), (2, "d", "date", 1), (1, "d", "format", 1)],
+        "application_id long, run_date string, rule_category string, n int",
     )
     path = str(tmp_path / "r")
     exports.replace_results(results, path)
-    exports.replace_results(results.filter("rule_category = 'date'").withColumn("n", F.lit(2)), path)
-    assert {(r.rule_category, r.n) for r in spark.read.parquet(path).collect()} == {("date", 2), ("format", 1)}
+    again = results.filter("rule_category = 'date' AND application_id = 1").withColumn("n", F.lit(2))
+    exports.replace_results(again, path)
+    got = {(r.application_id, r.rule_category, r.n) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "date", 2), (2, "date", 1), (1, "format", 1)}
 
 
 def test_scan_files(spark, tmp_path):
