@@ -267,10 +267,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def _entries(placed: DataFrame, most_splits: int) -> DataFrame:
     """The reachable candidate that is first in each split, by pointer jumping: each round
     adds what one jump reaches and joins the jumps with themselves, doubling their length."""
-    exits = placed.select("file", F.col("leaves").alias("offset")).distinct()
-    jumps = placed.join(exits, ["file", "offset"], "left_semi").unionByName(
-        placed.filter("offset = 0").join(exits, ["file", "offset"], "left_anti")
-    ).select("file", "offset", F.col("leaves").alias("to"))
+    exits = placed.select("file", F.col("leaves").alias("offset"), F.lit(True).alias("met")).distinct()
+    jumps = stored(
+        placed.join(exits, ["file", "offset"], "left")
+        .filter("met OR offset = 0")
+        .select("file", "offset", F.col("leaves").alias("to"))
+    )
     reached = placed.filter("offset = 0").select("file", "offset")
     for _ in range(math.ceil(math.log2(max(1, most_splits)))):
         ahead = reached.join(jumps, ["file", "offset"]).select("file", F.col("to").alias("offset"))
