@@ -253,7 +253,9 @@ def good_documents(
     """The rows of ``documents`` with a score of at least one half, all columns kept."""
     whole = F.struct(*[documents[c] for c in documents.columns]).alias("_row")
     stats = statistics(documents.select(whole, documents[text_col].alias("_text")), "_text", ["_row"])
-    return stats.filter(model.score() >= 0.5).select("_row.*")
+    # A filter would be pushed below the statistics and compute them anew for every rule.
+    kept = F.explode(F.when(model.score() >= 0.5, F.array("_row"))).alias("_row")
+    return stats.select(kept).select("_row.*")
 
 
 @query("op5_quality_rules")
