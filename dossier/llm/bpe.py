@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.registry import query, table
-from dossier.llm.token_counts import LETTERS, merged, vocabulary
+from dossier.llm.token_counts import LETTERS, WORKER_LENGTH, merged, vocabulary
 
 #: The splitting pattern and the end mark of the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -95,17 +95,19 @@ class PrefixEncoder:
 
 
 class WordIds(dict):
-    """Ids of each word met by a worker."""
+    """Ids of each word met by a worker; those of long words are found anew each time."""
 
     def __init__(self, encoder: PrefixEncoder) -> None:
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORKER_WORDS:
-            self.clear()
         spelled = "".join(LETTERS[b] for b in word.encode("utf-8", "surrogatepass"))
-        ids = self[word] = self.encoder.encode(spelled)
+        ids = self.encoder.encode(spelled)
+        if len(word) <= WORKER_LENGTH:
+            if len(self) >= WORKER_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 

@@ -33,6 +33,8 @@ TABLE_DOCUMENTS = 2_000
 #: Longer pre-tokens stay out of the table, which bounds its bytes.
 TABLE_LENGTH = 32
 WORKER_ENTRIES = 400_000
+#: Longer pre-tokens are counted each time they are met, which bounds the bytes of a worker.
+WORKER_LENGTH = 128
 
 
 def byte_letters() -> list[str]:
@@ -97,10 +99,11 @@ class Lengths(dict):
 
     def __missing__(self, piece: str) -> int:
         value = piece_length(piece, self.ranks)
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.frequent)
-        self[piece] = value
+        if len(piece) <= WORKER_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = value
         return value
 
 
