@@ -301,16 +301,20 @@ def with_document_type(rows: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def field_source_context(fields: DataFrame, ocr: DataFrame, documents: DataFrame) -> DataFrame:
-    """Source document of each field: 0 / 'unknown' where it cannot be found."""
+def field_source_context(
+    fields: DataFrame, ocr: DataFrame, documents: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Source document of each field: 0 / 'unknown' where it cannot be found. ``keep`` names
+    further columns of ``fields`` that are carried along."""
     sources = ocr.select("ocr_result_id", F.col("document_id").alias("_doc")).join(
         documents.select(F.col("document_id").alias("_doc"), "original_filename"), "_doc", "left"
     )
-    return fields.select("ocr_result_id", "field_name").join(
+    return fields.select("ocr_result_id", "field_name", *keep).join(
         sources, "ocr_result_id", "left"
     ).select(
         "ocr_result_id",
         "field_name",
+        *keep,
         F.coalesce("_doc", F.lit(0)).alias("document_id"),
         F.coalesce("original_filename", F.lit("unknown")).alias("file_name"),
     )
