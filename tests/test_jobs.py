@@ -4,12 +4,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from dossier.operators import extract, ordered, splitting
+from dossier.operators import extract, feedback as corrections, ordered, splitting
 from dossier.operators.accountlines import account_values
 from dossier.operators.lifecycle import waiting_spans
 from dossier.operators.rules import base, catalogue, cross, presence
 from dossier.functions.timing import moment
-from dossier.sources import exports
+from dossier.sources import bindings, exports, tables
 from dossier.sources.files import scan_files
 from dossier.streaming import streams
 
@@ -210,6 +210,35 @@ def test_exports_and_replacement(spark, tmp_path):
     assert got == {(1, "date", 2), (2, "date", 1), (1, "format", 1)}
 
 
+def test_learning_export_keeps_each_version(spark, data_dir, tmp_path):
+    t = bindings.Tables(spark, data_dir)
+    curated, path = corrections.curate(t.feedback, t.entity("documents")), str(tmp_path / "x")
+    part = curated.filter("application_id % 2 = 0")
+    names = [exports.write_learning_export(c, path, "json").first().dataset_version for c in (curated, part, part)]
+    assert names[0] != names[1] == names[2]
+    counts = dict(map(tuple, spark.read.json(f"{path}/records").groupBy("dataset_version").count().collect()))
+    assert counts == {names[0]: curated.count(), names[1]: part.count()}
+    versions = spark.read.parquet(f"{path}/version").collect()
+    assert {r.dataset_version: r.record_count for r in versions} == counts
+
+
+def test_stored_history_is_read_as_table_and_as_stream(spark, data_dir, tmp_path):
+    events = bindings.history(bindings.Tables(spark, data_dir))
+    root, names = str(tmp_path), [c.split()[0] for c in tables.SCHEMAS["validation_history"].split(", ")]
+    stored = events.select(*[c for c in names if c in events.columns])
+    exports.append_history(stored.filter("application_id % 2 = 0"), f"{root}/validation_history")
+    exports.append_history(stored.filter("application_id % 2 = 1"), f"{root}/validation_history")
+    held = tables.read_table(spark, root, "validation_history")
+    assert sorted(r.id for r in held.select("id").collect()) == sorted(r.id for r in stored.select("id").collect())
+    added = tables.stream_table(spark, root, "validation_history").groupBy("event_type").count()
+    run = (
+        added.writeStream.format("memory").queryName("history_counts").outputMode("complete")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination(90)
+    assert sorted(spark.table("history_counts").collect()) == sorted(held.groupBy("event_type").count().collect())
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.bin").write_bytes(b"zzz")
