@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from dossier.plans import catalog  # noqa: E402
 from dossier.session import data_root, local_session  # noqa: E402
+from dossier.sources.bindings import Tables  # noqa: E402
 
 HEADLINE = (
     "performance_breakdown",
@@ -30,7 +31,10 @@ HEADLINE = (
     "evaluate_rules",
     "extract_fields",
     "analyze_documents",
+    "analysis_stages",
+    "bulk_file_documents",
     "validation_report",
+    "stream_completeness",
 )
 
 
@@ -46,7 +50,8 @@ def main() -> None:
         catalog.QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
     documents = spark.read.parquet(f"{root}/lineitem.parquet").count()
-    rules = seconds.get("evaluate_rules")
+    texts = Tables(spark, root).texts.count()
+    rules, analysis = seconds.get("evaluate_rules"), seconds.get("analyze_documents")
     print(
         json.dumps(
             {
@@ -57,6 +62,8 @@ def main() -> None:
                 "sf": os.path.basename(root.rstrip("/")).removeprefix("sf"),
                 "documents": documents,
                 "rules_documents_per_second": round(documents / rules, 1) if rules else None,
+                "texts": texts,
+                "analysis_documents_per_second": round(texts / analysis, 1) if analysis else None,
             }
         )
     )
