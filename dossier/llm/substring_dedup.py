@@ -11,8 +11,8 @@ document that holds it. Under any other minimizer (pieces that only overlap: the
 repeated span, edited copies) the pieces are opened again, and their single windows are
 decided one by one. A fixed-size bit array of the branching minimizers lets the second scan
 open only those pieces; what the array lets through in error costs work, never a result. The
-source coordinates of decided pieces and windows are joined back to the texts, where the
-covered words are removed.
+source coordinates of decided pieces and windows are joined back to the texts, where each is
+verified against the words that stand there before they are removed.
 
 Equality of windows is that of two independent 64-bit hashes, the minimizer's and the
 window's own.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.registry import query, table
@@ -133,6 +133,23 @@ def _opened(df: DataFrame, k: int, m: int, branching) -> DataFrame:
     return df.mapInArrow(scan, "least long, window long, id long, start int")
 
 
+def _mark(name: str) -> Column:
+    return F.expr(f"shiftright(shiftleft({name}, 32), 32)").cast("int").alias("mark")
+
+
+def _verified(ranges: RangeHashes, begin: np.ndarray, n: np.ndarray, mark: np.ndarray, k: int):
+    """Which runs say the words of this very text; rows that share an id share their runs.
+
+    ``n`` is 0 for a single window, whose hash leaves the length out."""
+    size = len(ranges.sums) - 1
+    inside = begin + np.maximum(n, 1) + (k - 1) <= size
+    own = np.zeros(len(begin), np.uint64)
+    piece, single = inside & (n > 0), inside & (n == 0)
+    own[piece] = ranges.ranges(begin[piece], begin[piece] + n[piece] + (k - 1))
+    own[single] = ranges.windows_at(begin[single], k)
+    return inside & (own.astype(np.uint32).view(np.int32) == mark)
+
+
 def repeated_spans(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -141,8 +158,8 @@ def repeated_spans(
     m: int = MINIMIZER,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
-    """(id, start, n): runs of ``n`` windows from word ``start`` on, each of which also
-    starts in a row with a smaller id."""
+    """(id, start, n, mark): runs of ``n`` windows from word ``start`` on, each of which also
+    starts in a row with a smaller id. ``mark``: low half of the hash of the words of the run."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = stored(_pieces(rows, k, m))
@@ -152,14 +169,15 @@ def repeated_spans(
     branching = stored(branching)
     # One piece under its minimizer, held by several documents: decided as a whole.
     straight = first.filter("first < last").join(branching, "least", "left_anti").select("least", "piece", "first")
-    whole = pieces.join(straight, ["least", "piece"]).filter("id > first").select("id", "start", "n")
+    whole = pieces.join(straight, ["least", "piece"]).filter("id > first")
+    whole = whole.select("id", "start", "n", _mark("piece"))
     held = spark.sparkContext.broadcast(_branching_filter(branching, filter_bits))
     windows = stored(_opened(rows, k, m, held))
     sources = windows.groupBy("least", "window").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     single = (
         windows.join(sources.filter("first < last").drop("last"), ["least", "window"])
         .filter("id > first")
-        .select("id", "start", F.lit(1).alias("n"))
+        .select("id", "start", F.lit(0).alias("n"), _mark("window"))
     )
     # Pieces that the bit array let through in error are decided twice, alike.
     return whole.unionByName(single)
@@ -176,27 +194,32 @@ def remove_repeats(
 ) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     spans = repeated_spans(df, id_col, text_col, k, m, filter_bits)
-    by_row = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    by_row = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "mark")).alias("spans"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = rows.join(by_row, "id", "left").select(
         "id",
         "text",
         F.transform("spans", lambda s: s["start"]).alias("starts"),
         F.transform("spans", lambda s: s["n"]).alias("ns"),
+        F.transform("spans", lambda s: s["mark"]).alias("marks"),
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, powers = WordHashes(), Powers()
         for batch in batches:
             counts, removed, digests, kept_texts = [], [], [], []
-            for text, starts, ns in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for text, starts, ns, marks in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 words = text_words(text)
                 counts.append(len(words))
                 gone = 0
                 if starts:
-                    begin = np.array(starts)
+                    begin, n = np.array(starts), np.array(ns)
+                    ranges = RangeHashes(hashes.of(words), powers)
+                    true = _verified(ranges, begin, n, np.array(marks, np.int32), k)
+                    begin, n = begin[true], np.maximum(n[true], 1)
                     depth = np.zeros(len(words) + 1, np.int64)
                     np.add.at(depth, begin, 1)
-                    np.add.at(depth, begin + np.array(ns) + (k - 1), -1)
+                    np.add.at(depth, begin + n + (k - 1), -1)
                     keep = np.cumsum(depth[:-1]) == 0
                     gone = len(words) - int(keep.sum())
                     words = [w for w, stays in zip(words, keep) if stays]

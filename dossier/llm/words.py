@@ -72,6 +72,10 @@ class RangeHashes:
             return np.zeros(0, np.uint64)
         return mixed((self.sums[k:] - self.sums[: n - k + 1]) * self.powers.down[: n - k + 1])
 
+    def windows_at(self, start: np.ndarray, k: int) -> np.ndarray:
+        """Hash of the windows of ``k`` words that begin at ``start``."""
+        return mixed((self.sums[start + k] - self.sums[start]) * self.powers.down[start])
+
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of the words ``start <= i < stop`` of each pair, its length included."""
         value = (self.sums[stop] - self.sums[start]) * self.powers.down[start]

@@ -102,6 +102,18 @@ def test_substring_dedup_equals_brute_force(documents, odd, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    words = [f"w{i}" for i in range(300)]
+    said = " ".join(words)
+    texts = [(1, said), (2, "short"), (2, "new " * 70 + said), (2, " ".join(words[::-1])), (2, said), (2, None)]
+    texts += [(3, "other " + " ".join(words[40:200]) + " end"), (3, said[:40])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = collections.Counter(tuple(r) for r in substring_dedup.remove_repeats(df).collect())
+    want = [(1, 300, 0, said), (2, 1, 0, "short"), (2, 370, 300, " ".join(["new"] * 70)), (2, 300, 0, " ".join(words[::-1]))]
+    want += [(2, 300, 300, ""), (2, 0, 0, ""), (3, 162, 160, "other end"), (3, len(said[:40].split()), 0, said[:40].strip())]
+    assert rows == collections.Counter((i, n, gone, sha(kept.encode()), kept) for i, n, gone, kept in want)
+
+
 def _groups(rows):
     """Links and groups by comparing all pairs that share a shingle."""
     sets = {}
@@ -196,6 +208,11 @@ def test_quality_rules(spark, data_dir, documents, odd, nothing):
     assert {r.score for r in quality_rules.score_quality(odd, none).collect()} == {0.5}
 
 
+def test_repeated_ids_do_not_enlarge_the_sample(spark, data_dir, documents):
+    labels = spark.read.parquet(f"{data_dir}/labels.parquet")
+    assert quality_rules.learn(documents.unionByName(documents), labels) == quality_rules.learn(documents, labels)
+
+
 def test_held_out_rows_are_not_learned_from(spark, data_dir, documents):
     labels = spark.read.parquet(f"{data_dir}/labels.parquet")
     other = labels.withColumn(
