@@ -11,7 +11,8 @@ whole-text statistics.
 
 Cases: null and empty texts have statistics of zero and get a score like any other; null
 labels are not learned from; a label without a text, or without the other class, leaves the
-base rate as score; repeated rows are scored alike; an empty table gives no rows.
+base rate as score; repeated rows are scored alike, and of the documents of one id one is
+learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -232,8 +233,11 @@ def learn(
     )
     # At most sample_rows ids and labels: a broadcast of bounded size.
     rows = documents.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    stats = statistics(rows, text_col, ["_label"]).toPandas()
-    names = [c for c in stats.columns if c != "_label"]
+    found = statistics(rows, text_col, [id_col, "_label"])
+    names = [c for c in found.columns if c.startswith("x_")]
+    # One row for each id, however many documents bear it.
+    single = found.groupBy(id_col, "_label").agg(F.min(F.struct(*names)).alias("x"))
+    stats = single.select("_label", "x.*").toPandas()
     values = stats.sort_values(list(stats.columns))
     return fit_rules(values[names].to_numpy(float), values["_label"].to_numpy(float), names)
 
