@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import vocab
 from dossier.functions.lit import lookup, sorted_present
-from dossier.operators.ordered import day_chunk, numbered
+from dossier.operators.ordered import evenly_numbered
 
 _CONFIGURED = (*vocab.REQUIRED_TYPES, *vocab.OPTIONAL_TYPES, *vocab.PLACEHOLDER_TYPES)
 
@@ -133,7 +133,7 @@ def assign_copy_numbers(new_documents: DataFrame, documents: DataFrame) -> DataF
     keys = ["application_id", "document_type"]
     highest = documents.groupBy(*keys).agg(F.max("copy_number").alias("_highest"))
     order = [F.col("uploaded_at"), F.col("document_id")]
-    counted = numbered(new_documents, keys, order, day_chunk("uploaded_at"), "_nth")
+    counted = evenly_numbered(new_documents, keys, order, "_nth")
     return (
         counted.join(highest, keys, "left")
         .withColumn(

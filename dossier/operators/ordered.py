@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.session import stored
+
 CHUNK = "_chunk"
 
 
@@ -74,6 +76,19 @@ def numbered(
     )
 
 
+def evenly_numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position"
+) -> DataFrame:
+    """``row_number`` where no time bucket bounds a chunk, as after a bulk import.
+
+    Rows are dealt out by ranges of keys and order, so chunks are of like size whatever their
+    times are. Each row is stored with its chunk, so a task that runs again finds the same one.
+    """
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    rows = stored(dealt.withColumn(CHUNK, F.spark_partition_id()))
+    return numbered(rows, keys, order, F.col(CHUNK), out)
+
+
 def with_next(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier import vocab
 from dossier.functions.lit import lookup
 from dossier.functions.timing import moment
-from dossier.operators.ordered import day_chunk, hour_chunk, numbered
+from dossier.operators.ordered import evenly_numbered
 
 DOCUMENT_JOB = "DOCUMENT_OCR"
 
@@ -105,11 +105,8 @@ def claim_order(jobs: DataFrame, as_of: str) -> DataFrame:
         "job_id", "application_id", "status", "created_at", "retry_at"
     )
     rank = F.when(waiting, 0).otherwise(1)
-    # Hours since 1970 stay far below ten million, so the rank leads the chunk order.
-    chunk = rank * 10_000_000 + hour_chunk("created_at")
-    return numbered(
-        open_jobs, [], [rank, F.col("created_at"), F.col("job_id")], chunk, "claim_position"
-    )
+    order = [rank, F.col("created_at"), F.col("job_id")]
+    return evenly_numbered(open_jobs, [], order, "claim_position")
 
 
 def retry_schedule(
@@ -172,7 +169,5 @@ def operator_queue(apps: DataFrame, completeness: DataFrame, latest: DataFrame)
         lookup(F.col("status"), vocab.QUEUE_RANK, F.lit(vocab.QUEUE_RANK_OTHER)),
     )
     calm = F.when(F.col("needs_attention"), 0).otherwise(1)
-    # Days since 1970 stay far below ten million, so rank and attention lead the order.
-    chunk = (F.col("queue_rank") * 2 + calm) * 10_000_000 + day_chunk("updated_at")
     order = [F.col("queue_rank"), calm, F.col("updated_at"), F.col("application_id")]
-    return numbered(ranked, [], order, chunk, "queue_position")
+    return evenly_numbered(ranked, [], order, "queue_position")

@@ -244,3 +244,23 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"zzz")
     got = {r.filename: r.sniffed for r in scan_files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": ".pdf", "b.bin": None}
+
+
+def test_numbering_of_a_bulk_import_spreads_over_chunks(spark):
+    """One key and one time for all rows: positions are whole, chunks of like size."""
+    rows = spark.range(20_000).select(
+        F.lit(1).alias("k"), F.lit("2024-01-01").cast("timestamp").alias("at"), F.col("id")
+    )
+    rows = rows.unionByName(rows.filter("id < 3").withColumn("k", F.lit(None).cast("int")))
+    order = [F.col("at"), F.col("id")]
+    got = ordered.evenly_numbered(rows, ["k"], order, "n")
+    assert got.filter("n <> id + 1").count() == 0 and got.count() == 20_003
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # else Spark joins chunks as small as these
+    try:
+        dealt = rows.repartitionByRange(F.col("k"), *order).groupBy(F.spark_partition_id()).count()
+        assert dealt.agg(F.max("count")).first()[0] < 10_000
+        assert ordered.evenly_numbered(rows, ["k"], order, "n").filter("n <> id + 1").count() == 0
+    finally:
+        spark.conf.unset(key)
+    assert ordered.evenly_numbered(rows.filter("id < 0"), [], order).count() == 0
