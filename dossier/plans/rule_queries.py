@@ -459,13 +459,26 @@ def evaluate_rules(t):
     ).select(*_SHOWN, "severity")
 
 
+@query("rule_related_documents")
+def rule_related_documents(t):
+    """All registered rules; the presence rules have SQL below, the others a test by hand."""
+    docs, fields = t.entity("documents"), t.table("fields")
+    results = engine.evaluate_rules(t.applications, docs, fields, t.detections, AS_OF)
+    return engine.related_documents(results, docs, fields, AS_OF)
+
+
 @query(
-    "rule_related_documents",
-    f"""WITH {_VALS} SELECT DISTINCT d.application_id, 'FLD_IBAN_PRESENT' AS rule_id, v.document_id FROM e_applications d JOIN vals v ON v.application_id = d.application_id AND v.field_name = 'iban' AND v.document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE'
-UNION ALL SELECT a.application_id, 'DOC_AMC_PRESENT', d.document_id FROM e_applications a JOIN e_documents d ON d.application_id = a.application_id AND d.document_type = 'ACCOUNT_MAINTENANCE_CERTIFICATE'""",
+    "presence_rule_documents",
+    f"""WITH {_VALS} SELECT a.application_id, r.rule_id, d.document_id FROM e_applications a CROSS JOIN (VALUES {_DOC_ROWS}) AS r(rule_id, t)
+ JOIN e_documents d ON d.application_id = a.application_id AND d.document_type = r.t
+UNION ALL SELECT DISTINCT a.application_id, r.rule_id, v.document_id FROM e_applications a CROSS JOIN (VALUES {_FLD_ROWS}) AS r(rule_id, f, t, l)
+ JOIN vals v ON v.application_id = a.application_id AND v.field_name = r.f AND v.document_type = r.t""",
 )
-def rule_related_documents(t):
-    docs = t.entity("documents")
-    results = engine.evaluate_rules(t.applications, docs, t.table("fields"), t.detections, AS_OF)
-    rows = engine.related_documents(results, docs, t.table("fields"), AS_OF)
-    return rows.filter(F.col("rule_id").isin("FLD_IBAN_PRESENT", "DOC_AMC_PRESENT"))
+def presence_rule_documents(t):
+    """The documents behind the results of the document and field presence rules."""
+    docs, fields = t.entity("documents"), t.table("fields")
+    of_documents = presence.document_rules(t.applications, docs)
+    of_fields = presence.value_rule_results(
+        t.applications, base.with_values(fields), catalogue.presence_rules()
+    )
+    return engine.related_documents(of_documents.unionByName(of_fields), docs, fields, AS_OF)

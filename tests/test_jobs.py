@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from dossier.operators import extract, feedback as corrections, ordered, splitting
 from dossier.operators.accountlines import account_values
 from dossier.operators.lifecycle import waiting_spans
-from dossier.operators.rules import base, catalogue, cross, presence
+from dossier import vocab
+from dossier.operators.rules import base, catalogue, cross, engine, pairs, presence
 from dossier.functions.timing import moment
+from dossier.plans.catalog import AS_OF
+from dossier.session import stored
 from dossier.sources import bindings, exports, tables
 from dossier.sources.files import scan_files
 from dossier.streaming import streams
@@ -264,3 +267,50 @@ def test_numbering_of_a_bulk_import_spreads_over_chunks(spark):
     finally:
         spark.conf.unset(key)
     assert ordered.evenly_numbered(rows.filter("id < 0"), [], order).count() == 0
+
+
+def test_related_documents_of_every_rule(spark, data_dir):
+    t = bindings.Tables(spark, data_dir)
+    docs, fields = t.entity("documents"), t.table("fields")
+    results = stored(engine.evaluate_rules(t.applications, docs, fields, t.detections, AS_OF))
+    types = {r.rule_id: {r.document_type} for r in (*vocab.DOCUMENT_RULES, *vocab.VISUAL_RULES)}
+    types |= {r[0]: set(r[3]) for r in vocab.CROSS_RULES}
+    types[cross.ONE_LINK_ID] = {vocab.ONE_LINK, vocab.CERTIFICATE}
+    reads = {
+        r.rule_id: (set(r.fields), r.document_type, r.category == "format", r.rule_id == "QUAL_NORMALIZED_VALUES_CLEAN")
+        for r in catalogue.value_rules(moment(AS_OF).cast("date"))
+    }
+    reads[pairs.ISSUE_RULE] = ({"issue_date", "expiry_date"}, None, False, False)
+    reads[pairs.SALARY_RULE] = ({"salary_month", "statement_period"}, None, False, False)
+    balances = {"opening_balance", "closing_balance", "total_credits", "total_debits"}
+    reads[pairs.BALANCE_RULE] = (balances, vocab.CERTIFICATE, False, False)
+    reads[cross.CURRENCY_RULE] = ({"currency"}, vocab.CERTIFICATE, False, False)
+    own_docs, own_values = {}, {}
+    for r in docs.select("application_id", "document_id", "document_type").collect():
+        own_docs.setdefault(r.application_id, []).append(r)
+    for r in base.with_values(fields).collect():
+        own_values.setdefault(r.application_id, []).append(r)
+    want, seen = set(), set()
+    for r in results.collect():
+        seen.add(r.rule_id)
+        if not r.has_related_documents:
+            continue
+        if r.deciding_document_id is not None:
+            want.add((r.application_id, r.rule_id, r.deciding_document_id))
+            continue
+        if r.rule_id in types:
+            found = [d for d in own_docs.get(r.application_id, []) if d.document_type in types[r.rule_id]]
+        else:
+            names, kind, only_present, only_filled = reads[r.rule_id]
+            found = [
+                v
+                for v in own_values.get(r.application_id, [])
+                if (not names or v.field_name in names)
+                and (kind is None or v.document_type == kind)
+                and (v.present or not only_present)
+                and (v.nv or not only_filled)
+            ]
+        want |= {(r.application_id, r.rule_id, x.document_id) for x in found}
+    got = [tuple(r) for r in engine.related_documents(results, docs, fields, AS_OF).collect()]
+    assert len(seen) == 55 and seen == set(types) | set(reads)
+    assert sorted(got) == sorted(want)
