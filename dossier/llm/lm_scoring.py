@@ -2,14 +2,20 @@
 
 The network predicts every token from the ``REACH`` tokens on both sides of it, itself left
 out. Each place of the window has an embedding table of its own; their sum goes through tanh,
-and a two-step softmax (20 groups of 20 tokens) gives the probability of the token. The score
-of a document is the sum of the log-probabilities of all its tokens given their contexts.
+and a two-step softmax (96 groups of 96 classes) gives the probability of the token's class.
+The score of a document is the sum of the log-probabilities of all its tokens given their
+contexts.
 
-Vocabulary: the most frequent words of all documents; every other word falls into one of a
-fixed number of buckets by its hash, so each token is predicted. Training reads every token of
-every document once: in each round tasks run gradient steps on their part from common
-weights, and the weights are averaged by token count. They are summed in pieces, in two
-levels of Spark groups, so no task or driver holds the weights of all tasks.
+Vocabulary: all words of all documents. The most frequent ones are classes of their own; each
+other word belongs to a bucket by its hash, and its probability is that of the bucket times
+the share of the word in the bucket's tokens. The counts are a table that grows with the
+corpus; its most frequent words are broadcast, those beyond are joined to their tokens, by
+63 bits of hash. As context, words of a bucket are alike.
+
+The biases start at the counts of the classes. Training reads every token of every document
+once: in each round tasks run gradient steps on their part from common weights, and the
+weights are averaged by token count. They are summed in pieces, in two levels of Spark groups,
+so no task or driver holds the weights of all tasks.
 
 Cases: null and empty texts have no tokens, a log-probability of zero and a null mean; a
 single word is predicted from the edges alone; repeated rows are scored alike and count as
@@ -21,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,10 +41,13 @@ from dossier.llm.registry import query, table
 from dossier.llm.words import text_words
 from dossier.session import stored
 
-#: 20 groups of 20 tokens; so many of them are hash buckets for the words beyond.
-GROUPS = 20
+#: Classes of the network, 96 groups of 96; so many of them are hash buckets of words.
+GROUPS = 96
 VOCABULARY = GROUPS * GROUPS
-BUCKETS = 40
+BUCKETS = 1024
+WORDS = VOCABULARY - BUCKETS
+#: Words whose counts are broadcast; those of all others are joined.
+TABLE_WORDS = 65_536
 REACH = 2
 HIDDEN = 16
 ROUNDS = 2
@@ -69,6 +79,15 @@ class Network:
         }
         self.squares = {k: np.full_like(v, 1e-2) for k, v in self.parts.items()}
 
+    def expect(self, counts: np.ndarray) -> "Network":
+        """Start from the probability of every class in the corpus."""
+        # Token ``t`` is the member ``t // GROUPS`` of group ``t % GROUPS``.
+        by_group = np.maximum(counts, 0.5).reshape(GROUPS, GROUPS).T
+        totals = by_group.sum(1)
+        self.parts["group_bias"] = np.log(totals / totals.sum()).astype(np.float32)
+        self.parts["inner_bias"] = np.log(by_group / totals[:, None]).astype(np.float32)
+        return self
+
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.parts.values()])
 
@@ -95,7 +114,7 @@ class Network:
     def run(self, targets: np.ndarray, contexts: np.ndarray, learn: bool) -> np.ndarray:
         """Log-probability of each target; with ``learn`` also one gradient step.
 
-        Token ``t`` is the member ``t // 20`` of group ``t % 20``, so groups are even."""
+        Token ``t`` is the member ``t // GROUPS`` of group ``t % GROUPS``, so groups are even."""
         p, n = self.parts, len(targets)
         # Narrow integers are sorted by radix.
         order = np.argsort((targets % GROUPS).astype(np.uint8), kind="stable")
@@ -153,13 +172,22 @@ def windows_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_words(df: DataFrame, text_col: str) -> list[bytes]:
-    """Most frequent words over all documents, counted in the tasks and summed by word."""
+def word_hash(word: bytes) -> int:
+    """63 bits of hash under a set top bit, so that it is no number of the word table."""
+    return xxhash.xxh3_64_intdigest(word) | 1 << 63
+
+
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(word, hash, bucket, n) of every word of all documents, as a stored table.
+
+    The tasks count and Spark sums by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(seen: Counter) -> pa.RecordBatch:
+            hashes = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"]
+                [pa.array(list(seen), pa.binary()), pa.array(hashes.view(np.int64)), pa.array((hashes % np.uint64(BUCKETS)).astype(np.int32)), pa.array(seen.values(), pa.int64())],
+                names=["word", "hash", "bucket", "n"],
             )
 
         seen: Counter[bytes] = Counter()
@@ -171,34 +199,85 @@ def frequent_words(df: DataFrame, text_col: str) -> list[bytes]:
                     seen = Counter()
         yield out(seen)
 
-    rows = df.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = rows.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
-    return [bytes(r["word"]) for r in best]
+    rows = df.select(text_col).mapInArrow(count, "word binary, hash long, bucket int, n long")
+    return stored(rows.groupBy("word", "hash", "bucket").agg(F.sum("n").alias("n")))
+
+
+class WordTable(NamedTuple):
+    """The most frequent words, the class of each and its log share in the class; the tokens
+    of every class."""
 
+    words: list[bytes]
+    classes: np.ndarray
+    shares: np.ndarray
+    totals: np.ndarray
 
-class _TokenIds(dict):
+
+def word_table(counts: DataFrame, size: int = TABLE_WORDS) -> WordTable:
+    best = counts.orderBy(F.desc("n"), "word").limit(max(size, WORDS)).toArrow()
+    n, bucket = best.column("n").to_numpy(), best.column("bucket").to_numpy()
+    totals = np.zeros(VOCABULARY, np.int64)
+    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        totals[WORDS + row["bucket"]] = row["n"]
+    # The classes of one word each take their tokens out of the buckets.
+    np.subtract.at(totals, WORDS + bucket[:WORDS], n[:WORDS])
+    totals[: len(n[:WORDS])] = n[:WORDS]
+    classes = WORDS + bucket.astype(np.int64)
+    classes[:WORDS] = np.arange(len(n[:WORDS]))
+    return WordTable(best.column("word").to_pylist(), classes, np.log(n / totals[classes]), totals)
+
+
+class _WordNumbers(dict):
     def __missing__(self, word: bytes) -> int:
-        return VOCABULARY - BUCKETS + xxhash.xxh3_64_intdigest(word) % BUCKETS
+        return word_hash(word)
 
 
-def encoded(df: DataFrame, id_col: str, text_col: str, words: list[bytes]) -> DataFrame:
-    """Per row: id and its tokens, two bytes each."""
-    known = df.sparkSession.sparkContext.broadcast(words)
+def encoded(df: DataFrame, id_col: str, text_col: str, table: WordTable) -> DataFrame:
+    """Per row: id, its token classes (two bytes each), the sum of the log shares of the words
+    in the table, the hashes of the words beyond and a number of the row's own."""
+    known = df.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _TokenIds({w: i for i, w in enumerate(known.value)}).__getitem__
+        words, classes, shares, _ = known.value
+        numbers = _WordNumbers({w: i for i, w in enumerate(words)}).__getitem__
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            tokens = []
+            tokens, sums, rare = [], [], []
             for text in batch.column(1).to_pylist():
                 own = text_words(text)
-                tokens.append(np.fromiter(map(ids, own), "<u2", len(own)).tobytes())
+                codes = np.fromiter(map(numbers, own), np.uint64, len(own))
+                beyond = codes >= np.uint64(1 << 63)
+                ids = WORDS + (codes % np.uint64(BUCKETS)).astype(np.int64)
+                inside = codes[~beyond].astype(np.int64)
+                ids[~beyond] = classes[inside]
+                tokens.append(ids.astype("<u2").tobytes())
+                sums.append(float(shares[inside].sum()))
+                rare.append(codes[beyond].view(np.int64))
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            hashes = pa.array(np.concatenate(rare) if rare else [], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.binary())], names=["id", "tokens"]
+                [
+                    batch.column(0),
+                    pa.array(tokens, pa.binary()),
+                    pa.array(sums, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends), hashes),
+                    pa.array(range(row, row + len(tokens)), pa.int64()),
+                ],
+                names=["id", "tokens", "share", "rare", "row"],
             )
+            row += len(tokens)
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {kind}, tokens binary")
+    return rows.mapInArrow(scan, f"id {kind}, tokens binary, share double, rare array<long>, row long")
+
+
+def rare_shares(tokens: DataFrame, counts: DataFrame, table: WordTable) -> DataFrame:
+    """(row, rare_share): sum of the log shares of the words beyond the table."""
+    totals = F.lit(table.totals[WORDS:].tolist())
+    logs = counts.select("hash", F.log(F.col("n") / F.get(totals, F.col("bucket"))).alias("log_share"))
+    spoken = tokens.select("row", F.explode("rare").alias("hash"))
+    return spoken.join(logs, "hash").groupBy("row").agg(F.sum("log_share").alias("rare_share"))
 
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -214,10 +293,10 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, np.ndar
             start, held = i + 1, 0
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+def train(tokens: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after one pass over all documents, in ``rounds`` parts by hash of the id."""
     spark = tokens.sparkSession
-    weights = Network().flat()
+    weights = Network().expect(totals).flat()
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -257,15 +336,19 @@ def train(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, table_words: int = TABLE_WORDS
+) -> DataFrame:
     """Per row: id, n_tokens, log_prob (summed) and mean_log_prob."""
-    tokens = stored(encoded(df, id_col, text_col, frequent_words(df, text_col)))
-    weights = df.sparkSession.sparkContext.broadcast(train(tokens, rounds))
+    counts = word_counts(df, text_col)
+    words = word_table(counts, table_words)
+    tokens = stored(encoded(df, id_col, text_col, words))
+    weights = df.sparkSession.sparkContext.broadcast(train(tokens, words.totals, rounds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network().load(weights.value)
         for batch in batches:
-            counts, sums = [], []
+            sizes, sums = [], []
             for _, ids, lengths in _blocks(batch, 1):
                 contexts = windows_of(ids, lengths)
                 logs = [
@@ -274,15 +357,21 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ]
                 ends = np.concatenate([[0.0], np.cumsum(np.fromiter(chain.from_iterable(logs), float, len(ids)))])
                 stops = np.cumsum(lengths)
-                counts.extend(lengths.tolist())
+                sizes.extend(lengths.tolist())
                 sums.extend((ends[stops] - ends[stops - lengths]).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())],
-                names=["id", "n_tokens", "log_prob"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())],
+                names=["id", "share", "row", "n_tokens", "class_log_prob"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return tokens.mapInArrow(score, f"id {kind}, n_tokens long, log_prob double").select(
+    scored = tokens.select("id", "tokens", "share", "row").mapInArrow(
+        score, f"id {kind}, share double, row long, n_tokens long, class_log_prob double"
+    )
+    whole = scored.join(rare_shares(tokens, counts, words), "row", "left").withColumn(
+        "log_prob", F.col("class_log_prob") + F.col("share") + F.coalesce("rare_share", F.lit(0.0))
+    )
+    return whole.select(
         F.col("id").alias(id_col),
         "n_tokens",
         "log_prob",

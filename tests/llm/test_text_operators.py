@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 
 import compare
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -246,6 +248,22 @@ def test_lm_scores_equal_brute_force(spark, odd, nothing):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
+def test_lm_tells_words_of_one_bucket_apart(spark):
+    def both(word):  # its bucket, also under the 40 buckets of old
+        h = xxhash.xxh3_64_intdigest(word.encode())
+        return h % 40, h % lm_scoring.BUCKETS
+
+    made = (f"q{i}" for i in itertools.count(1))
+    often = next(made)
+    seldom = next(w for w in made if both(w) == both(often))
+    usual = " ".join([f"f{i}" for i in range(9000)] * 4)
+    texts = [often, seldom, usual, usual, f"{often} {often}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (lm_scoring.TABLE_WORDS, 1):
+        got = {r.doc_id: r.log_prob for r in lm_scoring.score_documents(df, table_words=size).collect()}
+        assert abs(got[0] - got[1] - np.log(3)) < 1e-6
+
+
 def test_training_lowers_the_loss(documents):
     rows = lm_scoring.score_documents(documents).agg(F.sum("log_prob") / F.sum("n_tokens")).first()
     assert rows[0] > -np.log(lm_scoring.VOCABULARY)
