@@ -2,7 +2,9 @@
 
 A seed is a fixed mask over ``SPAN`` consecutive tokens that ignores some positions, so two
 passages that differ in an ignored token still hash alike; several masks ignore different
-positions. Hashes of the documents are joined with those of the benchmark items. A hit names
+positions. The masks are chosen by enumeration: wherever the substitutions lie that ``SHARE``
+allows in the compared window (``OVERLAP`` tokens or a shorter item), some mask misses them all.
+A smaller ``overlap`` or ``share`` than these has no such guarantee. Hashes of the documents are joined with those of the benchmark items. A hit names
 a diagonal (document position less item position); along it the tokens around the hit are
 compared, and the pair counts as an overlap when some window of ``overlap`` tokens, or the
 whole item if shorter, agrees in at least ``share`` of them.
@@ -13,14 +15,14 @@ together travel as one segment with the tokens around them.
 
 Tokens are runs between white space and ASCII punctuation, lower-cased.
 
-Cases: null texts have no tokens; items with fewer tokens than ``SPAN`` are too short to be
-evidence and match nothing; a null id is kept as such; repeated rows give one result row; empty
+Cases: null texts have no tokens, and items without tokens match nothing; an item of one token
+matches every document that has the token; a null id is kept as such; repeated rows give one result row; empty
 tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,15 @@ from dossier.llm.registry import query, table
 from dossier.llm.words import WordHashes, mixed
 from dossier.session import stored
 
-#: Fixed masks: 8 of 12 tokens count.
-MASKS = ("111010010111", "110101101011", "101101110101")
-SPAN = 12
+#: Fixed masks. In order: for items of 13 tokens or more (2 of 13 may differ), of 10 to 12 (2 of
+#: 10), of 5 to 9 (1 of 5), and of 4 to 1 (none, the first of them is shared with those before).
+MASKS = (
+    "11101111", "1110100111", "1101001010011",
+    "111011", "11001011", "101010011",
+    "11101", "10111", "11011",
+    "1111", "111", "11", "1",
+)
+SPAN = 13
 OVERLAP = 13
 SHARE = 0.8
 #: 8 MB: the bit array of item hashes, the same at every size.
@@ -50,13 +58,26 @@ def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
-def seed_hashes(h: np.ndarray) -> list[np.ndarray]:
-    """For each mask, the hash at every position where the span fits."""
-    n = len(h) - SPAN + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64) for _ in MASKS]
+def masks_for(length: int) -> range:
+    """Numbers of the masks that find an item of so many tokens."""
+    if length >= 13:
+        return range(3)
+    if length >= 10:
+        return range(3, 6)
+    if length >= 5:
+        return range(6, 10)
+    return range(13 - length, 14 - length) if length else range(0)
+
+
+def seed_hashes(h: np.ndarray, numbers: Iterable[int]) -> list[np.ndarray]:
+    """For each of these masks, the hash at every position where it fits."""
     out = []
-    for number, mask in enumerate(MASKS):
+    for number in numbers:
+        mask = MASKS[number]
+        n = len(h) - len(mask) + 1
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
         total = np.full(n, number + 1, np.uint64)
         for offset, counts in enumerate(mask):
             if counts == "1":
@@ -71,23 +92,26 @@ def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_hashes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, item_pos) of every masked span of every item."""
+    """(hash, item_id, item_pos, mask) of every masked span of every item."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for seeds in seed_hashes(words.of(tokens(text))):
+                h = words.of(tokens(text))
+                numbers = masks_for(len(h))
+                for number, seeds in zip(numbers, seed_hashes(h, numbers)):
                     out[0].extend(seeds.view(np.int64).tolist())
                     out[1].extend([i] * len(seeds))
                     out[2].extend(range(len(seeds)))
-            kinds = (pa.int64(), pa.int64(), pa.int32())
+                    out[3].extend([number] * len(seeds))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             arrays = [pa.array(v, t) for v, t in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "item_pos"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "item_pos", "mask"])
 
     rows = items.select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(scan, "hash long, item_id long, item_pos int")
+    return rows.mapInArrow(scan, "hash long, item_id long, item_pos int, mask int")
 
 
 def _hash_filter(hashes: DataFrame, bits: int) -> bytes:
@@ -106,7 +130,7 @@ def _hash_filter(hashes: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def _segments(documents: DataFrame, id_col: str, text_col: str, held, reach: int) -> DataFrame:
+def _segments(documents: DataFrame, id_col: str, text_col: str, held, masks: list[int], reach: int) -> DataFrame:
     """Stretches of documents around possible hits, with their tokens and the hits."""
     number = pa.int64()
     schema = pa.schema(
@@ -129,8 +153,8 @@ def _segments(documents: DataFrame, id_col: str, text_col: str, held, reach: int
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = words.of(tokens(text))
-                found = [(s[w], w) for s in seed_hashes(h) for w in [np.flatnonzero(known(s))]]
-                at = np.concatenate([w for _, w in found])
+                found = [(s[w], w) for s in seed_hashes(h, masks) for w in [np.flatnonzero(known(s))]]
+                at = np.concatenate([w for _, w in found]) if found else []
                 if not len(at):
                     continue
                 value = np.concatenate([s for s, _ in found]).view(np.int64)
@@ -181,7 +205,8 @@ def contaminated(
     spark = documents.sparkSession
     hashes = stored(item_hashes(benchmark, item_id_col, item_text_col))
     held = spark.sparkContext.broadcast(_hash_filter(hashes, filter_bits))
-    segments = stored(_segments(documents, id_col, text_col, held, overlap))
+    masks = sorted(r["mask"] for r in hashes.select("mask").distinct().collect())
+    segments = stored(_segments(documents, id_col, text_col, held, masks, overlap))
     hits = segments.select("segment", "start", F.explode("hits").alias("hit")).select(
         "segment", F.col("hit.hash").alias("hash"), (F.col("hit.pos") - F.col("start")).alias("pos")
     )

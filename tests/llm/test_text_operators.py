@@ -196,6 +196,34 @@ def test_decontamination_tolerates_substitutions(spark, documents, odd, nothing,
     assert decontamination.contaminated(odd, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
+def test_decontamination_equals_all_diagonals(spark):
+    rng = np.random.default_rng(7)
+    items = [[f"i{n}w{rng.integers(10**6)}" for _ in range(n)] for n in (*range(1, 15), 20) for _ in range(8)]
+    items += [["見本の文"], []]
+    texts = []
+    for words in items:
+        for rate in (0, 0.1, 0.15, 0.2):
+            said = [f"s{rng.integers(10**6)}" if rng.random() < rate else w for w in words]
+            texts.append(" ".join([*(f"a{rng.integers(99)}" for _ in range(rng.integers(5))), *said, "end"]))
+    for gone in itertools.combinations(range(13), 2):  # every pattern of the shortest window
+        texts.append(" ".join("x" if i in gone else w for i, w in enumerate(items[96])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontamination.contaminated(df, bench).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        own = np.array(text.split())
+        for i, words in enumerate(items):
+            n = min(13, len(words))
+            if not set(words) & set(own):
+                continue
+            tried = [decontamination._overlap(own, np.array(words), at, n) for at in range(-len(words), len(own))]
+            best = max((t[0] for t in tried if t), default=0)
+            if best >= 0.8 * n:
+                want[d, i] = best
+    assert len(items[96]) == 13 and got == want
+
+
 def test_quality_rules(spark, data_dir, documents, odd, nothing):
     labels = spark.read.parquet(f"{data_dir}/labels.parquet")
     model = quality_rules.learn(documents, labels)
