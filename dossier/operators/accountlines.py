@@ -1,11 +1,13 @@
 """Account holder, number and IBAN from labelled lines of a text, as column expressions.
 
-Every line is classed by the label it begins with. A label with something behind it has its
-value on its own line. Labels with nothing behind them form runs of neighbouring lines, and
-the value of the i-th label of a run is the i-th line after the run: a run of one label is a
-label over its value, a longer run the head of a small table. Of several values for a field
-the topmost usable one counts; where no line names the holder, set phrases of the text do.
-A holder that is spread over several lines is read from its first line only.
+Every line is classed by the label it begins with. A label with something usable behind it has
+its value on its own line. Labels with nothing behind them may be the head of a small table:
+two or more of them in a run, where short captions that are no label may stand between and
+behind them, and the i-th label has the i-th line of the values that follow. The first labels
+of a run are left out, and captions behind it passed over, until the number slot reads as a
+number and the slots of holder and IBAN as such; else there is no table. Any other label is
+over its value, and a holder may go on for two more lines. Of several values for a field the
+topmost usable one counts; where no line names the holder, set phrases of the text do.
 """
 
 from __future__ import annotations
@@ -25,6 +27,15 @@ _LABELS = (
 # Words that stand for no holder, the shape of an IBAN, phrases before a name.
 _NOBODY = ("n/a", "na", "nil", "none", "-", "--", "not applicable")
 _IBAN = "[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}"
+# A line that is a value of its own and so ends a holder of several lines.
+_VALUE = (
+    r"^[0-9]{4,}$|^[0-9]{5}-[0-9]{7}-[0-9]$|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|(?i:\b(?:PKR|USD|EUR|Rs\.?)\b)"
+    r"|\b[A-Z]{2}[0-9]{2}[A-Z0-9]{8,}\b|[0-9]{1,3}(?:,[0-9]{3})+\.[0-9]{2}"
+)
+# The lines that the head of a table may take, captions included.
+_HEAD_LINES = 10
+# A short line without digits that may be the caption of a column.
+_CAPTION = r"^(?!PK|PN)[^0-9(\[][^0-9]{0,19}$"
 _NAME = r"([A-Z0-9][A-Za-z0-9 ,&'()\-/]{3,60}?)(?=\.|\s+[a-z]|$)"
 _PHRASES = (
     r"(?i:account\s+titled?\s+(?:as\s+)?)[\"'“]([^\"'”]{3,60})[\"'”]",
@@ -56,6 +67,7 @@ def _name(raw: Column) -> Column:
         (name != "")
         & ~name.rlike(r"^[0-9]+$|^\([^()]*\)$")
         & ~F.lower(name).isin(*_NOBODY)
+        & ~name.rlike("(?i)^(?:" + "|".join(p for _, p in _LABELS) + ")")
     )
     return F.when(usable, name)
 
@@ -84,30 +96,119 @@ def _first(values: Column, kinds: tuple[str, ...], read) -> Column:
     return F.get(F.filter(some, lambda v: v.isNotNull()), 0)
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _usable(kind: Column, raw: Column) -> Column:
+    """Whether a value reads as its kind; those of other columns always do."""
+    return (
+        F.when(kind == "holder", _name(raw).isNotNull())
+        .when(kind == "number", F.coalesce(_number(raw), _iban(raw)).isNotNull())
+        .when(kind == "iban", _iban(raw).isNotNull())
+        .otherwise(True)
+    )
+
+
+def _table(lines: Column, heads: Column, stop: Column) -> Column:
+    """The first reading of a run as the head of a table, or null: (first, behind), where the
+    label ``heads[first + i]`` has the line ``behind + i``; captions end before ``stop``."""
+
+    def reads(first: Column, behind: Column) -> Column:
+        columns = F.slice(heads, first + 1, F.size(heads) - first)
+        slots = F.transform(columns, lambda h, i: F.struct(h["kind"].alias("kind"), F.get(lines, behind + i).alias("under")))
+        return F.exists(slots, lambda x: x["kind"] == "number") & F.forall(
+            slots,
+            lambda x: x["under"].isNotNull() & x["under"]["kind"].isNull() & _usable(x["kind"], x["under"]["line"]),
+        )
+
+    last = F.element_at(heads, -1)["at"]
+    tried = F.flatten(
+        F.transform(
+            F.filter(
+                F.sequence(F.greatest(F.lit(0), F.size(heads) - _HEAD_LINES), F.size(heads) - 2),
+                lambda first: last - F.get(heads, first)["at"] < _HEAD_LINES,
+            ),
+            lambda first: F.transform(
+                F.sequence(last + 1, F.least(stop, F.get(heads, first)["at"] + _HEAD_LINES)),
+                lambda behind: F.struct(first.alias("first"), behind.alias("behind")),
+            ),
+        )
+    )
+    return F.when(
+        (F.size(heads) > 1) & F.exists(heads, lambda h: h["kind"] == "number"),
+        F.get(F.filter(tried, lambda c: reads(c["first"], c["behind"])), 0),
+    )
+
+
+def _below(lines: Column, x: Column) -> Column:
+    """The value in the lines under a label, null where the next line is a label too."""
+
+    def at(i: int) -> Column:
+        return F.get(lines, x["at"] + i)
+
+    def goes_on(i: int) -> Column:
+        no_value = ~F.coalesce(at(i)["kind"].isNull() & at(i)["line"].rlike(_VALUE), F.lit(False))
+        next_no_value = ~F.coalesce(at(i + 1)["kind"].isNull() & at(i + 1)["line"].rlike(_VALUE), F.lit(False))
+        return at(i).isNotNull() & at(i)["kind"].isNull() & no_value & next_no_value
+
+    def depth(i: int) -> Column:
+        return F.regexp_count(at(i)["line"], F.lit(r"\(")) - F.regexp_count(at(i)["line"], F.lit(r"\)"))
+
+    closed = (depth(1) > 0) & (depth(1) + depth(2) == 0)
+    joined = (
+        F.when(~goes_on(2), at(1)["line"])
+        .when(closed | ~goes_on(3), F.concat_ws(" ", at(1)["line"], at(2)["line"]))
+        .otherwise(F.concat_ws(" ", at(1)["line"], at(2)["line"], at(3)["line"]))
+    )
+    return F.when(at(1)["kind"].isNull(), F.when(x["kind"] == "holder", joined).otherwise(at(1)["line"]))
+
+
+def _values_of(lines: Column, ends: Column) -> Column:
+    def value(x: Column) -> Column:
+        before = F.coalesce(F.array_max(F.filter(ends, lambda e: e < x["at"])), F.lit(-1))
+        stop = F.coalesce(F.array_min(F.filter(ends, lambda e: e > x["at"])), F.size(lines))
+        run = F.slice(lines, before + 2, stop - before - 1)
+        heads = F.filter(run, lambda y: y["kind"].isNotNull())
+
+        def raw(heads: Column) -> Column:
+            rank = F.size(F.filter(heads, lambda y: y["at"] < x["at"]))
+            return _with(
+                _table(lines, heads, stop),
+                lambda t: F.when(
+                    t.isNotNull() & (rank >= t["first"]), F.get(lines, t["behind"] + rank - t["first"])["line"]
+                ).otherwise(_below(lines, x)),
+            )
+
+        own = (x["rest"] != "") & _usable(x["kind"], x["rest"])
+        below = F.when(x["rest"] != "", _below(lines, x)).otherwise(_with(heads, raw))
+        return F.struct(x["kind"].alias("kind"), F.when(own, x["rest"]).otherwise(below).alias("raw"))
+
+    return F.transform(F.filter(lines, lambda x: x["kind"].isin("holder", "number", "iban")), value)
+
+
 def labelled_values(text: Column) -> Column:
     """Array of (kind, raw): the value of every labelled line, top to bottom."""
     trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
     lines = F.transform(F.filter(trimmed, lambda x: x != ""), _labelled)
-    # A line with a value behind its label ends a run as any other line does.
-    ends = F.transform(F.filter(lines, lambda x: x["kind"].isNull() | (x["rest"] != "")), lambda x: x["at"])
 
-    def value(x: Column) -> Column:
-        before = F.coalesce(F.array_max(F.filter(ends, lambda e: e < x["at"])), F.lit(-1))
-        behind = F.coalesce(F.array_min(F.filter(ends, lambda e: e > x["at"])), F.size(lines))
-        below = F.get(lines, x["at"] + behind - before - 1)
-        return F.struct(
-            x["kind"].alias("kind"),
-            F.when(x["rest"] != "", x["rest"]).when(below["kind"].isNull(), below["line"]).alias("raw"),
+    def ends(lines: Column) -> Column:
+        # A label with a value behind it ends a run as any line does that is no caption.
+        broken = F.filter(
+            lines, lambda x: (x["kind"].isNull() & ~x["line"].rlike(_CAPTION)) | (x["rest"] != "")
         )
+        return F.transform(broken, lambda x: x["at"])
 
-    return F.transform(F.filter(lines, lambda x: x["kind"].isin("holder", "number", "iban")), value)
+    return _with(lines, lambda own: _with(ends(own), lambda e: _values_of(own, e)))
 
 
 def account_values(text: Column) -> dict[str, Column]:
     """Columns account_holder, account_number and iban of one text; null where not found."""
     values = labelled_values(text)
     flowed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\n\s*", " ")
-    spoken = F.array(*[_name(F.regexp_extract(flowed, p, 1)) for p in _PHRASES])
+    hits = F.flatten(F.array(*[F.regexp_extract_all(flowed, F.lit(p), 1) for p in _PHRASES]))
+    spoken = F.transform(hits, _name)
     phrase = F.get(
         F.filter(spoken, lambda n: n.isNotNull() & (F.char_length(n) >= 3) & ~n.rlike(_NOT_A_NAME)), 0
     )

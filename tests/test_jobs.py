@@ -112,6 +112,26 @@ def test_bank_block_forms(spark):
     assert read_block("nothing here") == read_block(None) == {}
 
 
+def test_bank_block_layouts(spark):
+    cases = {
+        "S.No\nBank Name\nIENT\nAccount Title\nAccount Number\n1\nABC Bank\nFoo\n12345": ("Foo", "12345"),
+        "Account Title\nAccount Number\nCurrency\nFoo\n12345678\nPKR": ("Foo", "12345678"),
+        "Account Title\nAccount Number\nCurrency\nOffice of the Town Council Board\n12345678": ("Office of the Town Council Board", "12345678"),
+        "Account Title\nAccount Number\nCurrency": (None, None),
+        "Account Title\nAccount Number\n" + "plain\n" * 12 + "Foo\n12345678": (None, None),
+        "Account Title\nFoo\nAccount Number\n12345\nend": ("Foo", "12345"),
+        "Account Title\nFoo\nAccount Number\nAB12345\nBranch\n998877": ("Foo", "AB12345"),
+        "Account Title\nDG GDA (TOWN DEVELOPMENT\nAUTHORITY)\nDEVELOPMENT FUND\nAccount No. (T-24 System)\n12345": ("DG GDA (TOWN DEVELOPMENT AUTHORITY)", "12345"),
+        "Account Title\nTown Municipal\nAdministration\n12345-1234567-1": ("Town Municipal", None),
+        "Paid on behalf of Party B. It is in the name of Town Council.": ("Town Council", None),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select(
+        "i", *[c.alias(n) for n, c in account_values(F.col("t")).items()]
+    )
+    got = {r.i: (r.account_holder, r.account_number) for r in rows.collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_cross_message_is_alike_at_every_size(spark):
     schema = "application_id long, document_type string, field_name string, v string, present boolean"
     rule = ("R", "Rule", "iban", ("ACCOUNT_MAINTENANCE_CERTIFICATE", "BILATERAL_AGREEMENT"))
