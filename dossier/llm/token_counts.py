@@ -2,9 +2,11 @@
 
 Tier one is a table of the most frequent pre-tokens and their token counts, sent to every
 task; it holds at most ``table_entries`` entries. Tier two is the worker's own cache, which
-encodes a pre-token when it first meets it and starts anew when it is full. Pre-tokens
-are never shuffled: the table is chosen from a bounded, documented set of documents, and as
-it only saves work, that choice cannot change a count.
+encodes a pre-token when it first meets it and starts anew when it is full. The pre-tokens
+of the texts that are counted are never shuffled. Those of the table are: it is made from the
+``table_documents`` documents of the lowest id hash, at every size, and Spark sums their
+pre-tokens by a shuffle of that bounded sample. It is no statistic of all documents; as it
+only saves work, that choice cannot change a count, only how often the cache is asked.
 
 Cases: null text counts as empty (no bytes, no tokens); a special string inside a text is
 one token, as by the vocabulary's default; text without white space is one long pre-token
