@@ -21,6 +21,7 @@ MODULES = (
     "exact_dedup",
     "bpe",
     "token_counts",
+    "conversation_repair",
     "token_records",
 )
 
