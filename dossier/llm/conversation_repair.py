@@ -199,24 +199,23 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.explode("times")).drop("times", "copy")
 
 
-def _joined(left: DataFrame, right: DataFrame, *names: str, how: str = "left") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, *names: str, how: str = "left") -> DataFrame:
     """Join on equal ``names``, where null equals null; the right one's are left out."""
     other = right.withColumnsRenamed({n: f"_{n}" for n in names})
     met = functools.reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
     return left.join(other, met, how).drop(*[f"_{n}" for n in names])
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Stored rows in order of ``place``: the chunk in its upper bits, the row in it below."""
-    hashed = rows.select(
-        "*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("given")
-    )
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("h"), F.col("given")]
-    dealt = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(dealt.withColumn("place", F.monotonically_increasing_id()).drop("h", "given"))
+def placed_rows(rows: DataFrame, hashed: str) -> DataFrame:
+    """Stored rows of conversations in order of ``place``: the chunk in its upper bits, the row
+    in it below. Rows of equal turn are ordered by role and the column ``hashed``."""
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col(hashed), F.col("_given")]
+    given = rows.withColumn("_given", F.monotonically_increasing_id())
+    dealt = given.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn("place", F.monotonically_increasing_id()).drop("_given"))
 
 
-def _chunk(place: Column) -> Column:
+def row_chunk(place: Column) -> Column:
     return F.shiftright(place, 33).cast("int")
 
 
@@ -236,7 +235,7 @@ def faults(rows: DataFrame) -> DataFrame:
         .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
-    return _joined(slim, again, "conv_id", "said").select(
+    return joined(slim, again, "conv_id", "said").select(
         "conv_id",
         "place",
         "turn",
@@ -257,7 +256,7 @@ def chunk_symbols(marked: DataFrame) -> DataFrame:
     fault = F.when(F.col("fault") == "truncated", "t").when(F.col("fault").isNotNull(), "d").otherwise("n")
     listed = F.array_sort(F.collect_list(F.struct("place", "initial", F.concat(role, fault).alias("symbol"))))
     count = lambda name: F.count(F.when(F.col("fault") == name, 1)).alias(name)
-    found = marked.groupBy("conv_id", _chunk(F.col("place")).alias("chunk")).agg(
+    found = marked.groupBy("conv_id", row_chunk(F.col("place")).alias("chunk")).agg(
         listed.alias("rows"), count("blank"), count("duplicate"), count("truncated")
     )
     initials = F.transform("rows", lambda r: r["initial"])
@@ -326,7 +325,7 @@ def _states_before(key: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
 def _borders(chunks: DataFrame, kind: str) -> DataFrame:
     """Costs behind and state before the chunks of conversations that have more than one."""
     several = chunks.groupBy("conv_id").count().filter("count > 1").select("conv_id")
-    spread = stored(_joined(chunks, several, "conv_id", how="left_semi").select("conv_id", "chunk", "symbols"))
+    spread = stored(joined(chunks, several, "conv_id", how="left_semi").select("conv_id", "chunk", "symbols"))
     flat = lambda s: ([x for row in chunk_matrix(s) for x in row],)
     matrices = spread.mapInArrow(
         _mapped(["matrix"], [pa.list_(pa.int64())], flat), f"conv_id {kind}, chunk int, matrix array<long>"
@@ -334,7 +333,7 @@ def _borders(chunks: DataFrame, kind: str) -> DataFrame:
     behind = matrices.groupBy("conv_id").applyInPandas(
         _costs_behind, f"conv_id {kind}, chunk int, behind array<long>"
     )
-    both = _joined(spread, behind, "conv_id", "chunk").select("conv_id", "chunk", "symbols", "behind")
+    both = joined(spread, behind, "conv_id", "chunk").select("conv_id", "chunk", "symbols", "behind")
     exits = lambda s, b: (b, [unroll(s, b and tuple(b), i)[2] for i in range(4)])
     return (
         both.mapInArrow(
@@ -350,7 +349,7 @@ def repair_plan(chunks: DataFrame) -> DataFrame:
     """Per chunk: letters and roles of each of its rows (and of the end) and the cost."""
     kind = chunks.schema["conv_id"].dataType.simpleString()
     borders = _borders(chunks, kind)
-    given = _joined(chunks, borders, "conv_id", "chunk").select(
+    given = joined(chunks, borders, "conv_id", "chunk").select(
         "conv_id", "chunk", "place", "symbols", "behind", F.coalesce("state", F.lit(0)).alias("state")
     )
 
@@ -373,7 +372,7 @@ def repaired_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
     steps = steps.filter("says NOT IN ('d', '')")
     texts = rows.select("conv_id", "place", "role", "text")
     each = F.expr("transform(sequence(1, length(says)), i -> substr(says, i, 1))")
-    met = _joined(steps, texts, "conv_id", "place").select(
+    met = joined(steps, texts, "conv_id", "place").select(
         "conv_id", "chunk", "row", F.posexplode(each).alias("at", "say"), F.length("says").alias("n"), "role", "text"
     )
     # The row itself comes last; the entry behind the last row of a conversation has none.
@@ -413,7 +412,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repair_digests(damaged_rows: DataFrame, conversations: DataFrame) -> DataFrame:
     """One row per id of ``conversations``: faults of its damaged rows, the cheapest repair and
     the digest of what it gives."""
-    rows = _numbered(damaged_rows)
+    rows = placed_rows(damaged_rows.withColumn("h", F.xxhash64("text")), "h")
     marked = stored(faults(rows))
     chunks = stored(chunk_symbols(marked))
     plan = stored(repair_plan(chunks))

@@ -22,6 +22,7 @@ MODULES = (
     "bpe",
     "token_counts",
     "conversation_repair",
+    "conversation_trie",
     "token_records",
 )
 
