@@ -51,10 +51,11 @@ from dossier.session import new_path, stored
 MAX_FILES = 10_000
 #: Sampled ids for each file.
 SAMPLE = 60
-#: Bytes of a file that one task reads at a time.
+#: Bytes of a file that a task reads at a time, and bytes that one task reads in all.
 READ_BYTES = 8 << 20
+TASK_BYTES = 64 << 20
 #: Pieces that a worker remembers, and the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 REMEMBERED_LENGTH = 64
 
 #: Fixed values of the format: the reflected Castagnoli polynomial and the mask's constant.
@@ -381,11 +382,14 @@ def read_records(spark: SparkSession, path: str, seed: int | None = None) -> Dat
     order that the seed decides, found through the index.
     """
     index = read_index(spark, path)
+    # The index is small where the files are not, so its bytes cannot say how many tasks to use.
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
     if seed is None:
-        dealt = index.repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+        block = F.floor(F.col("offset") / READ_BYTES)
+        dealt = index.repartition(tasks, "file", block).sortWithinPartitions("file", "offset")
     else:
         mixed: Column = F.xxhash64(F.lit(seed), "file", "record")
-        dealt = index.repartition(mixed).sortWithinPartitions(mixed)
+        dealt = index.repartition(tasks, mixed).sortWithinPartitions(mixed)
     places = dealt.select("file", "name", "record", "offset", "length")
     return places.mapInArrow(_reader(path), "file int, record long, id long, ids binary")
 
