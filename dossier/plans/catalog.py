@@ -27,6 +27,7 @@ MODULES = (
     "text_queries",
     "review_queries",
     "stream_queries",
+    "storage_queries",
 )
 
 

@@ -176,13 +176,11 @@ def replaced_results(t):
 
 @query(
     "field_upsert",
-    """WITH b AS (SELECT ocr_result_id, field_name, extracted_value, confidence_score, human_corrected_value FROM e_fields WHERE ocr_result_id % 3 <> 0),
-u AS (SELECT ocr_result_id, field_name, upper(extracted_value) AS extracted_value, 0.5::DOUBLE AS confidence_score, 'machine' AS human_corrected_value FROM e_fields WHERE ocr_result_id % 4 = 0)
-SELECT coalesce(b.ocr_result_id, u.ocr_result_id) AS ocr_result_id, coalesce(b.field_name, u.field_name) AS field_name,
- CASE WHEN u.field_name IS NOT NULL THEN u.extracted_value ELSE b.extracted_value END AS extracted_value,
- CASE WHEN u.field_name IS NOT NULL THEN u.confidence_score ELSE b.confidence_score END AS confidence_score,
- CASE WHEN b.field_name IS NOT NULL THEN b.human_corrected_value ELSE u.human_corrected_value END AS human_corrected_value
-FROM b FULL JOIN u ON b.ocr_result_id = u.ocr_result_id AND b.field_name = u.field_name""",
+    # Both sides come from one row each, so known, new and refreshed rows need no join.
+    """SELECT ocr_result_id, field_name, CASE WHEN ocr_result_id % 4 = 0 THEN upper(extracted_value) ELSE extracted_value END AS extracted_value,
+ CASE WHEN ocr_result_id % 4 = 0 THEN 0.5 ELSE confidence_score END AS confidence_score,
+ CASE WHEN ocr_result_id % 3 <> 0 THEN human_corrected_value ELSE 'machine' END AS human_corrected_value
+FROM e_fields WHERE ocr_result_id % 3 <> 0 OR ocr_result_id % 4 = 0""",
 )
 def field_upsert(t):
     base = t.fields.filter("ocr_result_id % 3 <> 0").select(

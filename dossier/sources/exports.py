@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.feedback import (
@@ -13,6 +13,7 @@ from dossier.operators.feedback import (
     learning_version,
 )
 from dossier.session import stored
+from dossier.sources.versioned import VersionedTable, append_batch
 
 
 def _write(rows: DataFrame, path: str, fmt: str) -> None:
@@ -40,33 +41,30 @@ def write_learning_export(curated: DataFrame, path: str, fmt: str) -> DataFrame:
     return version
 
 
+#: What a re-run exchanges; all rows of an application lie in one bucket.
+_RERUN = ("application_id", "rule_category")
+
+
 def replaced_results(old: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows with those of re-run (application, category) pairs exchanged."""
-    rerun = new.select("application_id", "rule_category").distinct()
-    return old.join(rerun, ["application_id", "rule_category"], "left_anti").unionByName(new)
-
-
-def replace_results(new: DataFrame, path: str) -> None:
-    """Exchange the results of the (application, category) pairs in ``new`` in place.
-
-    Only the (run_date, rule_category) partitions present in ``new`` are written again; the
-    rows of other applications in them are set aside in the shared folder first.
-    """
-    spark, keys = new.sparkSession, ["run_date", "rule_category"]
-    rows = stored(new)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        touched = rows.select(*keys).distinct()
-        rerun = rows.select("application_id", *keys).distinct()
-        held = spark.read.schema(new.schema).parquet(path).join(touched, keys, "left_semi")
-        rows = rows.unionByName(stored(held.join(rerun, ["application_id", *keys], "left_anti")))
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date", "rule_category")
-        .parquet(path)
-    )
+    rerun = new.select(*_RERUN).distinct()
+    return old.join(rerun, list(_RERUN), "left_anti").unionByName(new)
+
+
+def results_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["application_id"])
+
+
+def replace_results(new: DataFrame, path: str, rerun: DataFrame | None = None) -> None:
+    """Exchange the results of the (application, category) pairs in ``new`` in the table at
+    ``path``, whatever date they were made on; readers see the old rows or the new ones.
+    ``rerun`` names pairs that were run again, also those that gave no row."""
+    results_table(new.sparkSession, path).replace(new, _RERUN, rerun)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results as the last re-run left them."""
+    return results_table(spark, path).read()
 
 
 def upsert(
@@ -96,6 +94,7 @@ def upsert(
     return old.join(new, list(keys), "full").select(*keys, *columns)
 
 
-def append_history(events: DataFrame, path: str) -> None:
-    """Add event rows; the folder is also the source of the event streams."""
-    events.write.mode("append").parquet(path)
+def append_history(events: DataFrame, path: str, batch: int | str) -> bool:
+    """Add event rows under the number of their batch; the folder is also the source of the
+    event streams. A batch that is there already is not added again (false)."""
+    return append_batch(events, path, batch)

@@ -229,7 +229,7 @@ def test_exports_and_replacement(spark, tmp_path):
     exports.replace_results(results, path)
     again = results.filter("rule_category = 'date' AND application_id = 1").withColumn("n", F.lit(2))
     exports.replace_results(again, path)
-    got = {(r.application_id, r.rule_category, r.n) for r in spark.read.parquet(path).collect()}
+    got = {(r.application_id, r.rule_category, r.n) for r in exports.read_results(spark, path).collect()}
     assert got == {(1, "date", 2), (2, "date", 1), (1, "format", 1)}
 
 
@@ -249,8 +249,10 @@ def test_stored_history_is_read_as_table_and_as_stream(spark, data_dir, tmp_path
     events = bindings.history(bindings.Tables(spark, data_dir))
     root, names = str(tmp_path), [c.split()[0] for c in tables.SCHEMAS["validation_history"].split(", ")]
     stored = events.select(*[c for c in names if c in events.columns])
-    exports.append_history(stored.filter("application_id % 2 = 0"), f"{root}/validation_history")
-    exports.append_history(stored.filter("application_id % 2 = 1"), f"{root}/validation_history")
+    even, odd = (stored.filter(f"application_id % 2 = {i}") for i in (0, 1))
+    assert exports.append_history(even, f"{root}/validation_history", 0)
+    assert exports.append_history(odd, f"{root}/validation_history", 1)
+    assert not exports.append_history(odd, f"{root}/validation_history", 1)  # a retry
     held = tables.read_table(spark, root, "validation_history")
     assert sorted(r.id for r in held.select("id").collect()) == sorted(r.id for r in stored.select("id").collect())
     added = tables.stream_table(spark, root, "validation_history").groupBy("event_type").count()
