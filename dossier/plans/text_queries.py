@@ -12,6 +12,7 @@ from dossier.operators import splitting as S
 from dossier.operators.accountlines import account_values
 from dossier.operators.normalize import outcome_tally
 from dossier.plans.catalog import AS_OF, query
+from dossier.plans import text_sql as TS
 from dossier.plans.document_queries import _REQUIRED
 from dossier.session import stored
 from dossier.sources import files as FI
@@ -197,7 +198,6 @@ def admit_files(t):
 
 # Extraction and analysis of labelled texts.
 
-_PLAIN_TYPES = ("PAYSLIP", "TAX_DOCUMENT", "ID_DOCUMENT")
 _KEYWORDS = _values((i, k, w, n) for i, (k, ws) in enumerate(PT.DETECTION_KEYWORDS) for w, n in ws)
 _DETECTED = f"""kw(i, k, w, n) AS (VALUES {_KEYWORDS}), ks AS (SELECT t.document_id, kw.k, kw.i, sum(kw.n) AS s FROM e_texts t JOIN kw ON contains(lower(t.raw_text), kw.w) GROUP BY 1, 2, 3),
 kd AS (SELECT document_id, k FROM ks QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY s DESC, i) = 1)"""
@@ -241,47 +241,20 @@ def route_document_type(t):
     return X.route_document_type(_stored_or_none(t)).select("document_id", "document_type", "route")
 
 
-_AMT = "CASE WHEN regexp_full_match(x, '[\\d.]*,\\d{1,2}') THEN replace(replace(x, '.', ''), ',', '.') ELSE replace(x, ',', '') END::DOUBLE"
-_DATE_FORMATS = "['%Y-%m-%d', '%d/%m/%Y', '%m/%d/%Y']"
-
-
-def _sql_value(name, pattern, reader):
-    """A pattern of the three plain types restated for DuckDB."""
-    raw = f"trim(trim(trim(regexp_extract(raw_text, '(?im){pattern.replace(chr(39), chr(39) * 2)}', 1)), ':;|'))"
-    if reader is None:
-        value = "x"
-    elif reader.__name__ == "amount":
-        value = f"CASE WHEN ({_AMT}) < 1e7 THEN CAST(({_AMT}) AS VARCHAR) ELSE CAST(CAST(({_AMT}) AS BIGINT) AS VARCHAR) || '.0' END"
-    elif reader.__name__ == "whole_number":
-        value = "x"
-    elif reader.__name__ == "document_date":
-        value = f"strftime(try_strptime(x, {_DATE_FORMATS}), '%Y-%m-%d')"
-    else:
-        value = "CASE WHEN regexp_matches(x, '\\d{4}-\\d') THEN regexp_replace(x, '(\\d{4})-(\\d)$', '\\1-0\\2') ELSE strftime(try_strptime(x, '%B %Y'), '%Y-%m') END"
-    return f"SELECT document_id, '{name}' AS field_name, {value} AS value FROM (SELECT document_id, {raw} AS x FROM e_texts WHERE document_type = '{{kind}}') z WHERE x <> ''"
-
-
-_FIELDS = " UNION ALL ".join(
-    _sql_value(n, p, r).replace("{kind}", k) for k in _PLAIN_TYPES for n, p, r in PT.PATTERNS[k]
-)
-_FOUND = f"found AS ({_FIELDS})"
-
-
 def _long_fields(found):
     return found.select("document_id", F.explode("extracted_fields").alias("field_name", "value"))
 
 
 def _found(t):
     """Pattern results as the stored table the later steps start from."""
-    return stored(X.pattern_fields(_plain(t)).drop("text"))
+    return stored(X.pattern_fields(_typed(t)).drop("text"))
 
 
-def _plain(t):
-    routed = _texts(t).withColumn("document_type", F.col("stored_type"))
-    return routed.filter(F.col("document_type").isin(*_PLAIN_TYPES))
+def _typed(t):
+    return _texts(t).withColumn("document_type", F.col("stored_type"))
 
 
-@query("pattern_fields", f"WITH {_FOUND} SELECT * FROM found")
+@query("pattern_fields", f"WITH {TS.FOUND} SELECT * FROM found")
 def pattern_fields(t):
     return _long_fields(_found(t))
 
@@ -303,24 +276,11 @@ def bank_block(t):
     return texts.select("document_id", *[c.alias(n) for n, c in account_values(F.col("text")).items()])
 
 
-_EXPECTED = _values(
-    (k, f, vocab.field_label(f), vocab.FIELD_VALIDATORS.get(k, {}).get(f, "required"))
-    for k in _PLAIN_TYPES
-    for f in vocab.EXPECTED_FIELDS[k]
-)
-_VALID = f"""ex(k, f, l, v) AS (VALUES {_EXPECTED}), vl AS (SELECT t.document_id, t.document_type, ex.f AS field, CASE WHEN found.value IS NULL THEN 'required' ELSE ex.v END AS validator, found.value,
- CASE WHEN found.value IS NULL THEN 'missing' ELSE CASE ex.v WHEN 'amount' THEN CASE WHEN TRY_CAST(found.value AS DOUBLE) >= 0 THEN 'valid' ELSE 'invalid' END
-  WHEN 'date' THEN CASE WHEN try_strptime(found.value, '%Y-%m-%d') IS NOT NULL THEN 'valid' ELSE 'invalid' END WHEN 'date_not_future' THEN CASE WHEN try_strptime(found.value, '%Y-%m-%d') <= TIMESTAMP '{AS_OF}' THEN 'valid' ELSE 'invalid' END
-  WHEN 'document_number' THEN CASE WHEN regexp_full_match(found.value, '[A-Za-z0-9\\-]{{4,20}}') THEN 'valid' ELSE 'invalid' END WHEN 'salary_month' THEN CASE WHEN regexp_full_match(found.value, '\\d{{4}}-(0[1-9]|1[0-2])') THEN 'valid' ELSE 'invalid' END
-  WHEN 'tax_year' THEN CASE WHEN CAST(found.value AS INT) BETWEEN 1900 AND 2100 THEN 'valid' ELSE 'invalid' END WHEN 'currency' THEN CASE WHEN regexp_full_match(found.value, '[A-Z]{{3}}') THEN 'valid' ELSE 'invalid' END ELSE 'valid' END END AS status
- FROM e_texts t JOIN ex ON ex.k = t.document_type LEFT JOIN found ON found.document_id = t.document_id AND found.field_name = ex.f)""".replace("\\\\", "\\")
-
-
 def _validated(t):
     return CK.validate_fields(_found(t), AS_OF)
 
 
-@query("validate_fields", f"WITH {_FOUND}, {_VALID} SELECT document_id, field, validator, status FROM vl")
+@query("validate_fields", f"WITH {TS.FOUND}, {TS.VALID} SELECT document_id, field, validator, status FROM vl")
 def validate_fields(t):
     return _validated(t).select("document_id", F.explode("validation_results").alias("v")).select(
         "document_id", "v.field", "v.validator", "v.status"
@@ -329,8 +289,9 @@ def validate_fields(t):
 
 @query(
     "fields_needing_clarification",
-    f"""WITH {_FOUND}, {_VALID} SELECT document_id, document_type, coalesce(list(field ORDER BY field) FILTER (WHERE status <> 'valid'), []) AS field_names,
- round(count(*) FILTER (WHERE status <> 'valid')::DOUBLE / count(*), 9) AS share_of_expected FROM vl GROUP BY 1, 2""",
+    f"""WITH {TS.FOUND}, {TS.VALID} SELECT t.document_id, t.document_type, coalesce(list(field ORDER BY field) FILTER (WHERE status <> 'valid'), []) AS field_names,
+ round(coalesce(count(*) FILTER (WHERE status <> 'valid')::DOUBLE / nullif(count(field), 0), 0.0), 9) AS share_of_expected
+FROM e_texts t LEFT JOIN vl ON vl.document_id = t.document_id GROUP BY 1, 2""",
 )
 def fields_needing_clarification(t):
     return X.fields_needing_clarification(_validated(t)).withColumn(
@@ -340,7 +301,7 @@ def fields_needing_clarification(t):
 
 def _resolved(t):
     names = F.array(F.lit("salary_month"), F.lit("payment_date"), F.lit("full_name"), F.lit("total_tax"))
-    rows = _plain(t).filter("document_id % 2 = 0").select("document_id", F.explode(names).alias("field_name"))
+    rows = _typed(t).filter("document_id % 2 = 0").select("document_id", F.explode(names).alias("field_name"))
     return rows.withColumn(
         "value",
         F.when(F.col("field_name") == "payment_date", "2023-03-30")
@@ -351,7 +312,7 @@ def _resolved(t):
 
 @query(
     "merge_fallback",
-    f"""WITH {_FOUND}, {_VALID}, r AS (SELECT document_id, '2023-03-30' AS value FROM e_texts WHERE document_id % 2 = 0),
+    f"""WITH {TS.FOUND}, {TS.VALID}, r AS (SELECT document_id, '2023-03-30' AS value FROM e_texts WHERE document_id % 2 = 0),
 need AS (SELECT vl.document_id, vl.field, CASE vl.field WHEN 'payment_date' THEN '2023-03-30' WHEN 'full_name' THEN 'Other Name' END AS value FROM vl WHERE status <> 'valid' AND field IN ('payment_date', 'full_name') AND document_id % 2 = 0)
 SELECT document_id, field_name, value FROM found WHERE NOT EXISTS (SELECT 1 FROM need n WHERE n.document_id = found.document_id AND n.field = found.field_name)
 UNION ALL SELECT document_id, field, value FROM need""",
@@ -360,19 +321,7 @@ def merge_fallback(t):
     return _long_fields(stored(X.merge_fallback(_validated(t), _resolved(t))))
 
 
-_CONSISTENT = f"""w AS (SELECT document_id, any_value(document_type) AS kind, max(value) FILTER (WHERE field = 'gross_salary')::DOUBLE AS gs, max(value) FILTER (WHERE field = 'net_salary')::DOUBLE AS ns,
- max(value) FILTER (WHERE field = 'payment_date') AS pd, max(value) FILTER (WHERE field = 'salary_month') AS sm, max(value) FILTER (WHERE field = 'issue_date') AS i, max(value) FILTER (WHERE field = 'expiry_date') AS e,
- max(value) FILTER (WHERE field = 'date_of_birth') AS b, max(value) FILTER (WHERE field = 'gross_income')::DOUBLE AS gi, max(value) FILTER (WHERE field = 'total_tax')::DOUBLE AS tt FROM vl GROUP BY 1),
-cs AS (SELECT document_id, 'NET_LE_GROSS' AS rule_id, CASE WHEN gs IS NULL OR ns IS NULL THEN 'not_applicable' WHEN ns > gs + 0.01 THEN 'fail' ELSE 'pass' END AS status FROM w WHERE kind = 'PAYSLIP'
- UNION ALL SELECT document_id, 'NET_POSITIVE', CASE WHEN ns IS NULL THEN 'not_applicable' WHEN ns < 0 THEN 'fail' ELSE 'pass' END FROM w WHERE kind = 'PAYSLIP'
- UNION ALL SELECT document_id, 'PAYMENT_WITHIN_MONTH', CASE WHEN pd IS NULL OR sm IS NULL THEN 'not_applicable' WHEN strftime(CAST(pd AS DATE), '%Y-%m') = sm OR strftime(CAST(pd AS DATE) - INTERVAL 1 MONTH, '%Y-%m') = sm THEN 'pass' ELSE 'fail' END FROM w WHERE kind = 'PAYSLIP'
- UNION ALL SELECT document_id, 'EXPIRY_AFTER_ISSUE', CASE WHEN i IS NULL OR e IS NULL THEN 'not_applicable' WHEN e <= i THEN 'fail' ELSE 'pass' END FROM w WHERE kind = 'ID_DOCUMENT'
- UNION ALL SELECT document_id, 'AGE_REASONABLE', CASE WHEN b IS NULL THEN 'not_applicable' WHEN datesub('year', CAST(b AS DATE), DATE '{AS_OF[:10]}') > 120 THEN 'fail' ELSE 'pass' END FROM w WHERE kind = 'ID_DOCUMENT'
- UNION ALL SELECT document_id, 'GROSS_POSITIVE', CASE WHEN gi IS NULL THEN 'not_applicable' WHEN gi < 0 THEN 'fail' ELSE 'pass' END FROM w WHERE kind = 'TAX_DOCUMENT'
- UNION ALL SELECT document_id, 'TAX_NOT_EXCEEDING_GROSS', CASE WHEN gi IS NULL OR tt IS NULL THEN 'not_applicable' WHEN tt > gi + 0.01 THEN 'fail' ELSE 'pass' END FROM w WHERE kind = 'TAX_DOCUMENT')"""
-
-
-@query("consistency_checks", f"WITH {_FOUND}, {_VALID}, {_CONSISTENT} SELECT * FROM cs")
+@query("consistency_checks", f"WITH {TS.FOUND}, {TS.VALID}, {TS.CONSISTENT} SELECT * FROM cs")
 def consistency_checks(t):
     checked = CK.consistency_checks(_validated(t), AS_OF)
     return checked.select("document_id", F.explode("consistency_results").alias("c")).select(
@@ -380,19 +329,7 @@ def consistency_checks(t):
     )
 
 
-_CRIT = _values((k, f) for k in _PLAIN_TYPES for f in vocab.ANALYSIS_CRITICAL_FIELDS[k])
-
-
-@query(
-    "analysis_score",
-    f"""WITH {_FOUND}, {_VALID}, {_CONSISTENT}, cr(k, f) AS (VALUES {_CRIT}),
-v AS (SELECT vl.document_id, any_value(document_type) AS kind, count(*) FILTER (WHERE status <> 'missing')::DOUBLE / count(*) AS cov, count(*) FILTER (WHERE status = 'valid')::DOUBLE / count(*) AS vr,
- bool_or(status <> 'valid' AND cr.f IS NOT NULL) AS held FROM vl LEFT JOIN cr ON cr.k = vl.document_type AND cr.f = vl.field GROUP BY 1),
-c AS (SELECT document_id, CASE WHEN count(*) FILTER (WHERE status <> 'not_applicable') = 0 THEN 1.0 ELSE count(*) FILTER (WHERE status = 'pass')::DOUBLE / count(*) FILTER (WHERE status <> 'not_applicable') END AS cr, bool_or(status = 'fail') AS fl FROM cs GROUP BY 1),
-s AS (SELECT v.document_id, held OR fl AS h, cov, vr, cr, CAST(0.5 AS DOUBLE) * cov + CAST(0.3 AS DOUBLE) * vr + CAST(0.2 AS DOUBLE) * cr AS score FROM v JOIN c USING (document_id))
-SELECT document_id, round(cov, 9) AS field_coverage, round(vr, 9) AS validation_rate, round(cr, 9) AS consistency_rate, round(score, 9) AS confidence_score,
- CASE WHEN h THEN 'NEEDS_REVIEW' WHEN score >= 0.8 THEN 'VERIFIED' WHEN score >= 0.6 THEN 'PARTIALLY_VERIFIED' WHEN score >= 0.4 THEN 'NEEDS_REVIEW' ELSE 'FAILED' END AS verification_status FROM s""",
-)
+@query("analysis_score", f"WITH {TS.FOUND}, {TS.VALID}, {TS.CONSISTENT}, {TS.SCORED} SELECT * FROM scored")
 def analysis_score(t):
     scored = CK.analysis_score(CK.consistency_checks(_validated(t), AS_OF))
     names = ("field_coverage", "validation_rate", "consistency_rate", "confidence_score")
