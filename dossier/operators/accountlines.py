@@ -34,8 +34,8 @@ _VALUE = (
 )
 # The lines that the head of a table may take, captions included.
 _HEAD_LINES = 10
-# A short line without digits that may be the caption of a column.
-_CAPTION = r"^(?!PK|PN)[^0-9(\[][^0-9]{0,19}$"
+# A short line that may be the caption of a column: no leading digit or bracket, no bare number.
+_CAPTION = r"^(?!PK|PN|[0-9.,]+$)[^0-9(\[].{0,19}$"
 _NAME = r"([A-Z0-9][A-Za-z0-9 ,&'()\-/]{3,60}?)(?=\.|\s+[a-z]|$)"
 _PHRASES = (
     r"(?i:account\s+titled?\s+(?:as\s+)?)[\"'“]([^\"'”]{3,60})[\"'”]",
@@ -78,21 +78,61 @@ def _iban(raw: Column) -> Column:
     return F.get(F.filter(parts, lambda p: p.rlike(f"^{_IBAN}$")), 0)
 
 
-def _number(raw: Column) -> Column:
-    """The first part of the value that is a number of four or more signs and no IBAN."""
-    parts = F.transform(F.split(raw, r"[/()]"), lambda p: F.regexp_replace(p, r"^[\s.:;]+|[\s.:;\-]+$", ""))
-    usable = F.filter(
-        parts,
-        lambda p: p.rlike(r"^[A-Za-z0-9\-]*[0-9][A-Za-z0-9\-]*$")
-        & (F.char_length(p) >= 4)
-        & ~F.regexp_replace(p, r"\s+", "").rlike(f"^{_IBAN}$"),
+def _account(raw: Column) -> Column:
+    """(number, iban) of the value of a number label.
+
+    A bracket that holds an IBAN is taken off first. A slash parts the value only where one
+    side is an IBAN; else it belongs to the number. A value of several words gives its first
+    long run of letters and digits, if that is a number or an IBAN.
+    """
+
+    def is_iban(v: Column) -> Column:
+        return F.regexp_replace(v, r"\s+", "").rlike(f"^{_IBAN}$")
+
+    def read(number: Column | None, iban: Column | None) -> Column:
+        none = F.lit(None).cast("string")
+        bare = none if iban is None else F.regexp_replace(iban, r"\s+", "")
+        return F.struct((none if number is None else _or_null(F.trim(number))).alias("number"), bare.alias("iban"))
+
+    def parted(v: Column, tail: Column) -> Column:
+        left, right = F.trim(F.substring_index(v, "/", 1)), F.trim(F.substr(v, F.instr(v, "/") + 1))
+        run = F.regexp_extract(v, "[A-Za-z0-9]{8,}", 0)
+        has_digit = v.rlike("[0-9]") & (F.char_length(v) >= 4)
+        return (
+            F.when(v.contains("/") & is_iban(right), read(left, right))
+            .when(v.contains("/") & is_iban(left), read(right, left))
+            .when(v.contains("/"), read(F.when(has_digit, v), tail))
+            .when(is_iban(v), read(None, v))
+            .when(v.rlike("^[0-9]{1,3}$"), read(None, tail))
+            .when(has_digit & v.rlike(r"^[A-Za-z0-9\-]+$"), read(v, tail))
+            .when(is_iban(run), read(None, run))
+            .when(run.rlike("^[0-9]+$"), read(run, tail))
+            .otherwise(read(None, tail))
+        )
+
+    trimmed = F.regexp_replace(raw, r"^[\s.:;]+|[.:;\-/\s]+$", "")
+    bracket = F.regexp_extract(trimmed, r"^(.+?)\s*\(([^()]+)\)?$", 2)
+    tailed = (bracket != "") & is_iban(bracket)
+    head = F.when(tailed, F.regexp_extract(trimmed, r"^(.+?)\s*\(([^()]+)\)?$", 1)).otherwise(trimmed)
+    only = F.regexp_extract(trimmed, r"^\(([^()]+)\)?$", 1)
+    return _with(
+        F.struct(F.when(only != "", only).otherwise(head).alias("head"), F.when(tailed, bracket).alias("tail")),
+        lambda x: parted(x["head"], x["tail"]),
     )
-    return F.get(usable, 0)
+
+
+def _number(raw: Column) -> Column:
+    return _account(raw)["number"]
+
+
+def _iban_of(value: Column) -> Column:
+    """The IBAN of a labelled value, by what its label says."""
+    return F.when(value["kind"] == "iban", _iban(value["raw"])).otherwise(_account(value["raw"])["iban"])
 
 
 def _first(values: Column, kinds: tuple[str, ...], read) -> Column:
     """The topmost value of these kinds that ``read`` makes something of."""
-    some = F.transform(F.filter(values, lambda v: v["kind"].isin(*kinds)), lambda v: read(v["raw"]))
+    some = F.transform(F.filter(values, lambda v: v["kind"].isin(*kinds)), read)
     return F.get(F.filter(some, lambda v: v.isNotNull()), 0)
 
 
@@ -105,7 +145,7 @@ def _usable(kind: Column, raw: Column) -> Column:
     """Whether a value reads as its kind; those of other columns always do."""
     return (
         F.when(kind == "holder", _name(raw).isNotNull())
-        .when(kind == "number", F.coalesce(_number(raw), _iban(raw)).isNotNull())
+        .when(kind == "number", _with(_account(raw), lambda a: F.coalesce(a["number"], a["iban"])).isNotNull())
         .when(kind == "iban", _iban(raw).isNotNull())
         .otherwise(True)
     )
@@ -194,9 +234,16 @@ def labelled_values(text: Column) -> Column:
     lines = F.transform(F.filter(trimmed, lambda x: x != ""), _labelled)
 
     def ends(lines: Column) -> Column:
-        # A label with a value behind it ends a run as any line does that is no caption.
+        # A label with a value behind it ends a run as any line does that is no caption, or
+        # that reads as the number which the label over it asks for.
+        def over(x: Column) -> Column:
+            above = F.get(lines, x["at"] - 1)
+            asked = F.when(x["at"] > 0, (above["kind"] == "number") & (above["rest"] == ""))
+            return F.coalesce(asked, F.lit(False)) & x["line"].rlike(r"^[A-Za-z0-9\-]*[0-9][A-Za-z0-9\-]*$")
+
         broken = F.filter(
-            lines, lambda x: (x["kind"].isNull() & ~x["line"].rlike(_CAPTION)) | (x["rest"] != "")
+            lines,
+            lambda x: (x["kind"].isNull() & (~x["line"].rlike(_CAPTION) | over(x))) | (x["rest"] != ""),
         )
         return F.transform(broken, lambda x: x["at"])
 
@@ -212,11 +259,12 @@ def account_values(text: Column) -> dict[str, Column]:
     phrase = F.get(
         F.filter(spoken, lambda n: n.isNotNull() & (F.char_length(n) >= 3) & ~n.rlike(_NOT_A_NAME)), 0
     )
-    iban = _first(values, ("number", "iban"), _iban)
     # A number label may hold nothing but an IBAN, which then is the number as well.
-    number = F.coalesce(_first(values, ("number",), _number), _first(values, ("number",), _iban))
+    number = F.coalesce(
+        _first(values, ("number",), lambda v: _number(v["raw"])), _first(values, ("number",), _iban_of)
+    )
     return {
-        "account_holder": F.coalesce(_first(values, ("holder",), _name), phrase),
+        "account_holder": F.coalesce(_first(values, ("holder",), lambda v: _name(v["raw"])), phrase),
         "account_number": number,
-        "iban": iban,
+        "iban": _first(values, ("number", "iban"), _iban_of),
     }

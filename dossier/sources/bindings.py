@@ -319,7 +319,32 @@ _TEXTS = "CASE k % 13 " + " ".join(
     )
 ) + " END"
 
+#: Account blocks in the layouts that occur, with what is to be read from them: text, holder,
+#: number and IBAN.
+_ACCOUNT_LAYOUTS = (
+    (_text("'Title of Account: ' || nm", "'Account No: ' || acct", "'IBAN: ' || iban"), "nm", "acct", "iban"),
+    (_text("'Account Holder: ' || nm", "'Account No / IBAN: ' || acct || ' / ' || iban"), "nm", "acct", "iban"),
+    (_text("'Account No: ' || substr(acct, 1, 4) || '/' || substr(acct, 5)"), "NULL", "substr(acct, 1, 4) || '/' || substr(acct, 5)", "NULL"),
+    (_text("'account number (1BAN) ' || iban || ' titled as Tehsil General Account'"), "NULL", "iban", "iban"),
+    (_text("'S.No'", "'Bank Name'", "'Branch 2'", "'Account Title'", "'Account Number'", "'1'", "'ABC Bank'", "nm", "acct"), "nm", "acct", "NULL"),
+    (_text("'S.No'", "'Bank Name'", "'IENT'", "'Account Title'", "'Account Number'", "'1'", "'ABC Bank'", "nm", "acct"), "nm", "acct", "NULL"),
+    (_text("'Account Title'", "nm", "'Account Number'", "acct", "'end'"), "nm", "acct", "NULL"),
+    (_text("'Account Title'", "'DG ' || seg || ' (TOWN DEVELOPMENT'", "'AUTHORITY)'", "'DEVELOPMENT FUND'", "'Account No. (T-24 System)'", "acct"), "'DG ' || seg || ' (TOWN DEVELOPMENT AUTHORITY)'", "acct", "NULL"),
+    (_text("'Account Title:.... ' || nm", "'Account No: ' || iban"), "nm", "iban", "iban"),
+    (_text("'Account No: ' || acct || ' (' || iban || ')'"), "NULL", "acct", "iban"),
+    (_text("'We keep this in the name of Town Council.'", "'A/C No. ' || acct || ' held here'"), "'Town Council'", "acct", "NULL"),
+    (_text("'Account Title'", "'Account Number'", "'Currency'", "nm", "acct", "'PKR'"), "nm", "acct", "NULL"),
+    (_text("'Account No: 123'", "'Account Title: N/A'", "'Account Number: ' || iban || '/' || acct"), "NULL", "acct", "iban"),
+)
+
 ENTITIES: dict[str, str] = {
+    "e_account_texts": "SELECT document_id, "
+    + ", ".join(
+        "CASE k % 13 " + " ".join(f"WHEN {i} THEN {row[c]}" for i, row in enumerate(_ACCOUNT_LAYOUTS)) + f" END AS {name}"
+        for c, name in enumerate(("raw_text", "holder", "number", "iban"))
+    )
+    + """ FROM (SELECT c_custkey AS document_id, c_custkey AS k, c_name AS nm, c_mktsegment AS seg, cast(50000000 + c_custkey * 7 as string) AS acct,
+ 'PK36SCBL' || lpad(cast(c_custkey * 31 as string), 16, '0') AS iban FROM {customer}) c""",
     "e_applications": f"""SELECT o_orderkey AS application_id,
  {_case("o_orderkey % 8", vocab.APPLICATION_STATUSES)} AS status,
  o_orderdate AS submitted_at,

@@ -125,6 +125,17 @@ def test_bank_block_layouts(spark):
         "Account Title\nTown Municipal\nAdministration\n12345-1234567-1": ("Town Municipal", None),
         "Paid on behalf of Party B. It is in the name of Town Council.": ("Town Council", None),
     }
+    cases |= {
+        "Account No: 0123/4567": (None, "0123/4567"),
+        "account number (1BAN) PK86ABCD12345678901 titled as Tehsil General Account": (None, "PK86ABCD12345678901"),
+        "S.No\nBank Name\nBranch 2\nAccount Title\nAccount Number\n1\nABC Bank\nFoo Traders\n12345678": ("Foo Traders", "12345678"),
+        "Account No: 12 / ab": (None, "12 / ab"),
+        "Account No: a/b": (None, None),
+        "Account No: 123": (None, None),
+        "Account No: no 12345678 of the Bank": (None, "12345678"),
+        "Account No: PK36SCBL0000001123456702/998877": (None, "998877"),
+        "Account No: (PK36SCBL0000001123456702)": (None, "PK36SCBL0000001123456702"),
+    }
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select(
         "i", *[c.alias(n) for n, c in account_values(F.col("t")).items()]
     )
