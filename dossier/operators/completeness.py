@@ -16,22 +16,30 @@ def _count(t: str) -> Column:
     return F.coalesce(F.col(f"n_{t}"), F.lit(0))
 
 
-def document_counts(apps: DataFrame, documents: DataFrame) -> DataFrame:
-    """One wide row of per-type counts per application, in a single pass over documents."""
+def type_counts(documents: DataFrame) -> DataFrame:
+    """Per-type counts of every application that has documents, of a table or of a stream."""
     kind = F.col("document_type")
     watched = (*vocab.REQUIRED_TYPES, *vocab.OPTIONAL_TYPES)
-    per_app = documents.groupBy("application_id").agg(
+    return documents.groupBy("application_id").agg(
         *[F.count_if(kind == t).alias(f"n_{t}") for t in watched],
         F.array_sort(F.collect_set(F.when(~kind.isin(*_CONFIGURED), kind))).alias("unexpected"),
         F.count_if(F.col("processing_status") == "UPLOADED").alias("uploaded"),
         F.count(F.lit(1)).alias("n_documents"),
     )
-    return apps.select("application_id").join(per_app, "application_id", "left")
+
+
+def document_counts(apps: DataFrame, documents: DataFrame) -> DataFrame:
+    """One wide row of per-type counts per application, in a single pass over documents."""
+    return apps.select("application_id").join(type_counts(documents), "application_id", "left")
 
 
 def completeness(apps: DataFrame, documents: DataFrame) -> DataFrame:
     """Missing, duplicate and unexpected types, percentage and status per application."""
-    counts = document_counts(apps, documents)
+    return completeness_of(document_counts(apps, documents))
+
+
+def completeness_of(counts: DataFrame) -> DataFrame:
+    """The same from rows of :func:`document_counts`."""
     required = vocab.REQUIRED_TYPES
     missing = sorted_present((t, _count(t) == 0) for t in required)
     duplicate = sorted_present(

@@ -244,12 +244,15 @@ class VersionedTable:
             | {"base": {str(b): folder for b in found}}
         )
 
-    def upsert(self, updates: DataFrame) -> None:
+    def upsert(self, updates: DataFrame, token: int | None = None) -> bool:
         """Refresh known keys and add new ones, as files beside the base, which stays as it is.
 
         ``updates``: the keys, once each, and any of the other columns. Only key columns of the
-        touched buckets are read, to learn which keys are new.
+        touched buckets are read, to learn which keys are new. With a ``token``, a number that
+        rises from update to update, one that is there already is not applied again (false).
         """
+        if token is not None and token <= self.state.get("token", -1):
+            return False
         keys = self.state["keys"]
         rows = stored(updates.withColumn(BUCKET, self._bucket()))
         touched = self._touched(rows)
@@ -266,7 +269,9 @@ class VersionedTable:
         folder, found = self._write(marked)
         columns = [c for c in updates.columns if c not in keys]
         update = {"folder": folder, "columns": columns, "buckets": found}
-        self._commit(self.state | {"updates": [*self.state["updates"], update]})
+        state = self.state | {"updates": [*self.state["updates"], update]}
+        self._commit(state if token is None else state | {"token": token})
+        return True
 
     def compact(self) -> None:
         """Merge the updates into the base of the buckets that have any."""

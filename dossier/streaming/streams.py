@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,42 +13,56 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from dossier import vocab
 from dossier.functions.timing import duration_seconds
-from dossier.operators.completeness import completeness
-from dossier.operators.queueing import ready_for_analysis
-from dossier.sources.exports import upsert
+from dossier.operators.completeness import completeness_of, type_counts
+from dossier.operators.queueing import DOCUMENT_JOB
+from dossier.sources.versioned import VersionedTable
 
 _EVENTS = ("DOCUMENTS_REQUESTED", "DOCUMENTS_RECEIVED")
-_SPAN_SCHEMA = (
-    "application_id long, span_start timestamp, span_end timestamp, superseded boolean"
-)
 
 
 def stream_waiting_spans(history: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Answered and superseded waiting spans as events arrive; state is the open request.
+    """Answered and superseded waiting spans, in time order however the events arrive.
 
-    Only one timestamp is kept per application. Events of one micro-batch are handled in
-    time order; those older than the watermark are dropped.
+    An event waits in the state of its application until the watermark has passed it, so one
+    that is late by less than ``lateness`` still takes its place; older ones are dropped. What
+    arrives is put into the buffer frame by frame, and what the watermark has passed leaves it
+    when the next events come or, by a timer, without any. The state is the open request and
+    the events of the last ``lateness``.
     """
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: Any
     ) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(batches)).sort_values(["created_at", "id"])
-        opened = state.get[0] if state.exists else None
+        opened, *held = state.get if state.exists else (None, [], [], [])
+        buffer = list(zip(*held))
+        for events in batches:
+            times = events["created_at"].to_numpy("datetime64[us]").astype("int64")
+            buffer += zip(times.tolist(), events["id"].tolist(), (events["event_type"] == _EVENTS[0]).tolist())
+        buffer.sort()
+        passed = state.getCurrentWatermarkMs()
+        due = bisect_right(buffer, passed * 1000, key=lambda event: event[0])
         spans = []
-        for kind, at in zip(events["event_type"], events["created_at"]):
-            if kind == _EVENTS[0]:
-                if opened is not None:
-                    spans.append((key[0], opened, None, True))
-                opened = at.to_pydatetime()
-            elif opened is not None:
-                spans.append((key[0], opened, at.to_pydatetime(), False))
-                opened = None
-        if opened is None:
+        for at, _, requested in buffer[:due]:
+            if requested and opened is not None:
+                spans.append((key[0], opened, None, True))
+            elif not requested and opened is not None:
+                spans.append((key[0], opened, at, False))
+            opened = at if requested else None
+        rest = buffer[due:]
+        if opened is None and not rest:
             state.remove()
         else:
-            state.update((opened,))
-        yield pd.DataFrame(spans, columns=["application_id", "span_start", "span_end", "superseded"])
+            state.update((opened, *([e[i] for e in rest] for i in range(3))))
+            if rest:
+                state.setTimeoutTimestamp(max(passed + 1, rest[0][0] // 1000))
+        yield pd.DataFrame(
+            {
+                "application_id": pd.Series([r[0] for r in spans], dtype="Int64"),
+                "start": pd.Series([r[1] for r in spans], dtype="Int64"),
+                "end": pd.Series([r[2] for r in spans], dtype="Int64"),
+                "superseded": pd.Series([r[3] for r in spans], dtype="bool"),
+            }
+        )
 
     wanted = history.filter(F.col("event_type").isin(*_EVENTS)).select(
         "application_id", "id", "event_type", F.col("created_at").cast("timestamp").alias("created_at")
@@ -56,11 +71,20 @@ def stream_waiting_spans(history: DataFrame, lateness: str = "1 hour") -> DataFr
         wanted.withWatermark("created_at", lateness)
         .groupBy("application_id")
         .applyInPandasWithState(
-            advance, _SPAN_SCHEMA, "opened timestamp", "append", "NoTimeout"
+            advance,
+            "application_id long, start long, end long, superseded boolean",
+            "opened long, times array<long>, ids array<long>, requested array<boolean>",
+            "append",
+            "EventTimeTimeout",
         )
     )
-    return spans.withColumn(
-        "duration_seconds", duration_seconds(F.col("span_start"), F.col("span_end"))
+    start, end = (F.timestamp_micros(c) for c in ("start", "end"))
+    return spans.select(
+        "application_id",
+        start.alias("span_start"),
+        end.alias("span_end"),
+        "superseded",
+        duration_seconds(start, end).alias("duration_seconds"),
     )
 
 
@@ -82,45 +106,35 @@ def stream_queue_backlog(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _epochs(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches that are stored below ``path``."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
-    files = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path)
-    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in files or ())
-
+#: Updates that lie beside the base of the completeness table before they are merged.
+_MERGE_EVERY = 16
 
-def _keep(batch: DataFrame, path: str, epoch: int) -> DataFrame:
-    """Store a batch under its number, so that a replay replaces it; all batches up to it."""
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    folders = [f"{path}/epoch={e}" for e in _epochs(spark, path) if e <= epoch]
-    return spark.read.schema(batch.schema).parquet(*folders)
 
+def stream_completeness(documents: DataFrame, apps: DataFrame, out_path: str) -> DataStreamWriter:
+    """Keep a table of the completeness of every application that documents arrive for.
 
-def stream_completeness(
-    documents: DataFrame, apps: DataFrame, stored_path: str, out_path: str
-) -> DataStreamWriter:
-    """Refresh the completeness of every application that new documents arrive for.
-
-    ``stored_path`` holds all documents so far, one folder per batch; the snapshot under
-    ``out_path`` is written anew for each batch, from the last one found there. Nothing is
-    kept in the driver, so a restart goes on from what is stored and a replayed batch
-    replaces itself.
+    The counts per application and type are the state of a streaming aggregate, so a batch
+    reads its own documents only. The rows of the applications it touched go to the versioned
+    table at ``out_path`` as an update under the number of the batch, which makes a replayed
+    batch a no-op; every ``_MERGE_EVERY`` updates they are merged into the base.
     """
 
     def refresh(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        everything = _keep(batch, stored_path, epoch)
-        touched = batch.select("application_id").distinct()
-        held = everything.join(touched, "application_id", "left_semi")
-        fresh = completeness(apps.join(touched, "application_id", "left_semi"), held)
-        earlier = [e for e in _epochs(spark, out_path) if e < epoch]
-        if earlier:
-            before = spark.read.schema(fresh.schema).parquet(f"{out_path}/epoch={earlier[-1]}")
-            fresh = upsert(before, fresh, ["application_id"])
-        fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        counts = batch.join(apps.select("application_id"), "application_id")
+        fresh = completeness_of(counts)
+        table = completeness_table(batch.sparkSession, out_path)
+        if table.number < 0:
+            table.create(fresh.limit(0), ["application_id"])
+        table.upsert(fresh, token=epoch)
+        if len(table.state["updates"]) >= _MERGE_EVERY:
+            table.compact()
+
+    return type_counts(documents).writeStream.outputMode("update").foreachBatch(refresh)
 
-    return documents.writeStream.foreachBatch(refresh)
+
+def completeness_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The table that :func:`stream_completeness` keeps, at its newest version."""
+    return VersionedTable(spark, path, ["application_id"])
 
 
 def stream_once_per_document(documents: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -133,25 +147,46 @@ def stream_once_per_document(documents: DataFrame, lateness: str = "1 day") -> D
     )
 
 
-def start_analysis_once(
-    jobs: DataFrame, apps: DataFrame, started_path: str, jobs_path: str
-) -> DataStreamWriter:
-    """Record one analysis start per application once its document jobs have all ended."""
-
-    def start(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        everything = _keep(batch, jobs_path, epoch)
-        latest = everything.groupBy("job_id").agg(
-            F.max_by(F.struct("application_id", "job_type", "status"), "seq").alias("j")
-        ).select("job_id", "j.*")
-        new = ready_for_analysis(latest, apps).filter("outcome = 'START'").select("application_id")
-        earlier = [f"{started_path}/epoch={e}" for e in _epochs(spark, started_path) if e < epoch]
-        if earlier:
-            started = spark.read.schema("application_id LONG").parquet(*earlier)
-            new = new.join(started, "application_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{started_path}/epoch={epoch}")
-
-    return jobs.writeStream.foreachBatch(start)
+def stream_start_analysis_once(jobs: DataFrame, apps: DataFrame) -> DataFrame:
+    """One row per application, when all its document jobs known by then have ended, one of
+    them completed, and the application may be analysed.
+
+    ``jobs``: job_id, application_id, job_type, status and seq, which rises with each state of
+    a job. The state holds the last state of the application's jobs and, once it has started,
+    nothing but that.
+    """
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        started, *known = state.get if state.exists else (False, [], [], [])
+        latest = {job: (seq, status) for job, seq, status in zip(*known)}
+        allowed = False
+        for rows in batches:
+            if not started:
+                for job, seq, status in zip(rows["job_id"].tolist(), rows["seq"].tolist(), rows["status"]):
+                    if job not in latest or seq > latest[job][0]:
+                        latest[job] = (seq, status)
+                allowed = allowed or bool(rows["allowed"].any())
+        now = {status for _, status in latest.values()}
+        starts = not started and allowed and "COMPLETED" in now and now <= {"COMPLETED", "FAILED"}
+        if started or starts:
+            state.update((True, [], [], []))
+        else:
+            state.update((False, list(latest), [s for s, _ in latest.values()], [s for _, s in latest.values()]))
+        yield pd.DataFrame({"application_id": pd.Series([key[0]] if starts else [], dtype="int64")})
+
+    can_start = apps.select("application_id", F.col("status").isin("PROCESSING", "SUBMITTED").alias("allowed"))
+    wanted = jobs.filter(F.col("job_type") == DOCUMENT_JOB).select("application_id", "job_id", "seq", "status")
+    return (
+        wanted.join(can_start, "application_id")
+        .groupBy("application_id")
+        .applyInPandasWithState(
+            decide,
+            "application_id long",
+            "started boolean, jobs array<long>, seqs array<long>, statuses array<string>",
+            "append",
+            "NoTimeout",
+        )
+    )
 
 
 def stream_inactive_jobs(

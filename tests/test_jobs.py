@@ -181,23 +181,67 @@ def _drain(writer, checkpoint):
 def test_completeness_survives_a_restart(spark, tmp_path):
     schema = "document_id long, application_id long, document_type string, processing_status string, uploaded_at timestamp_ntz"
     apps = spark.createDataFrame([(1, "SUBMITTED"), (2, "SUBMITTED")], "application_id long, status string")
-    for app in (1, 2):  # each round is a stream of its own, from the same checkpoint
-        stream = _batches(spark, str(tmp_path / "in"), [(app, app, "AUTHORITY_LETTER", "UPLOADED", at(1))], schema)
-        writer = streams.stream_completeness(stream, apps, str(tmp_path / "kept"), str(tmp_path / "out"))
-        _drain(writer, str(tmp_path / "check"))
-    last = spark.read.parquet(str(tmp_path / "out" / "epoch=1"))
-    assert {r.application_id for r in last.collect()} == {1, 2}
+    out = str(tmp_path / "out")
+    for number, app in enumerate((1, 2, 1)):  # each round is a stream of its own, from the same checkpoint
+        kind = ("AUTHORITY_LETTER", "AUTHORITY_LETTER", "CNIC_FRONT")[number]
+        stream = _batches(spark, str(tmp_path / "in"), [(number, app, kind, "UPLOADED", at(1))], schema)
+        _drain(streams.stream_completeness(stream, apps, out), str(tmp_path / "check"))
+    table = streams.completeness_table(spark, out)
+    got = {r.application_id: (r.received_required, r.uploaded_documents) for r in table.read().collect()}
+    assert got == {1: (2, 2), 2: (1, 1)}
+    # A replayed batch changes nothing; a batch writes the rows that it touched only.
+    version, last = table.number, table.state["updates"][-1]
+    assert not table.upsert(table.read().limit(1), token=2) and table.number == version
+    assert len(last["buckets"]) == 1
+
+
+def test_completeness_updates_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "_MERGE_EVERY", 2)
+    schema = "document_id long, application_id long, document_type string, processing_status string, uploaded_at timestamp_ntz"
+    apps = spark.createDataFrame([(i,) for i in range(5)], "application_id long")
+    held = []
+    for app in range(5):
+        stream = _batches(spark, str(tmp_path / "in"), [(app, app, "CNIC_FRONT", "UPLOADED", at(1))], schema)
+        _drain(streams.stream_completeness(stream, apps, str(tmp_path / "out")), str(tmp_path / "check"))
+        held.append(len(streams.completeness_table(spark, str(tmp_path / "out")).state["updates"]))
+    assert max(held) < 2 and streams.completeness_table(spark, str(tmp_path / "out")).read().count() == 5
 
 
 def test_analysis_starts_once(spark, tmp_path):
     schema = "job_id long, application_id long, job_type string, status string, seq long"
-    apps = spark.createDataFrame([(1, "PROCESSING"), (2, "PROCESSING")], "application_id long, status string")
-    for rows in ([(1, 1, "DOCUMENT_OCR", "COMPLETED", 1)], [(1, 1, "DOCUMENT_OCR", "COMPLETED", 2), (2, 2, "DOCUMENT_OCR", "COMPLETED", 1)]):
+    apps = spark.createDataFrame([(1, "PROCESSING"), (2, "PROCESSING"), (3, "APPROVED")], "application_id long, status string")
+    rounds = (
+        [(1, 1, "DOCUMENT_OCR", "COMPLETED", 1), (3, 3, "DOCUMENT_OCR", "COMPLETED", 1), (4, 2, "DOCUMENT_OCR", "QUEUED", 1)],
+        [(1, 1, "DOCUMENT_OCR", "COMPLETED", 2), (2, 2, "DOCUMENT_OCR", "COMPLETED", 1), (5, 1, "DOCUMENT_OCR", "QUEUED", 1)],
+        [(4, 2, "DOCUMENT_OCR", "FAILED", 3), (4, 2, "DOCUMENT_OCR", "PROCESSING", 2), (5, 1, "DOCUMENT_OCR", "COMPLETED", 2)],
+    )
+    seen = []
+    for rows in rounds:  # from the same checkpoint each time
+        stream = _batches(spark, str(tmp_path / "in"), rows, schema)
+        started = streams.stream_start_analysis_once(stream, apps)
+        _drain(started.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "check"))
+        seen.append(sorted(r.application_id for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert seen == [[1], [1], [1, 2]]
+
+
+def test_waiting_spans_of_events_that_arrive_late(spark, tmp_path):
+    """Late by less than the lateness takes its place, by more is dropped."""
+    schema = "application_id long, id long, event_type string, created_at timestamp"
+    q, r = "DOCUMENTS_REQUESTED", "DOCUMENTS_RECEIVED"
+    minute = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
+    rounds = (
+        [(1, 1, q, minute(0)), (1, 3, r, minute(40))],
+        [(1, 2, q, minute(20)), (2, 4, q, minute(50))],  # supersedes the request of minute 0
+        [(9, 9, r, minute(300))],
+        [(2, 5, r, minute(60))],  # behind the watermark
+        [(9, 10, r, minute(900))],
+    )
+    for rows in rounds:
         stream = _batches(spark, str(tmp_path / "in"), rows, schema)
-        writer = streams.start_analysis_once(stream, apps, str(tmp_path / "started"), str(tmp_path / "jobs"))
-        _drain(writer, str(tmp_path / "check"))
-    got = [(r.epoch, r.application_id) for r in spark.read.parquet(str(tmp_path / "started")).collect()]
-    assert sorted(got) == [(0, 1), (1, 2)]
+        spans = streams.stream_waiting_spans(stream)
+        _drain(spans.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "check"))
+    got = sorted((x.application_id, x.superseded, x.duration_seconds) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, False, 1200.0), (1, True, None)]
 
 
 def test_first_deciding_value_wins(spark):
