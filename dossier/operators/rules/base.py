@@ -1,26 +1,33 @@
 """Shared shape of the rule jobs.
 
-A *candidate* is one field row seen by one rule. Every rule marks the candidates that
-decide it (status and message); the first deciding one in the rule's order wins. All
-rules are aggregated together per (application, rule), so a very large application is
-spread over its rules and shrinks in the partial aggregation.
+Every rule marks the field rows that decide it; the first deciding one in the rule's order
+(its fields, then documents, then field names) wins. All rules are counted in one aggregate per
+(application, rule), which keeps numbers only; the rows that decide are joined back for their
+texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.functions.lit import blank, strip
+from dossier.functions.lit import strip
 
 PASS, FAIL, WARNING, PENDING = vocab.RULE_STATUSES
 
 
 
+class Verdict(NamedTuple):
+    """When a field row decides its rule, and (status, message) of a row that does."""
+
+    decides: Column
+    found: Column
+
+
 class ValueRule(NamedTuple):
     """A rule over field values.
 
@@ -32,26 +39,26 @@ class ValueRule(NamedTuple):
     category: str
     fields: tuple[str, ...]
     document_type: str | None
-    verdict: Column | None
+    verdict: Verdict | None
     passed: str
     related: tuple[str, ...]
 
 
-def verdict(*arms: tuple[Column, str, Column]) -> Column:
-    """(status, message) of a candidate that decides its rule, null for any other; the
-    first true test of the (test, status, message) arms counts."""
-    found = None
+def verdict(*arms: tuple[Column, str, Column]) -> Verdict:
+    """Verdict of the first true test of the (test, status, message) arms."""
+    found, decides = None, F.lit(False)
     for test, status, text in arms:
         made = F.struct(F.lit(status).alias("status"), text.alias("message"))
         found = F.when(test, made) if found is None else found.when(test, made)
-    return found
+        decides = decides | F.coalesce(test, F.lit(False))
+    return Verdict(decides, found)
 
 
 def with_values(fields: DataFrame) -> DataFrame:
     """Field rows as the rules see them: stale values hidden, trimmed value and flag added."""
     stale = F.col("verification_status").isin(*vocab.UNVERIFIED_STATUSES)
     nv = F.when(~F.coalesce(stale, F.lit(False)), F.col("normalized_value"))
-    return fields.select(
+    trimmed = fields.select(
         "application_id",
         "document_id",
         F.coalesce("document_type", F.lit(vocab.UNKNOWN)).alias("document_type"),
@@ -60,45 +67,91 @@ def with_values(fields: DataFrame) -> DataFrame:
         "confidence_score",
         nv.alias("nv"),
         strip(F.coalesce(nv, F.lit(""))).alias("v"),
-        (~blank(nv)).alias("present"),
     )
+    return trimmed.withColumn("present", F.col("v") != "")
+
+
+def candidates(values: DataFrame, rules: Sequence[ValueRule]) -> DataFrame:
+    """Field rows paired with the rules that read them, as (rule_no, spot in the rule).
+
+    One lookup by field name gives the rules of a row, instead of a test for each rule.
+    """
+    spots = [(no, i, n, r.document_type) for no, r in enumerate(rules) for i, n in enumerate(r.fields or (None,))]
+    kind = "array<struct<rule_no:int,spot:int,kind:string>>"
+
+    def listed(of: list) -> Column:
+        cells = [F.struct(F.lit(no).alias("rule_no"), F.lit(i).alias("spot"), F.lit(t).cast("string").alias("kind")) for no, i, _, t in of]
+        return F.array(*cells).cast(kind)
+
+    always = [s for s in spots if s[2] is None]
+    names = dict.fromkeys(s[2] for s in spots if s[2] is not None)
+    table = F.create_map(*[x for n in names for x in (F.lit(n), listed([s for s in spots if s[2] in (n, None)]))])
+    found = F.coalesce(F.try_element_at(table, F.col("field_name")), listed(always))
+    paired = values.withColumn("_r", F.explode(found))
+    right_type = F.col("_r.kind").isNull() | (F.col("_r.kind") == F.col("document_type"))
+    return paired.filter(right_type).select(*values.columns, "_r.rule_no", "_r.spot")
+
+
+def _by_rule(rules: Sequence[ValueRule], value, kind: str) -> Column:
+    """``value(verdict)`` of the row's rule, null for rules that no row decides; rules over
+    every field are looked at first."""
+    named = sorted(enumerate(rules), key=lambda x: len(x[1].fields) > 0)
+    found = None
+    for no, rule in named:
+        if rule.verdict is not None:
+            arm = F.col("rule_no") == no
+            made = value(rule.verdict)
+            found = F.when(arm, made) if found is None else found.when(arm, made)
+    return F.lit(None).cast(kind) if found is None else found
+
 
+def rule_counts(values: DataFrame, rules: Sequence[ValueRule]) -> DataFrame:
+    """Per (application, rule): rows read, those with a value, and the first deciding field
+    (``spot``) with the smallest document that it decides.
 
-def candidates(values: DataFrame, rules: Iterable[ValueRule]) -> DataFrame:
-    """Field rows paired with the rules that read them, as (rule_no, spot in the rule)."""
-    spots = []
-    for no, r in enumerate(rules):
-        for i, name in enumerate(r.fields or (None,)):
-            test = F.lit(True) if name is None else F.col("field_name") == name
-            if r.document_type is not None:
-                test = test & (F.col("document_type") == r.document_type)
-            spots.append(F.when(test, F.struct(F.lit(no).alias("rule_no"), F.lit(i).alias("spot"))))
-    paired = values.withColumn("_r", F.explode(F.array_compact(F.array(*spots))))
-    return paired.select(*values.columns, "_r.rule_no", "_r.spot")
-
-
-def judged(cands: DataFrame, rules: Iterable[ValueRule]) -> DataFrame:
-    """Candidates with ``found``, the verdict of the rule they decide (else null)."""
-    nothing = F.struct(F.lit("").alias("status"), F.lit("").alias("message"))
-    found = F.when(F.lit(False), nothing)
-    # Rules over every field see most candidates, so they are looked at first.
-    for no, r in sorted(enumerate(rules), key=lambda x: len(x[1].fields) > 0):
-        if r.verdict is not None:
-            found = found.when(F.col("rule_no") == no, r.verdict)
-    return cands.withColumn("found", found)
-
-
-def first_verdicts(rows: DataFrame) -> DataFrame:
-    """Per (application, rule): rows seen, rows with a value, and the first deciding row."""
-    order = F.struct("spot", "document_id", "field_name")
-    return rows.groupBy("application_id", "rule_no").agg(
+    Numbers only, so Spark aggregates by hash, in part before the shuffle, however many rows
+    an application has.
+    """
+    width = max(len(r.fields or (None,)) for r in rules)
+    decided = F.coalesce(_by_rule(rules, lambda v: v.decides, "boolean"), F.lit(False))
+    slim = candidates(values, rules).select(
+        "application_id",
+        "rule_no",
+        "present",
+        (F.coalesce("nv", F.lit("")) != "").alias("filled"),
+        F.when(decided, F.col("document_id")).alias("document_id"),
+        "spot",
+    )
+    counts = slim.groupBy("application_id", "rule_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if("present").alias("n_present"),
-        F.count_if(F.coalesce("nv", F.lit("")) != "").alias("n_filled"),
-        F.min_by(
-            F.struct("found.status", "found.message", "document_id", "field_name"),
-            F.when(F.col("found").isNotNull(), order),
-        ).alias("first"),
+        F.count_if("filled").alias("n_filled"),
+        *[F.min(F.when(F.col("spot") == i, F.col("document_id"))).alias(f"doc_{i}") for i in range(width)],
+    )
+    first = F.coalesce(
+        *[F.when(F.col(f"doc_{i}").isNotNull(), F.struct(F.lit(i).alias("spot"), F.col(f"doc_{i}").alias("document_id"))) for i in range(width)]
+    )
+    return counts.select("application_id", "rule_no", "n_rows", "n_present", "n_filled", first.alias("d")).select(
+        "application_id", "rule_no", "n_rows", "n_present", "n_filled", "d.spot", "d.document_id"
+    )
+
+
+def first_verdicts(values: DataFrame, counts: DataFrame, rules: Sequence[ValueRule]) -> DataFrame:
+    """Per (application, rule) that a row decides, what it says; only rows of the deciding
+    documents are joined, and messages are written for them alone."""
+    fields = F.array(*[F.array(*[F.lit(n) for n in r.fields]).cast("array<string>") for r in rules])
+    wanted = F.get(F.get(fields, F.col("rule_no")), F.col("spot"))
+    spots = counts.filter("document_id IS NOT NULL").select(
+        F.col("application_id").alias("_app"), F.col("document_id").alias("_doc"), "rule_no", wanted.alias("wanted")
+    )
+    rows = values.join(
+        spots, F.col("application_id").eqNullSafe(F.col("_app")) & (F.col("document_id") == F.col("_doc"))
+    ).filter("wanted IS NULL OR wanted = field_name")
+    found = _by_rule(rules, lambda v: F.when(v.decides, v.found), "struct<status:string,message:string>")
+    said = rows.select("application_id", "rule_no", "document_id", "field_name", found.alias("found"))
+    order = F.when(F.col("found").isNotNull(), F.col("field_name"))
+    return said.groupBy("application_id", "rule_no").agg(
+        F.min_by(F.struct("found.status", "found.message", "document_id", "field_name"), order).alias("first")
     )
 
 
