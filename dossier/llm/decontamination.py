@@ -45,6 +45,11 @@ MASKS = (
 SPAN = 13
 OVERLAP = 13
 SHARE = 0.8
+#: Tokens of a document between the first and the last hit of a segment, at most; one that goes
+#: on begins a new segment, and both hold the tokens around their own hits.
+SEGMENT = 256
+#: Items up to this length match as a whole or not at all.
+WHOLE = 4
 #: 8 MB: the bit array of item hashes, the same at every size.
 FILTER_BITS = 1 << 26
 
@@ -97,7 +102,7 @@ def item_hashes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = words.of(tokens(text))
                 numbers = masks_for(len(h))
@@ -106,12 +111,13 @@ def item_hashes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out[1].extend([i] * len(seeds))
                     out[2].extend(range(len(seeds)))
                     out[3].extend([number] * len(seeds))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    out[4].extend([len(h)] * len(seeds))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             arrays = [pa.array(v, t) for v, t in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "item_pos", "mask"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "item_pos", "mask", "item_tokens"])
 
     rows = items.select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(scan, "hash long, item_id long, item_pos int, mask int")
+    return rows.mapInArrow(scan, "hash long, item_id long, item_pos int, mask int, item_tokens int")
 
 
 def _hash_filter(hashes: DataFrame, bits: int) -> bytes:
@@ -135,7 +141,7 @@ def _segments(documents: DataFrame, id_col: str, text_col: str, held, masks: lis
     number = pa.int64()
     schema = pa.schema(
         [("segment", number), ("doc_id", number), ("start", pa.int32()), ("tokens", pa.list_(number)),
-         ("hits", pa.list_(pa.struct([("hash", number), ("pos", pa.int32())])))]
+         ("hit_hash", pa.list_(number)), ("hit_pos", pa.list_(pa.int32()))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +166,9 @@ def _segments(documents: DataFrame, id_col: str, text_col: str, held, masks: lis
                 value = np.concatenate([s for s, _ in found]).view(np.int64)
                 order = np.argsort(at, kind="stable")
                 at, value = at[order], value[order]
-                breaks = np.flatnonzero(np.diff(at) > reach) + 1
-                for part, own in zip(np.split(at, breaks), np.split(value, breaks)):
+                for part, own in zip(*(np.split(x, _breaks(at, reach)) for x in (at, value))):
                     low, high = max(0, int(part[0]) - reach), int(part[-1]) + SPAN + reach
-                    hits = [{"hash": int(v), "pos": int(p)} for v, p in zip(own, part)]
-                    rows.append((made, i, low, h[low:high].view(np.int64).tolist(), hits))
+                    rows.append((made, i, low, h[low:high].view(np.int64).tolist(), own.tolist(), (part - low).tolist()))
                     made += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in rows], t) for c, t in enumerate(schema.types)], schema=schema
@@ -173,10 +177,47 @@ def _segments(documents: DataFrame, id_col: str, text_col: str, held, masks: lis
     rows = documents.select(F.col(id_col).cast("long"), text_col)
     return rows.mapInArrow(
         scan,
-        "segment long, doc_id long, start int, tokens array<long>, hits array<struct<hash:long,pos:int>>",
+        "segment long, doc_id long, start int, tokens array<long>, hit_hash array<long>, hit_pos array<int>",
     )
 
 
+def _breaks(at: np.ndarray, reach: int) -> list[int]:
+    """Where a new segment begins: behind a gap, or where the last one would grow too long."""
+    gaps = np.flatnonzero(np.diff(at) > reach) + 1
+    out, first = [], 0
+    for stop in (*gaps.tolist(), len(at)):
+        while at[stop - 1] - at[first] > SEGMENT:
+            first = int(np.searchsorted(at, at[first] + SEGMENT, "right"))
+            out.append(first)
+        if stop < len(at):
+            out.append(stop)
+            first = stop
+    return out
+
+
+class _Item:
+    """Tokens of an item and the positions of its seeds, by hash."""
+
+    def __init__(self, words: list[int]) -> None:
+        self.words = np.array(words, np.int64)
+        h = self.words.view(np.uint64)
+        seeds = [s.view(np.int64) for s in seed_hashes(h, masks_for(len(h)))]
+        hashes = np.concatenate([*seeds, np.zeros(0, np.int64)])
+        places = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, np.int64)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], places[order]
+
+    def diagonals(self, hit_hash: np.ndarray, hit_pos: np.ndarray) -> list[int]:
+        found = [np.zeros(0, np.int64)]
+        for value in np.unique(hit_hash).tolist():
+            a, b = np.searchsorted(self.hashes, [value, value + 1] if value < 2**63 - 1 else [value, value])
+            b = b if value < 2**63 - 1 else len(self.hashes)
+            if a < b:
+                own = hit_pos[hit_hash == value]
+                found.append(np.unique(own[:, None] - self.places[None, a:b]))
+        return np.unique(np.concatenate(found)).tolist()
+
+
 def _overlap(document: np.ndarray, item: np.ndarray, diagonal: int, length: int):
     """Best window on the diagonal: (equal tokens, start in ``document``), or None."""
     low, high = max(0, diagonal), min(len(document), diagonal + len(item))
@@ -207,14 +248,20 @@ def contaminated(
     held = spark.sparkContext.broadcast(_hash_filter(hashes, filter_bits))
     masks = sorted(r["mask"] for r in hashes.select("mask").distinct().collect())
     segments = stored(_segments(documents, id_col, text_col, held, masks, overlap))
-    hits = segments.select("segment", "start", F.explode("hits").alias("hit")).select(
-        "segment", F.col("hit.hash").alias("hash"), (F.col("hit.pos") - F.col("start")).alias("pos")
-    )
-    diagonals = (
-        hits.join(hashes, "hash")
-        .select("segment", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+    # Which segments share a hash with which items; each then meets the other's tokens once,
+    # whatever the number of their common hashes.
+    met = (
+        segments.select("segment", "doc_id", "start", F.explode(F.array_distinct("hit_hash")).alias("hash"))
+        .join(hashes.select("hash", "item_id", "item_tokens").distinct(), "hash")
+        .select("segment", "doc_id", "start", "item_id", "item_tokens")
         .distinct()
     )
+    # A short item that is there at all is there whole: its first segment decides.
+    first = met.filter(F.col("item_tokens") <= WHOLE).groupBy("doc_id", "item_id").agg(
+        F.min(F.struct("start", "segment")).getField("segment").alias("segment")
+    )
+    wanted = met.filter(F.col("item_tokens") > WHOLE).select("segment", "item_id")
+    wanted = wanted.unionByName(first.select("segment", "item_id"))
 
     def item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -226,16 +273,25 @@ def contaminated(
 
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), item_text_col)
     items = items.mapInArrow(item_tokens, "item_id long, item array<long>")
-    pairs = diagonals.join(segments.drop("hits"), "segment").join(items, "item_id")
+    pairs = wanted.join(segments, "segment").join(items, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, item = None, None
         for batch in batches:
             rows = []
-            for doc, item_id, start, diagonal, words, item in zip(*(c.to_pylist() for c in batch.columns)):
-                length = min(overlap, len(item))
-                best = _overlap(np.array(words), np.array(item), diagonal, length)
+            for doc, item_id, start, document, hit_hash, hit_pos, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if item is None or item_id != last or len(own) != len(item.words):
+                    last, item = item_id, _Item(own)
+                length, best = min(overlap, len(own)), None
+                words = np.array(document)
+                for diagonal in item.diagonals(np.array(hit_hash), np.array(hit_pos)):
+                    if best and best[0] == length and max(0, diagonal) >= best[1]:
+                        break  # no window behind it is better
+                    found = _overlap(words, item.words, diagonal, length)
+                    if found and (best is None or (found[0], -found[1]) > (best[0], -best[1])):
+                        best = (*found, diagonal)
                 if best and best[0] >= share * length:
-                    equal, at = best
+                    equal, at, diagonal = best
                     rows.append((doc, item_id, start + at, at - diagonal, length, equal))
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
             yield pa.RecordBatch.from_arrays(
@@ -243,7 +299,8 @@ def contaminated(
                 names=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"],
             )
 
-    found = pairs.select("doc_id", "item_id", "start", "diagonal", "tokens", "item").mapInArrow(
+    columns = ("doc_id", "item_id", "start", "tokens", "hit_hash", "hit_pos", "item")
+    found = pairs.select(*columns).mapInArrow(
         verify, "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_equal int"
     )
     best = found.groupBy("doc_id", "item_id").agg(

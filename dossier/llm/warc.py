@@ -7,17 +7,18 @@ wherever Spark can write.
 
 Reading: files are read in splits, cut at every occurrence of the version line, the magic.
 Each occurrence is only a candidate: a payload may contain the magic or a whole record. A
-task parses every candidate and gives its offset, the offset where its successor must start,
-and the offset at which its chain leaves the split. Offsets are relative to the split until
-the byte counts of the splits before it are known. Pointer jumping over these exits, from
-the start of each file, finds the one candidate at which the true chain enters each split;
-following the chain from there keeps the reachable records. All else was payload.
+task parses the header of every candidate and gives its offset, the offset where its successor
+must start, and the offset at which its chain leaves the split. Offsets are relative to the
+split until the byte counts of the splits before it are known. Pointer jumping over these
+exits, from the start of each file, finds the one candidate at which the true chain enters each
+split. A second scan follows the chain from there: only its records are read and their payloads
+hashed, one at a time, so time is linear in the bytes however many headers a payload holds. A
+record that goes on in a later split is put together from its parts.
 
 Cases: null html is an empty payload, null url an empty one; line ends are taken out of
 urls; of equal payloads of ``min_bytes`` or more, the smallest page id (null before all) is
 the response, in each row that repeats it, and the others are revisits; an empty table gives
-an empty archive and no rows. A record whose payload reaches into a later split is kept, its
-``digest_ok`` then being null.
+an empty archive and no rows. ``digest_ok`` is null for revisits.
 """
 
 from __future__ import annotations
@@ -112,11 +113,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     rows.withColumn("block", block).select(record.alias("value")).write.text(path, lineSep="\n")
 
 
+_SPLITS = "file string, block long, total long, rel long, next long, leaves long"
 _FIELDS = ("type", "record_id", "uri", "digest", "refers_to", "payload_bytes", "digest_ok")
-_CANDIDATES = (
-    "file string, block long, total long, rel long, next long, leaves long, type string, record_id string,"
-    " uri string, digest string, refers_to string, payload_bytes long, digest_ok boolean"
+_FOUND = (
+    "file string, offset long, next long, type string, record_id string, uri string, digest string,"
+    " refers_to string, payload_bytes long, digest_ok boolean"
 )
+_COLLECTED = f"{_FOUND}, start long, part binary"
 
 
 def _header(segment: bytes) -> tuple[dict[str, str], int] | None:
@@ -135,41 +138,6 @@ def _header(segment: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-class _Record:
-    """A candidate whose block may continue in later segments of the split."""
-
-    def __init__(self, rel: int, fields: dict[str, str], head: int) -> None:
-        self.rel, self.fields = rel, fields
-        self.left = int(fields["content-length"])
-        self.next = rel + len(MAGIC) + head + self.left + 4
-        self.http, self.sha, self.payload = b"", None, 0
-
-    def feed(self, data: bytes) -> None:
-        data = data[: self.left]
-        self.left -= len(data)
-        if self.sha is None:
-            self.http += data
-            cut = self.http.find(b"\r\n\r\n")
-            if cut < 0:
-                return
-            self.http, data = self.http[: cut + 4], self.http[cut + 4 :]
-            self.sha = hashlib.sha1()
-        self.sha.update(data)
-        self.payload += len(data)
-
-    def row(self) -> list:
-        f = self.fields
-        said = re.search(rb"(?i)content-length:\s*(\d+)", self.http)
-        digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-        if self.left or f["warc-type"] == "revisit" or self.sha is None:
-            checked = None
-        else:
-            checked = base64.b32encode(self.sha.digest()).decode() == digest
-        own = (f.get(k, "").strip("<>") for k in ("warc-record-id", "warc-target-uri"))
-        size = int(said[1]) if said else self.payload
-        return [self.rel, self.next, f["warc-type"], *own, digest, f.get("warc-refers-to", "").strip("<>"), size, checked]
-
-
 def _exits(rel: list[int], following: list[int]) -> list[int]:
     """Where the chain from each candidate leaves the split (successors lie behind)."""
     out: dict[int, int] = {}
@@ -179,57 +147,144 @@ def _exits(rel: list[int], following: list[int]) -> list[int]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each split; its segments come in file order."""
-    schema = pa.schema(
-        [("file", pa.string()), *((n, pa.int64()) for n in ("block", "total", "rel", "next", "leaves"))]
-        + [(n, pa.int64() if n == "payload_bytes" else pa.bool_() if n == "digest_ok" else pa.string()) for n in _FIELDS]
-    )
-    key, at, found, open_ones = None, 0, [], []
+    """Candidates of each split by their headers alone; its segments come in file order."""
+    names = ["file", "block", "total", "rel", "next", "leaves"]
+    types = [pa.string(), *[pa.int64()] * 5]
+    key, at, rel, following = None, 0, [], []
 
     def close() -> pa.RecordBatch:
-        rows = [r.row() for r in found]
-        leaves = _exits([r[0] for r in rows], [r[1] for r in rows])
         # A split without a candidate still counts its bytes.
-        full = [[*key, at, r[0], r[1], e, *r[2:]] for r, e in zip(rows, leaves)] or [[*key, at, *[None] * 10]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(map(list, zip(*full)), schema.types)], schema=schema
-        )
+        rows = list(zip(rel, following, _exits(rel, following))) or [(None, None, None)]
+        columns = zip(*[(*key, at, *r) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
     for batch in batches:
         for file, block, segment in zip(*(c.to_pylist() for c in batch.columns)):
             if (file, block) != key:
                 if key is not None:
                     yield close()
-                key, at, found, open_ones = (file, block), 0, [], []
+                key, at, rel, following = (file, block), 0, [], []
             first = block == 0 and at == 0  # what stands before the first magic
             parsed = None if first else _header(segment)
-            for r in open_ones:
-                r.feed(MAGIC.encode() + segment)
-            open_ones = [r for r in open_ones if r.left]
             if parsed:
-                record = _Record(at - len(MAGIC), *parsed)
-                record.feed(segment[parsed[1] :])
-                found.append(record)
-                if record.left:
-                    open_ones.append(record)
+                fields, head = parsed
+                rel.append(at - len(MAGIC))
+                following.append(at + head + int(fields["content-length"]) + 4)
             at += len(segment) + len(MAGIC)
     if key is not None:
         yield close()
 
 
-def _walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Records of one split that its chain reaches from where it enters."""
-    following = dict(zip(rows["offset"], rows["next"]))
-    at, kept = rows["entry"].iloc[0], set()
-    while at in following and at not in kept:
-        kept.add(at)
-        at = following[at]
-    return rows[rows["offset"].isin(kept)].drop(columns="entry")
+def _record(file: str, offset: int, fields: dict[str, str], block: bytes) -> tuple:
+    """Values of a record: length and digest of its payload from the bytes of ``block``; a
+    revisit has no payload, so its headers say what that of the full record was."""
+    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    cut = block.find(b"\r\n\r\n")
+    http, payload = (block[:cut], block[cut + 4 :]) if cut >= 0 else (b"", block)
+    own = (fields.get(k, "").strip("<>") for k in ("warc-record-id", "warc-target-uri"))
+    refers = fields.get("warc-refers-to", "").strip("<>")
+    if fields["warc-type"] == "revisit":
+        length = re.search(rb"(?i)content-length:\s*(\d+)", http)
+        values = (said, refers, int(length[1]) if length else None, None)
+    else:
+        found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        values = (found, refers, len(payload), found == said if said else None)
+    return (file, offset, None, fields["warc-type"], *own, *values)
+
+
+class _Open:
+    """A record of the chain, as far as its bytes have come."""
+
+    def __init__(self, file: str, offset: int, fields: dict[str, str], head: int) -> None:
+        self.file, self.offset, self.fields = file, offset, fields
+        self.length = int(fields["content-length"])
+        self.next = offset + len(MAGIC) + head + self.length + 4
+        self.chunks: list[bytes] = []
+        self.left = self.length
+
+    def feed(self, data: bytes) -> None:
+        if self.left:
+            self.chunks.append(data[: self.left])
+            self.left -= len(self.chunks[-1])
+
+    def row(self) -> tuple:
+        """The record, or its first part where it goes on in a later split."""
+        block = b"".join(self.chunks)
+        if not self.left:
+            values = _record(self.file, self.offset, self.fields, block)
+            return (*values[:2], self.next, *values[3:], None, None)
+        header = "\r\n".join(f"{k}: {v}" for k, v in self.fields.items()).encode()
+        return (self.file, self.offset, self.next, *[None] * 7, self.offset, header + b"\r\n\r\n" + block)
+
+
+def _rows(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    named = [c.split() for c in columns.split(", ")]
+    arrays = [pa.array(list(c), kinds[k]) for c, (_, k) in zip(zip(*rows), named)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in named])
+
+
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the chain of each split, from where it enters.
+
+    Bytes before that belong to a record of an earlier split, which ends at ``until``.
+    """
+    key, done, record, at, tail = None, [], None, 0, []
+
+    def close(until: int | None) -> list[tuple]:
+        rows = [*done]
+        if record is not None:
+            rows.append(record.row())
+        if tail:
+            rows.append((key[0], None, until, *[None] * 7, tail[0][0], b"".join(d for _, d in tail)))
+        return rows
+
+    last_until = None
+    for batch in batches:
+        for file, block, base, entry, until, segment in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != key:
+                if key is not None and (rows := close(last_until)):
+                    yield _rows(rows, _COLLECTED)
+                key, done, record, at, tail, last_until = (file, block), [], None, 0, [], until
+            first = block == 0 and at == 0
+            data = segment if first else MAGIC.encode() + segment
+            start = base + at - (0 if first else len(MAGIC))
+            if start == (entry if record is None else record.next) and (parsed := _header(segment)) and not first:
+                if record is not None:
+                    done.append(record.row())
+                record = _Open(file, start, *parsed)
+                record.feed(segment[parsed[1] :])
+            elif record is not None:
+                record.feed(data)
+            elif until is not None and start < until:
+                tail.append((start, data))
+            at += len(segment) + len(MAGIC)
+            if len(done) >= 1000:
+                yield _rows(done, _COLLECTED)
+                done = []
+    if key is not None and (rows := close(last_until)):
+        yield _rows(rows, _COLLECTED)
+
+
+def _joined_parts(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    """A record from its parts in several splits."""
+    columns = [c.split()[0] for c in _FOUND.split(", ")]
+    parts = parts.sort_values("start")
+    whole = b"".join(parts["part"])
+    parsed = _header(whole)
+    if parts["offset"].isna().iloc[0] or parsed is None:
+        return pd.DataFrame(columns=columns)
+    fields, head = parsed
+    block = whole[head : head + int(fields["content-length"])]
+    values = list(_record(key[0], int(parts["offset"].iloc[0]), fields, block))
+    values[2] = key[1]
+    return pd.DataFrame([values], columns=columns)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records reachable from the start of each file: file, offset, next and the header
-    fields; ``payload_bytes`` is that of the full payload, also for revisits."""
+    """Records reachable from the start of each file: file, offset, next and the values of
+    the record. Length and digest of a response are those of the bytes read; ``digest_ok``
+    says whether its header agrees. Those of a revisit are what its headers say."""
     segments = (
         spark.read.option("lineSep", MAGIC)
         .text(path)
@@ -239,29 +294,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             F.col("value").cast("binary").alias("segment"),
         )
     )
-    found = stored(segments.mapInArrow(_scan, _CANDIDATES))
+    found = stored(segments.mapInArrow(_scan, _SPLITS))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = found.groupBy("file", "block").agg(F.first("total").alias("total"))
-    bases = splits.select(
-        "file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")
+    bases = stored(
+        splits.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     )
-    placed = found.filter("rel IS NOT NULL").join(bases, ["file", "block"])
     placed = stored(
-        placed.select(
+        found.filter("rel IS NOT NULL")
+        .join(bases, ["file", "block"])
+        .select(
             "file",
             "block",
             (F.col("base") + F.col("rel")).alias("offset"),
-            (F.col("base") + F.col("next")).alias("next"),
             (F.col("base") + F.col("leaves")).alias("leaves"),
-            *_FIELDS,
         )
     )
     most = splits.groupBy("file").count().agg(F.max("count")).first()[0] or 1
     entries = _entries(placed, most)
-    chained = placed.drop("leaves").join(entries, ["file", "block"])
-    types = dict(chained.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in chained.columns if c != "entry")
-    return chained.groupBy("file", "block").applyInPandas(_walk, schema)
+    left = placed.select("file", F.col("offset").alias("entry"), "leaves")
+    plan = bases.join(entries.join(left, ["file", "entry"]), ["file", "block"], "left").select(
+        "file", "block", "base", "entry", F.last("leaves", ignorenulls=True).over(before).alias("until")
+    )
+    # Spark sends the plan, a row a split, to all tasks where it is small; else the segments of
+    # a split meet in one task. Either way they are brought into the order of the file.
+    ordered = (
+        segments.withColumn("n", F.monotonically_increasing_id())
+        .join(stored(plan), ["file", "block"])
+        .sortWithinPartitions("file", "block", "n")
+        .select("file", "block", "base", "entry", "until", "segment")
+    )
+    collected = stored(ordered.mapInArrow(_collect, _COLLECTED))
+    whole = collected.filter("part IS NULL").drop("start", "part")
+    parted = collected.filter("part IS NOT NULL").select("file", "offset", "next", "start", "part")
+    return whole.unionByName(parted.groupBy("file", "next").applyInPandas(_joined_parts, _FOUND))
 
 
 def _entries(placed: DataFrame, most_splits: int) -> DataFrame:

@@ -287,3 +287,44 @@ def test_frames_follow_each_other(spark, documents):
         assert r.offset == at
         at += 16 + int.from_bytes(data[at : at + 8], "little")
     assert at == len(data)
+
+
+def test_nested_headers_take_linear_time(spark, tmp_path):
+    """A page full of record headers that each claim the rest of the page."""
+    import time
+
+    from dossier.llm import warc
+
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: {}\r\n\r\n"
+    pages = [(1, "u", "".join(head.format(i, 10**7) for i in range(16_000))), (2, "v", "plain")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "a"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "300k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            began = time.time()
+            got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+            assert time.time() - began < 60
+            assert {k: (r.payload_bytes, r.digest_ok) for k, r in got.items()} == {"urn:page:1": (len(pages[0][2]), True), "urn:page:2": (5, True)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_long_documents_of_repeated_words(spark):
+    """Time and rows stay in proportion to the text; results equal the definition."""
+    import time
+
+    from dossier.llm import decontamination as D
+
+    items = spark.createDataFrame([(1, "the"), (2, "na " * 30), (3, "of the"), (4, "one two three four five")], "item_id long, text string")
+    long_one = ("na " * 40_000) + " ".join(f"w{i % 50} the" for i in range(80_000)) + " one two x four five"
+    texts = [(1, long_one), (2, "na na na"), (3, "all of the"), (4, None), (5, "one two three four five")] + [(5, "the end")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.doc_start, r.n_tokens, r.n_equal) for r in D.contaminated(docs, items).collect()}
+    assert time.time() - began < 90
+    assert got == {
+        (1, 1): (40_001, 1, 1), (1, 2): (0, 13, 13), (1, 4): (200_000, 5, 4), (3, 1): (2, 1, 1),
+        (3, 3): (1, 2, 2), (5, 4): (0, 5, 5), (5, 1): (0, 1, 1),
+    }
