@@ -2,7 +2,7 @@
 
 The network predicts every token from the ``REACH`` tokens on both sides of it, itself left
 out. Each place of the window has an embedding table of its own; their sum goes through tanh,
-and a two-step softmax (96 groups of 96 classes) gives the probability of the token's class.
+and a two-step softmax (64 groups of 64 classes) gives the probability of the token's class.
 The score of a document is the sum of the log-probabilities of all its tokens given their
 contexts.
 
@@ -17,6 +17,8 @@ once: in each round tasks run gradient steps on their part from common weights,
 weights are averaged by token count. They are summed in pieces, in two levels of Spark groups,
 so no task or driver holds the weights of all tasks.
 
+Scores depend on how the documents are split into tasks, as each task takes steps of its own.
+
 Cases: null and empty texts have no tokens, a log-probability of zero and a null mean; a
 single word is predicted from the edges alone; repeated rows are scored alike and count as
 often as they occur; an empty table gives no rows.
@@ -41,10 +43,10 @@ from dossier.llm.registry import query, table
 from dossier.llm.words import text_words
 from dossier.session import stored
 
-#: Classes of the network, 96 groups of 96; so many of them are hash buckets of words.
-GROUPS = 96
+#: Classes of the network, 64 groups of 64; so many of them are hash buckets of words.
+GROUPS = 64
 VOCABULARY = GROUPS * GROUPS
-BUCKETS = 1024
+BUCKETS = 512
 WORDS = VOCABULARY - BUCKETS
 #: Words whose counts are broadcast; those of all others are joined.
 TABLE_WORDS = 65_536
@@ -52,7 +54,10 @@ REACH = 2
 HIDDEN = 16
 ROUNDS = 2
 RATE = 0.1
-BATCH = 8192
+BATCH = 4096
+#: Where the sums of squared gradients begin; gradients are means over a batch, so those of a
+#: rare word are small, and a larger start would keep its weights where they are.
+SQUARES = 1e-7
 #: Distinct words that a task counts before it passes the counts on.
 _COUNTED = 200_000
 _PIECE = 4096
@@ -77,7 +82,7 @@ class Network:
             "inner": some(GROUPS, HIDDEN, GROUPS),
             "inner_bias": np.zeros((GROUPS, GROUPS), np.float32),
         }
-        self.squares = {k: np.full_like(v, 1e-2) for k, v in self.parts.items()}
+        self.squares = {k: np.full_like(v, SQUARES) for k, v in self.parts.items()}
 
     def expect(self, counts: np.ndarray) -> "Network":
         """Start from the probability of every class in the corpus."""
@@ -145,14 +150,16 @@ class Network:
             steps["bias"] = pull.sum(0)
             for name, step in steps.items():
                 self._step(p[name], self.squares[name], step / n)
-            for place, ids in enumerate(contexts):
-                by_id = np.argsort(ids.astype(np.uint16), kind="stable")
-                sorted_ids = ids[by_id]
-                first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-                own, step = sorted_ids[first], np.add.reduceat(pull[by_id], first, axis=0) / n
-                t, q = p["tables"][place], self.squares["tables"][place]
-                q[own] += step * step
-                t[own] -= RATE * step / np.sqrt(q[own])
+            # The tables of all places as one, so that each step sorts once.
+            keys = (contexts + (np.arange(len(_PLACES)) * (VOCABULARY + 1))[:, None]).ravel()
+            by_key = np.argsort(keys.astype(np.uint16 if keys.max() < 1 << 16 else np.uint32), kind="stable")
+            sorted_keys = keys[by_key]
+            first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
+            own, step = sorted_keys[first], np.add.reduceat(pull[by_key % n], first, axis=0) / n
+            t, q = (x["tables"].reshape(-1, x["tables"].shape[-1]) for x in (p, self.squares))
+            squares = q[own] + step * step
+            q[own] = squares
+            t[own] -= RATE * step / np.sqrt(squares)
         return logs
 
     @staticmethod

@@ -328,3 +328,22 @@ def test_long_documents_of_repeated_words(spark):
         (1, 1): (40_001, 1, 1), (1, 2): (0, 13, 13), (1, 4): (200_000, 5, 4), (3, 1): (2, 1, 1),
         (3, 3): (1, 2, 2), (5, 4): (0, 5, 5), (5, 1): (0, 1, 1),
     }
+
+
+def test_context_tells_more_than_word_frequencies(spark):
+    """The trained network beats the frequencies of the words, from which it starts."""
+    from dossier.llm import lm_scoring as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [L.text_words(r.text) for r in docs.select("text").collect()]
+    counts = collections.Counter(w for t in texts for w in t)
+    total = sum(counts.values())
+    frequencies = sum(n * np.log(n / total) for n in counts.values()) / total
+
+    def mean(rounds):
+        found = L.score_documents(docs, rounds=rounds).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+        assert found[1] == total
+        return found[0] / total
+
+    untrained, trained = mean(0), mean(L.ROUNDS)
+    assert abs(untrained - frequencies) < 0.05 and trained - frequencies > 0.15
