@@ -158,9 +158,8 @@ def report_document_rows(
     )
 
 
-def _rule_flags(results: DataFrame, checks: DataFrame) -> DataFrame:
-    """Per application: failures, pending rows and the facts the advice depends on."""
-    rules = rule_results(results)
+def _rule_flag_aggs() -> list[Column]:
+    """Failures, pending rows and the facts the advice depends on, of rule rows."""
     failed = F.col("status") == "FAIL"
     rule = F.col("rule_id")
     again = F.coalesce(F.col("message").contains(vocab.DUPLICATE_MARKER), F.lit(False))
@@ -183,12 +182,21 @@ def _rule_flags(results: DataFrame, checks: DataFrame) -> DataFrame:
         "POL_BALANCE_RECONCILIATION",
     ):
         aggs.append(F.bool_or(failed & (rule == rule_id)).alias(rule_id))
-    per_rule = rules.groupBy("application_id").agg(*aggs)
-    per_check = checks.groupBy("application_id").agg(
+    return aggs
+
+
+def _check_flags(checks: DataFrame) -> DataFrame:
+    failed = F.col("status") == "FAIL"
+    return checks.groupBy("application_id").agg(
         F.bool_or(failed).alias("check_failed"),
         F.bool_or(failed & F.col("message").contains(vocab.BLUR_MARKER)).alias("blurred"),
     )
-    return per_rule.join(per_check, "application_id", "full")
+
+
+def _rule_flags(results: DataFrame, checks: DataFrame) -> DataFrame:
+    """Per application: failures, pending rows and the facts the advice depends on."""
+    per_rule = rule_results(results).groupBy("application_id").agg(*_rule_flag_aggs())
+    return per_rule.join(_check_flags(checks), "application_id", "full")
 
 
 def _flag(name: str) -> Column:
@@ -217,22 +225,30 @@ def report_overall_status(apps: DataFrame, results: DataFrame, checks: DataFrame
     return joined.select("application_id", "status", _overall().alias("overall_status"))
 
 
+def _low_confidence() -> Column:
+    """Whether any field row is doubtful, as an aggregate."""
+    doubtful = (F.col("confidence_score") < vocab.CONFIDENCE_FLOOR) | F.col(
+        "verification_status"
+    ).isin(*vocab.UNVERIFIED_STATUSES)
+    return F.bool_or(F.coalesce(doubtful, F.lit(False))).alias("low_confidence")
+
+
 def recommendations(
     apps: DataFrame, results: DataFrame, checks: DataFrame, fields: DataFrame
 ) -> DataFrame:
     """Coded advice per application, in report order (``position``)."""
-    status = F.col("verification_status")
-    doubtful = (F.col("confidence_score") < vocab.CONFIDENCE_FLOOR) | status.isin(
-        *vocab.UNVERIFIED_STATUSES
-    )
-    low = fields.groupBy("application_id").agg(
-        F.bool_or(F.coalesce(doubtful, F.lit(False))).alias("low_confidence")
-    )
     joined = (
         apps.select("application_id", "status")
         .join(_rule_flags(results, checks), "application_id", "left")
-        .join(low, "application_id", "left")
+        .join(fields.groupBy("application_id").agg(_low_confidence()), "application_id", "left")
+    )
+    return joined.select("application_id", F.explode(_advice()).alias("r")).select(
+        "application_id", "r.*"
     )
+
+
+def _advice() -> Column:
+    """Array of (position, code, message) from the flags of one application."""
     missing = sorted_present(
         (r.document_type, _flag(f"missing_{r.document_type}")) for r in vocab.DOCUMENT_RULES
     )
@@ -287,9 +303,55 @@ def recommendations(
                 ),
             )
         )
-    return joined.select(
-        "application_id", F.explode(F.array_compact(F.array(*cells))).alias("r")
-    ).select("application_id", "r.*")
+    return F.array_compact(F.array(*cells))
+
+
+_GROUP_PREFIXES = {f"g{i}": g for i, g in enumerate(vocab.REPORT_GROUPS)}
+
+
+def _report_facts(
+    apps: DataFrame, documents: DataFrame, results: DataFrame, checks: DataFrame, fields: DataFrame
+) -> DataFrame:
+    """All that a report needs of an application in one row; every table is aggregated once."""
+    labelled = rule_results(results).withColumn(
+        "_group", group_label(F.col("rule_category"), F.col("rule_id"))
+    )
+    groups = [a for p, g in _GROUP_PREFIXES.items() for a in _tallies(F.col("_group") == g, p)]
+    rules = labelled.groupBy("application_id").agg(
+        *[a for a, n in zip(_tallies(F.lit(True), "rule"), ("total", *[n for n, _ in _STATUS_COUNTS])) if n != "failed"],
+        F.count_if(F.col("status") == "FAIL").alias("rules_failed"),
+        *groups,
+        *_rule_flag_aggs(),
+    )
+    extraction = fields.groupBy("application_id").agg(
+        F.count(F.lit(1)).alias("field_count"),
+        F.round(F.avg("confidence_score"), 4).alias("overall_confidence"),
+        _low_confidence(),
+    )
+    docs = documents.groupBy("application_id").agg(F.count(F.lit(1)).alias("document_count"))
+    joined = apps.select("application_id", "status")
+    for part in (rules, _check_flags(checks), extraction, docs):
+        joined = joined.join(part, "application_id", "left")
+    return joined.withColumn("advice", _advice())
+
+
+def _headline() -> list[Column]:
+    def count(name: str, shown: str | None = None) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).alias(shown or name)
+
+    return [
+        F.col("application_id"),
+        F.col("status").alias("application_status"),
+        _overall().alias("overall_status"),
+        count("document_count"),
+        *[count(f"rule_{n}") for n in ("total", "passed")],
+        # "rule_failed" is a flag of the rows as well, so the count has a name of its own.
+        count("rules_failed", "rule_failed"),
+        *[count(f"rule_{n}") for n in ("warnings", "pending_review")],
+        count("field_count"),
+        F.size("advice").cast("long").alias("recommendation_count"),
+        F.col("overall_confidence"),
+    ]
 
 
 def validation_summary(
@@ -300,43 +362,7 @@ def validation_summary(
     fields: DataFrame,
 ) -> DataFrame:
     """One headline row per application."""
-    docs = documents.groupBy("application_id").agg(F.count(F.lit(1)).alias("document_count"))
-    advice = (
-        recommendations(apps, results, checks, fields)
-        .groupBy("application_id")
-        .agg(F.count(F.lit(1)).alias("recommendation_count"))
-    )
-    extraction = extraction_summary(fields).select(
-        "application_id", F.col("total_fields").alias("field_count"), "overall_confidence"
-    )
-    totals = rule_totals(results).select(
-        "application_id",
-        F.col("total").alias("rule_total"),
-        F.col("passed").alias("rule_passed"),
-        F.col("failed").alias("rule_failed"),
-        F.col("warnings").alias("rule_warnings"),
-        F.col("pending_review").alias("rule_pending_review"),
-    )
-    joined = report_overall_status(apps, results, checks)
-    for part in (docs, totals, extraction, advice):
-        joined = joined.join(part, "application_id", "left")
-    counts = (
-        "document_count",
-        "rule_total",
-        "rule_passed",
-        "rule_failed",
-        "rule_warnings",
-        "rule_pending_review",
-        "field_count",
-        "recommendation_count",
-    )
-    return joined.select(
-        "application_id",
-        F.col("status").alias("application_status"),
-        "overall_status",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-        "overall_confidence",
-    )
+    return _report_facts(apps, documents, results, checks, fields).select(*_headline())
 
 
 def validation_report(
@@ -351,29 +377,22 @@ def validation_report(
 
     Documents stay in :func:`report_document_rows`, because their number has no bound.
     """
-    groups = (
-        report_rule_groups(results)
-        .groupBy("application_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("report_group", "total", "passed", "failed", "warnings", "pending_review")
-                )
-            ).alias("rule_groups")
-        )
-    )
-    advice = (
-        recommendations(apps, results, checks, fields)
-        .groupBy("application_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "code", "message"))).alias("advice"))
-    )
-    visual = visual_summary(detections).select(
-        "application_id", F.struct(*[c for c in visual_summary(detections).columns if c != "application_id"]).alias("visual")
+    facts = _report_facts(apps, documents, results, checks, fields)
+    names = ("total", *[n for n, _ in _STATUS_COUNTS])
+    groups = [
+        F.struct(F.lit(shown).alias("report_group"), *[F.col(f"{p}_{n}").alias(n) for n in names])
+        for p, shown in sorted(_GROUP_PREFIXES.items(), key=lambda x: x[1])
+    ]
+    seen = visual_summary(detections)
+    visual = seen.select(
+        "application_id",
+        F.struct(*[c for c in seen.columns if c != "application_id"]).alias("visual"),
     )
-    summary = validation_summary(apps, documents, results, checks, fields)
-    for part in (groups, advice, visual):
-        summary = summary.join(part, "application_id", "left")
-    return summary
+    return facts.select(
+        *_headline(),
+        F.when(F.col("rule_total").isNotNull(), F.array(*groups)).alias("rule_groups"),
+        F.when(F.size("advice") > 0, F.col("advice")).alias("advice"),
+    ).join(visual, "application_id", "left")
 
 
 def technical_verdict(checks: DataFrame) -> DataFrame:

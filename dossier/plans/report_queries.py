@@ -155,12 +155,22 @@ def validation_summary(t):
     )
 
 
-@query("validation_report")
+@query(
+    "validation_report",
+    f"""WITH {_SUMMARY}, lab AS (SELECT *, {_GROUP_OF} AS g FROM res),
+gr AS (SELECT a.application_id, c.x AS report_group, {_COUNTS} FROM (SELECT DISTINCT application_id FROM res) a CROSS JOIN (VALUES {_GROUPS}) AS c(x)
+ LEFT JOIN lab r ON r.application_id = a.application_id AND r.g = c.x GROUP BY 1, 2),
+gl AS (SELECT application_id, CAST(to_json(list(struct_pack(report_group := report_group, total := total, passed := passed, failed := failed, warnings := warnings, pending_review := pending_review) ORDER BY report_group)) AS VARCHAR) AS rule_groups FROM gr GROUP BY 1),
+al AS (SELECT application_id, CAST(to_json(list(struct_pack(position := position, code := code, message := message) ORDER BY position)) AS VARCHAR) AS advice FROM (SELECT application_id, {_ORDER} AS position, code, message FROM advice) z GROUP BY 1)
+SELECT sm.*, gl.rule_groups, al.advice, vs.* EXCLUDE (application_id) FROM sm LEFT JOIN gl USING (application_id) LEFT JOIN al USING (application_id) LEFT JOIN vs ON vs.application_id = sm.application_id""",
+)
 def validation_report(t):
-    """Nested form of queries checked one by one above."""
-    return R.validation_report(
+    """The report of every application; its lists are shown as JSON."""
+    report = R.validation_report(
         t.applications, t.entity("documents"), t.results, t.checks, t.table("fields"), t.detections
     )
+    lists = {n: F.to_json(n) for n in ("rule_groups", "advice")}
+    return report.withColumns(lists).select(*[c for c in report.columns if c != "visual"], "visual.*")
 
 
 _TECH = [c[0] for c in vocab.TECHNICAL_CHECKS]
