@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from dossier import vocab
 from dossier.functions import shapes
 from dossier.functions.dates import valid_iso
+from dossier.functions.lit import blank
 from dossier.functions.timing import moment
 from dossier.operators import extract
+from dossier.operators.normalize import outcome_tally
 from dossier.session import stored
 
 _VALIDATION = "array<struct<field:string,validator:string,status:string,message:string>>"
@@ -343,3 +345,16 @@ def analyze_documents(
         .alias("verification_status"),
         issues().alias("issues"),
     )
+
+
+def analysis_outcomes(documents: DataFrame, texts: DataFrame, as_of: str) -> DataFrame:
+    """What an analysis run makes of every document of an application: analysed, or failed
+    where there is no text to analyse.
+
+    ``documents``: document_id and application_id; ``texts`` as for :func:`analyze_documents`.
+    """
+    readable = texts.filter(~blank(F.col("text")))
+    analysed = analyze_documents(readable, as_of).select("document_id", F.lit(True).alias("_analysed"))
+    items = documents.select("document_id", "application_id").join(analysed, "document_id", "left")
+    outcome = F.when(F.col("_analysed"), "ANALYZED").otherwise("FAILED")
+    return outcome_tally(items.withColumn("outcome", outcome), "outcome", ("ANALYZED", "FAILED"))

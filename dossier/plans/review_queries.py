@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from dossier import vocab
-from dossier.operators import checks, confidence, normalize, relational, reports, review
-from dossier.operators.rules import engine
+from dossier.operators import relational, reports, review
+from dossier.operators.stages import run_stages
 from dossier.plans.catalog import AS_OF, query
 from dossier.plans.text_queries import _stored_or_none
-from dossier.session import stored
 from dossier.sources.bindings import _values
 
 _ITEMS = _values(enumerate(vocab.CHECKLIST_ITEMS))
@@ -114,58 +113,12 @@ def review_dataset(t):
 
 @query("analysis_stages")
 def analysis_stages(t):
-    """Texts to statuses: analysis, confidence, normalization, rules, new status.
-
-    Every stage is written and the next one starts from its table.
-    """
+    """Texts to statuses over all texts; see :func:`run_stages`."""
     texts = _stored_or_none(t)
-    analysis = stored(checks.analyze_documents(texts, AS_OF))
-    fields = analysis.select(
-        "application_id",
-        "document_id",
-        "document_type",
-        F.explode("extracted_fields").alias("field_name", "value"),
-    )
-    verdicts = analysis.select("document_id", F.explode("validation_results").alias("v")).select(
-        "document_id", F.col("v.field").alias("field_name"), F.col("v.status").alias("validation_status")
-    )
-    ocr = texts.select(
-        "document_id", F.col("document_id").alias("ocr_result_id"), "overall_confidence"
-    )
-    scored = stored(confidence.score_fields(fields, ocr, verdicts))
-    nobody = scored.limit(0).select(
-        "ocr_result_id",
-        "field_name",
-        "extracted_value",
-        "confidence_score",
-        "confidence_source",
-        "confidence_reason",
-        F.lit("").alias("verification_status"),
-        F.lit(False).alias("human_verified"),
-    )
-    flagged = stored(confidence.flag_fields(confidence.keep_human_state(scored, nobody)))
-    ready = flagged.withColumn("human_corrected_value", F.lit(None).cast("string")).withColumn(
-        "normalized_value", F.lit(None).cast("string")
-    )
-    normal = normalize.normalize_fields(ready).select(
-        "document_id", "field_name", F.col("stored_value").alias("normalized_value")
-    )
-    final = stored(ready.drop("normalized_value").join(normal, ["document_id", "field_name"]))
     documents = texts.select(
         "document_id",
         "application_id",
         F.coalesce("stored_type", F.lit(vocab.SUPPORTING)).alias("document_type"),
         F.lit(AS_OF).cast("timestamp_ntz").alias("uploaded_at"),
     )
-    apps = t.applications.join(
-        documents.select("application_id").distinct(), "application_id", "left_semi"
-    )
-    detections = t.detections.select("document_id", "detection_type", "is_present")
-    results = engine.evaluate_rules(apps, documents, final, detections, AS_OF)
-    status = reports.overall_rule_status(results)
-    moved = F.col("status") == "PROCESSING"
-    return apps.join(status, "application_id").select(
-        "application_id",
-        F.when(moved, "PENDING_REVIEW").otherwise(F.col("status")).alias("status"),
-        "validation_status",
-    )
+    return run_stages(t.applications, documents, texts, t.detections, AS_OF)

@@ -10,7 +10,6 @@ from dossier.operators import extract as X
 from dossier.operators import patterns as PT
 from dossier.operators import splitting as S
 from dossier.operators.accountlines import account_values
-from dossier.operators.normalize import outcome_tally
 from dossier.plans.catalog import AS_OF, query
 from dossier.plans import text_sql as TS
 from dossier.plans.document_queries import _REQUIRED
@@ -354,10 +353,12 @@ def analyze_documents(t):
 
 @query(
     "analysis_outcomes",
-    """SELECT application_id, count(*) AS total, count(*) FILTER (WHERE NOT document_id % 13 = 12) AS analysed, count(*) FILTER (WHERE document_id % 13 = 12) AS unknown FROM e_texts GROUP BY 1""",
+    """WITH x AS (SELECT d.application_id, trim(coalesce(o.raw_ocr_text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AS readable FROM e_documents d LEFT JOIN e_ocr o USING (document_id))
+SELECT application_id, count(*) AS total, count(*) FILTER (WHERE readable) AS analyzed, count(*) FILTER (WHERE NOT readable) AS failed FROM x GROUP BY 1""",
 )
 def analysis_outcomes(t):
-    """Texts analysed as a known type, per application."""
-    routed = X.route_document_type(_texts(t))
-    state = F.when(F.col("stored_type").isNull(), "UNKNOWN").otherwise("ANALYSED")
-    return outcome_tally(routed.withColumn("outcome", state), "outcome", ("ANALYSED", "UNKNOWN"))
+    """All documents with the text that was read from them, which some do not have."""
+    documents = t.entity("documents").select("document_id", "application_id", "document_type")
+    texts = t.ocr.select("document_id", F.col("raw_ocr_text").alias("text"), "overall_confidence")
+    typed = documents.join(texts, "document_id").withColumnRenamed("document_type", "stored_type")
+    return CK.analysis_outcomes(documents, typed.drop("application_id"), AS_OF)

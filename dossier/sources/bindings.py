@@ -463,7 +463,7 @@ WHERE (o.o_orderkey + i.item_no) % 4 <> 0""",
  {_case("page_id % 6", ("application/pdf", "application/octet-stream", "image/png; q=1", None, "text/html"), "' IMAGE/JPEG '")} AS declared_type,
  cast(page_id % 9 as int) AS prefix_no, html FROM {{pages}}""",
     "e_texts": f"""SELECT document_id, document_type, cast((document_id % 64) as double) / 64 AS overall_confidence, application_id,
- {_TEXTS} AS raw_text FROM (SELECT c_custkey AS document_id, c_custkey % 100 AS application_id, {_case("c_custkey % 13", _TEXT_TYPES)} AS document_type,
+ {_TEXTS} AS raw_text FROM (SELECT c_custkey AS document_id, c_custkey - c_custkey % 15 AS application_id, {_case("c_custkey % 13", _TEXT_TYPES)} AS document_type,
   c_custkey AS k, c_name AS nm, c_mktsegment AS seg, cast(50000000 + c_custkey * 7 as string) AS acct, cast(cast(abs(c_acctbal) as decimal(18, 2)) as string) AS bal,
   '202' || cast(c_custkey % 4 as string) || '-0' || cast(1 + c_custkey % 9 as string) || '-1' || cast(c_custkey % 9 as string) AS d FROM {{customer}}) c""",
 }

@@ -391,3 +391,29 @@ def test_related_documents_of_every_rule(spark, data_dir):
     got = [tuple(r) for r in engine.related_documents(results, docs, fields, AS_OF).collect()]
     assert len(seen) == 55 and seen == set(types) | set(reads)
     assert sorted(got) == sorted(want)
+
+
+def test_stages_move_an_application_once(spark):
+    from dossier.operators.stages import run_stages
+
+    text = "ACCOUNT MAINTENANCE CERTIFICATE\nTitle of Account: Fund\nAccount No: 12345678\nBank Name: Town Bank"
+    apps = spark.createDataFrame([(1, "PROCESSING"), (2, "APPROVED"), (3, "PROCESSING")], "application_id long, status string")
+    docs = [(a, a, vocab.CERTIFICATE, at(1)) for a in (1, 2)]
+    documents = spark.createDataFrame(docs, "document_id long, application_id long, document_type string, uploaded_at timestamp_ntz")
+    texts = documents.select(
+        "document_id", "application_id", F.col("document_type").alias("stored_type"), F.lit(text).alias("text"), F.lit(0.9).alias("overall_confidence")
+    )
+    marks = spark.createDataFrame([], "document_id long, detection_type string, is_present boolean")
+    got = run_stages(apps, documents, texts, marks, AS_OF).collect()
+    assert {r.application_id: (r.status, r.validation_status) for r in got} == {1: ("PENDING_REVIEW", "FAIL"), 2: ("APPROVED", "FAIL")}
+
+
+def test_outcomes_of_documents_without_text(spark):
+    from dossier.operators.checks import analysis_outcomes
+
+    documents = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2)], "document_id long, application_id long")
+    texts = spark.createDataFrame(
+        [(1, vocab.CERTIFICATE, "Account No: 12345678"), (2, None, " \n"), (4, None, "words")], "document_id long, stored_type string, text string"
+    )
+    got = analysis_outcomes(documents, texts, AS_OF).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 1, 2), (2, 1, 1, 0)]
