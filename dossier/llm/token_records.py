@@ -65,6 +65,9 @@ _MASK = 0xA282EAD8
 _HEAD = np.dtype([("kind", "u1"), ("id", "<i8")])
 #: The characters that may follow a cut are printable and no white space in any library.
 _CUT = re.compile(" (?=[!-~¡-ᙿ])")
+#: A space that is no cut; most texts have none.
+_ODD = re.compile(" (?![!-~¡-ᙿ])")
+_MARKS = ".,;:!?"
 
 
 def _tables() -> np.ndarray:
@@ -125,42 +128,59 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.width = tokenizer, kind, int(kind[2:])
+        # A token stands for as many bytes as its name has letters.
+        names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size(True)))
+        self.bytes = np.fromiter((len(n or "") for n in names), np.int64)
+        self.marks = {m: self.ids(m) for m in _MARKS}
+
+    def _codes(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._codes(text).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Encode many pieces in one call and cut the ids where a piece begins."""
         for at in range(0, len(pieces), 1000):
             some = pieces[at : at + 1000]
-            code = self.tokenizer.encode("".join([f" {p}" for p in some]), add_special_tokens=False)
-            raw = np.array(code.ids, self.kind).tobytes()
-            width = len(raw) // max(1, len(code.ids))
-            starts = np.fromiter((o[0] for o in code.offsets), np.int64, len(code.ids))
-            lengths = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            cuts = np.searchsorted(starts, np.cumsum(lengths) - lengths) * width
+            code = self._codes("".join([f" {p}" for p in some]))
+            raw = code.tobytes()
+            sizes = self.bytes[code]
+            lengths = np.fromiter((len(p.encode()) for p in some), np.int64, len(some)) + 1
+            cuts = np.searchsorted(np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths) * self.width
             edges = [*cuts.tolist(), len(raw)]
             self.update((p, raw[a:b]) for p, a, b in zip(some, edges, edges[1:]))
 
     def coded(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Id bytes of each text, ``end`` behind them."""
-        cut = [_CUT.split(t) if t else [""] for t in texts]
-        fresh: set[str] = set()
-        for words in cut:
-            fresh.update(words[1:])
-        fresh.difference_update(self)
-        self.learn([p for p in fresh if len(p) <= REMEMBERED_LENGTH])
+        cut = [_pieces_of(t) if t else [""] for t in texts]
+        first = [words.pop(0) for words in cut]
+        begun = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
+        fresh = set().union(*cut).difference(self)
         once = {p: self.ids(" " + p) for p in fresh if len(p) > REMEMBERED_LENGTH}
+        fresh.difference_update(once)
+        # A mark behind a letter is a pre-token of its own, so only what is before it is new.
+        marked = [p for p in fresh if p[-1:] in self.marks and p[-2:-1].isalpha()]
+        fresh.difference_update(marked)
+        fresh.update(p for p in [p[:-1] for p in marked] if p not in self)
+        self.learn(list(fresh))
+        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
         get = self.__getitem__ if not once else lambda p: once[p] if p in once else self[p]
-        first = [self.ids(words[0]) if words[0] else b"" for words in cut]
-        coded = [a + b"".join(map(get, words[1:])) + end for a, words in zip(first, cut)]
+        coded = [
+            b"".join((np.array(code.ids, self.kind).tobytes(), *map(get, words), end))
+            for code, words in zip(begun, cut)
+        ]
         if len(self) > REMEMBERED:
             for p in list(self)[REMEMBERED:]:  # the first met are the frequent ones
                 del self[p]
         return coded
 
 
+def _pieces_of(text: str) -> list[str]:
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+
 #: Memory of this worker, by vocabulary; it lives as long as the worker.
 _REMEMBERED: dict[int, Pieces] = {}
 
