@@ -100,11 +100,23 @@ def clean_text(t):
     return rows.withColumn("title", F.upper("general"))
 
 
-@query("clean_document_text")
+_CLEANED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Other spellings that the canonical form undoes: letter and accent apart, a ligature, a space
+#: that does not break.
+_SPELT = (("é", "e\u0301"), ("ü", "u\u0308"), ("ñ", "n\u0303"), ("fi", "\ufb01"), (" ", "\u00a0"))
+
+
+@query("clean_document_text", f"SELECT doc_id, {_CLEANED} AS text, {_CLEANED} AS respelt FROM documents")
 def clean_document_text(t):
-    """Whole document prose in four languages; DuckDB has no full NFKC step to compare."""
-    cleaned = T.clean_text(F.col("text"))
-    return t.source("documents").select("doc_id", cleaned.alias("text"))
+    """Whole document prose in four languages, as given and spelt in other code points."""
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in _CAPITALS)
+    other = F.translate("text", _CAPITALS, wide)
+    for plain, spelt in _SPELT:
+        other = F.replace(other, F.lit(plain), F.lit(spelt))
+    return t.source("documents").select(
+        "doc_id", T.clean_text(F.col("text")).alias("text"), T.clean_text(other).alias("respelt")
+    )
 
 
 @query(
