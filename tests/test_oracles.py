@@ -14,7 +14,7 @@ def con(data_dir):
 
 
 #: Nested or long flows; their steps are checked one by one.
-ROWS_ONLY = {"extract_fields", "analyze_documents", "analysis_stages", "rule_related_documents"}
+ROWS_ONLY = {"analyze_documents", "analysis_stages", "rule_related_documents"}
 
 
 def test_only_known_queries_lack_sql():
