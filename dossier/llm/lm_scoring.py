@@ -66,7 +66,10 @@ _PLACES = tuple(o for o in range(-REACH, REACH + 1) if o)
 
 
 class Network:
-    """Weights and their gradient steps, in numpy."""
+    """Weights and their gradient steps, in numpy.
+
+    The last row of ``group`` and of each ``inner`` is the bias, met by a hidden unit that is
+    always one. Arrays of a batch's size are kept and used again by the next batch."""
 
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
@@ -77,20 +80,27 @@ class Network:
         self.parts = {
             "tables": some(len(_PLACES), VOCABULARY + 1, HIDDEN),
             "bias": np.zeros(HIDDEN, np.float32),
-            "group": some(HIDDEN, GROUPS),
-            "group_bias": np.zeros(GROUPS, np.float32),
-            "inner": some(GROUPS, HIDDEN, GROUPS),
-            "inner_bias": np.zeros((GROUPS, GROUPS), np.float32),
+            "group": some(HIDDEN + 1, GROUPS),
+            "inner": some(GROUPS, HIDDEN + 1, GROUPS),
         }
+        self.parts["group"][-1] = 0
+        self.parts["inner"][:, -1] = 0
         self.squares = {k: np.full_like(v, SQUARES) for k, v in self.parts.items()}
+        self.steps = {k: np.zeros_like(self.parts[k]) for k in ("group", "inner")}
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, n: int, width: int) -> np.ndarray:
+        if name not in self.rooms or len(self.rooms[name]) < n:
+            self.rooms[name] = np.empty((n, width), np.float32)
+        return self.rooms[name][:n]
 
     def expect(self, counts: np.ndarray) -> "Network":
         """Start from the probability of every class in the corpus."""
         # Token ``t`` is the member ``t // GROUPS`` of group ``t % GROUPS``.
         by_group = np.maximum(counts, 0.5).reshape(GROUPS, GROUPS).T
         totals = by_group.sum(1)
-        self.parts["group_bias"] = np.log(totals / totals.sum()).astype(np.float32)
-        self.parts["inner_bias"] = np.log(by_group / totals[:, None]).astype(np.float32)
+        self.parts["group"][-1] = np.log(totals / totals.sum())
+        self.parts["inner"][:, -1] = np.log(by_group / totals[:, None])
         return self
 
     def flat(self) -> np.ndarray:
@@ -104,10 +114,15 @@ class Network:
         return self
 
     def _hidden(self, contexts: np.ndarray) -> np.ndarray:
-        total = self.parts["bias"] + self.parts["tables"][0][contexts[0]]
-        for place in range(1, len(_PLACES)):
-            total += self.parts["tables"][place][contexts[place]]
-        return np.tanh(total, out=total)
+        n = contexts.shape[1]
+        total, row = self._room("total", n, HIDDEN), self._room("row", n, HIDDEN)
+        total[:] = self.parts["bias"]
+        for place, own in enumerate(contexts):
+            total += np.take(self.parts["tables"][place], own, axis=0, out=row, mode="clip")
+        hidden = self._room("hidden", n, HIDDEN + 1)
+        hidden[:, -1] = 1
+        np.tanh(total, out=hidden[:, :-1])
+        return hidden
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -126,36 +141,38 @@ class Network:
         targets, contexts = targets[order], contexts[:, order]
         groups, inner = targets % GROUPS, targets // GROUPS
         h, rows = self._hidden(contexts), np.arange(n)
-        by_group = self._softmax(h @ p["group"] + p["group_bias"])
-        by_inner = np.empty((n, GROUPS), np.float32)
+        by_group, by_inner = self._room("by_group", n, GROUPS), self._room("by_inner", n, GROUPS)
+        self._softmax(np.matmul(h, p["group"], out=by_group))
         bounds = np.searchsorted(groups, np.arange(GROUPS + 1))
         spans = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
         for g, s in spans:
             np.matmul(h[s], p["inner"][g], out=by_inner[s])
-            by_inner[s] += p["inner_bias"][g]
         self._softmax(by_inner)
         logs = np.empty(n)
         logs[order] = np.log(by_group[rows, groups]) + np.log(by_inner[rows, inner])
         if learn:
             by_group[rows, groups] -= 1
             by_inner[rows, inner] -= 1
-            pull = by_group @ p["group"].T
-            steps = {k: np.zeros_like(v) for k, v in p.items() if k.startswith("inner")}
+            units, steps = h[:, :-1], self.steps
+            pull = np.matmul(by_group, p["group"][:-1].T, out=self._room("pull", n, HIDDEN))
+            back = self._room("back", n, HIDDEN)
+            steps["inner"][:] = 0
             for g, s in spans:
-                steps["inner"][g] = h[s].T @ by_inner[s]
-                steps["inner_bias"][g] = by_inner[s].sum(0)
-                pull[s] += by_inner[s] @ p["inner"][g].T
-            steps |= {"group": h.T @ by_group, "group_bias": by_group.sum(0)}
-            pull *= 1 - h * h
-            steps["bias"] = pull.sum(0)
-            for name, step in steps.items():
+                np.matmul(h[s].T, by_inner[s], out=steps["inner"][g])
+                np.matmul(by_inner[s], p["inner"][g, :-1].T, out=back[s])
+            pull += back
+            np.matmul(h.T, by_group, out=steps["group"])
+            np.multiply(units, units, out=back)
+            pull *= np.subtract(1, back, out=back)
+            for name, step in (*steps.items(), ("bias", pull.sum(0))):
                 self._step(p[name], self.squares[name], step / n)
             # The tables of all places as one, so that each step sorts once.
             keys = (contexts + (np.arange(len(_PLACES)) * (VOCABULARY + 1))[:, None]).ravel()
             by_key = np.argsort(keys.astype(np.uint16 if keys.max() < 1 << 16 else np.uint32), kind="stable")
             sorted_keys = keys[by_key]
             first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-            own, step = sorted_keys[first], np.add.reduceat(pull[by_key % n], first, axis=0) / n
+            moved = np.take(pull, by_key % n, axis=0, out=self._room("moved", len(keys), HIDDEN), mode="clip")
+            own, step = sorted_keys[first], np.add.reduceat(moved, first, axis=0) / n
             t, q = (x["tables"].reshape(-1, x["tables"].shape[-1]) for x in (p, self.squares))
             squares = q[own] + step * step
             q[own] = squares

@@ -266,8 +266,8 @@ def test_lm_scores_equal_brute_force(spark, odd, nothing):
             near = ids[i + o] if low <= i + o < high else lm_scoring.VOCABULARY
             total = total + p["tables"][place][near]
         h, g, m = np.tanh(total), token % lm_scoring.GROUPS, token // lm_scoring.GROUPS
-        a = h @ p["group"] + p["group_bias"]
-        b = h @ p["inner"][g] + p["inner_bias"][g]
+        a = h @ p["group"][:-1] + p["group"][-1]
+        b = h @ p["inner"][g][:-1] + p["inner"][g][-1]
         want = a[g] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())
         assert abs(got[i] - want) < 1e-4
     rows = {r.doc_id: r for r in lm_scoring.score_documents(odd).collect()}
