@@ -147,42 +147,74 @@ def stream_once_per_document(documents: DataFrame, lateness: str = "1 day") -> D
     )
 
 
+#: Groups that applications are dealt over for one call of Python each; a checkpoint keeps it.
+_START_BUCKETS = 16384
+
+
 def stream_start_analysis_once(jobs: DataFrame, apps: DataFrame) -> DataFrame:
     """One row per application, when all its document jobs known by then have ended, one of
     them completed, and the application may be analysed.
 
     ``jobs``: job_id, application_id, job_type, status and seq, which rises with each state of
-    a job. The state holds the last state of the application's jobs and, once it has started,
-    nothing but that.
+    a job. Applications are dealt over ``_START_BUCKETS`` buckets, as a call of Python costs as
+    much as hundreds of rows. The state of a bucket holds the last states of the jobs of its
+    applications and, of those that have started, nothing but the id.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        started, *known = state.get if state.exists else (False, [], [], [])
-        latest = {job: (seq, status) for job, seq, status in zip(*known)}
-        allowed = False
+        begun, *known = state.get if state.exists else ([], [], [], [], [])
+        started = set(begun)
+        latest: dict[int, dict] = {}
+        for app, job, seq, status in zip(*known):
+            latest.setdefault(app, {})[object() if job is None else job] = (seq, status)
+        ready = set()
         for rows in batches:
-            if not started:
-                for job, seq, status in zip(rows["job_id"].tolist(), rows["seq"].tolist(), rows["status"]):
-                    if job not in latest or seq > latest[job][0]:
-                        latest[job] = (seq, status)
-                allowed = allowed or bool(rows["allowed"].any())
-        now = {status for _, status in latest.values()}
-        starts = not started and allowed and "COMPLETED" in now and now <= {"COMPLETED", "FAILED"}
-        if started or starts:
-            state.update((True, [], [], []))
-        else:
-            state.update((False, list(latest), [s for s, _ in latest.values()], [s for _, s in latest.values()]))
-        yield pd.DataFrame({"application_id": pd.Series([key[0]] if starts else [], dtype="int64")})
+            columns = (rows[c].tolist() for c in ("application_id", "job_id", "numbered", "seq", "status", "allowed"))
+            for app, job, numbered, seq, status, allowed in zip(*columns):
+                if app in started:
+                    continue
+                jobs = latest.setdefault(app, {})
+                job = job if numbered else object()  # without an id every row is a job of its own
+                if job not in jobs or seq > jobs[job][0]:
+                    jobs[job] = (seq, status)
+                if allowed:
+                    ready.add(app)
+        starts = []
+        for app in ready:
+            now = {status for _, status in latest[app].values()}
+            if "COMPLETED" in now and now <= {"COMPLETED", "FAILED"}:
+                starts.append(app)
+                del latest[app]
+        waiting = [(app, job, *held) for app, jobs in latest.items() for job, held in jobs.items()]
+        state.update(
+            (
+                [*begun, *starts],
+                [app for app, _, _, _ in waiting],
+                [job if isinstance(job, int) else None for _, job, _, _ in waiting],
+                [seq for _, _, seq, _ in waiting],
+                [status for _, _, _, status in waiting],
+            )
+        )
+        yield pd.DataFrame({"application_id": pd.Series(starts, dtype="int64")})
 
     can_start = apps.select("application_id", F.col("status").isin("PROCESSING", "SUBMITTED").alias("allowed"))
     wanted = jobs.filter(F.col("job_type") == DOCUMENT_JOB).select("application_id", "job_id", "seq", "status")
     return (
         wanted.join(can_start, "application_id")
-        .groupBy("application_id")
+        .select(
+            "application_id",
+            F.coalesce("job_id", F.lit(0)).alias("job_id"),
+            F.col("job_id").isNotNull().alias("numbered"),
+            "seq",
+            "status",
+            F.coalesce("allowed", F.lit(False)).alias("allowed"),
+            F.pmod(F.xxhash64("application_id"), F.lit(_START_BUCKETS)).alias("bucket"),
+        )
+        .groupBy("bucket")
         .applyInPandasWithState(
             decide,
             "application_id long",
-            "started boolean, jobs array<long>, seqs array<long>, statuses array<string>",
+            "started array<long>, applications array<long>, jobs array<long>, seqs array<long>, statuses array<string>",
             "append",
             "NoTimeout",
         )
