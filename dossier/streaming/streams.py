@@ -166,7 +166,7 @@ def stream_start_analysis_once(jobs: DataFrame, apps: DataFrame) -> DataFrame:
         started = set(begun)
         latest: dict[int, dict] = {}
         for app, job, seq, status in zip(*known):
-            latest.setdefault(app, {})[object() if job is None else job] = (seq, status)
+            latest.setdefault(app, {})[job] = (seq, status)
         ready = set()
         for rows in batches:
             columns = (rows[c].tolist() for c in ("application_id", "job_id", "numbered", "seq", "status", "allowed"))
@@ -174,7 +174,7 @@ def stream_start_analysis_once(jobs: DataFrame, apps: DataFrame) -> DataFrame:
                 if app in started:
                     continue
                 jobs = latest.setdefault(app, {})
-                job = job if numbered else object()  # without an id every row is a job of its own
+                job = job if numbered else None  # rows without an id are one job
                 if job not in jobs or seq > jobs[job][0]:
                     jobs[job] = (seq, status)
                 if allowed:
@@ -190,7 +190,7 @@ def stream_start_analysis_once(jobs: DataFrame, apps: DataFrame) -> DataFrame:
             (
                 [*begun, *starts],
                 [app for app, _, _, _ in waiting],
-                [job if isinstance(job, int) else None for _, job, _, _ in waiting],
+                [job for _, job, _, _ in waiting],
                 [seq for _, _, seq, _ in waiting],
                 [status for _, _, _, status in waiting],
             )
