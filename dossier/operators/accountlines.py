@@ -52,13 +52,27 @@ def _or_null(text: Column) -> Column:
 
 
 def _labelled(line: Column, at: Column) -> Column:
-    kind = rest = None
-    for name, pattern in _LABELS:
+    # Most lines are no label, so one test of all patterns comes before the single ones.
+    label = F.when(line.rlike("(?i)^(?:" + "|".join(p for _, p in _LABELS) + ")"), _label_of(line))
+
+    def read(which: Column) -> Column:
+        kind = rest = None
+        for i, (name, pattern) in enumerate(_LABELS):
+            left = F.regexp_replace(line, rf"(?i)^(?:{pattern})(?:\s*\([^()]*\))?[:.\-*\s]*", "")
+            kind = F.when(which == i, name) if kind is None else kind.when(which == i, name)
+            rest = F.when(which == i, left) if rest is None else rest.when(which == i, left)
+        return F.struct(at.alias("at"), line.alias("line"), kind.alias("kind"), rest.alias("rest"))
+
+    return _with(label, read)
+
+
+def _label_of(line: Column) -> Column:
+    """Place of the first label in the list that the line begins with."""
+    which = None
+    for i, (_, pattern) in enumerate(_LABELS):
         test = line.rlike(f"(?i)^(?:{pattern})")
-        left = F.regexp_replace(line, rf"(?i)^(?:{pattern})(?:\s*\([^()]*\))?[:.\-*\s]*", "")
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
-        rest = F.when(test, left) if rest is None else rest.when(test, left)
-    return F.struct(at.alias("at"), line.alias("line"), kind.alias("kind"), rest.alias("rest"))
+        which = F.when(test, i) if which is None else which.when(test, i)
+    return which
 
 
 def _name(raw: Column) -> Column:
@@ -125,15 +139,9 @@ def _number(raw: Column) -> Column:
     return _account(raw)["number"]
 
 
-def _iban_of(value: Column) -> Column:
-    """The IBAN of a labelled value, by what its label says."""
-    return F.when(value["kind"] == "iban", _iban(value["raw"])).otherwise(_account(value["raw"])["iban"])
-
-
-def _first(values: Column, kinds: tuple[str, ...], read) -> Column:
-    """The topmost value of these kinds that ``read`` makes something of."""
-    some = F.transform(F.filter(values, lambda v: v["kind"].isin(*kinds)), read)
-    return F.get(F.filter(some, lambda v: v.isNotNull()), 0)
+def _first(values: Column, read) -> Column:
+    """What ``read`` gives for the topmost value for which it gives anything."""
+    return F.get(F.filter(F.transform(values, read), lambda v: v.isNotNull()), 0)
 
 
 def _with(value: Column, body) -> Column:
@@ -250,21 +258,50 @@ def labelled_values(text: Column) -> Column:
     return _with(lines, lambda own: _with(ends(own), lambda e: _values_of(own, e)))
 
 
+def account_block(text: Column) -> Column:
+    """Struct of account_holder, account_number and iban of one text; null where not found.
+
+    Every line is classed and every value is read once for all three. Readers of more than one
+    part make a column of the struct first.
+    """
+
+    def read(value: Column) -> Column:
+        """What one labelled value holds, by what its label says."""
+        raw, none = value["raw"], F.lit(None).cast("string")
+        account = F.when(value["kind"] == "number", _account(raw))
+        return _with(
+            F.struct(account.alias("account"), F.when(value["kind"] == "iban", _iban(raw)).alias("iban")),
+            lambda x: F.struct(
+                F.when(value["kind"] == "holder", _name(raw)).otherwise(none).alias("holder"),
+                x["account"]["number"].alias("number"),
+                x["account"]["iban"].alias("number_iban"),
+                F.coalesce(x["account"]["iban"], x["iban"]).alias("iban"),
+            ),
+        )
+
+    def phrase() -> Column:
+        flowed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\n\s*", " ")
+        hits = F.flatten(F.array(*[F.regexp_extract_all(flowed, F.lit(p), 1) for p in _PHRASES]))
+        spoken = F.transform(hits, _name)
+        return F.get(
+            F.filter(spoken, lambda n: n.isNotNull() & (F.char_length(n) >= 3) & ~n.rlike(_NOT_A_NAME)), 0
+        )
+
+    def block(values: Column) -> Column:
+        # A number label may hold nothing but an IBAN, which then is the number as well.
+        number = F.coalesce(
+            _first(values, lambda v: v["number"]), _first(values, lambda v: v["number_iban"])
+        )
+        return F.struct(
+            F.coalesce(_first(values, lambda v: v["holder"]), phrase()).alias("account_holder"),
+            number.alias("account_number"),
+            _first(values, lambda v: v["iban"]).alias("iban"),
+        )
+
+    return _with(F.transform(labelled_values(text), read), block)
+
+
 def account_values(text: Column) -> dict[str, Column]:
-    """Columns account_holder, account_number and iban of one text; null where not found."""
-    values = labelled_values(text)
-    flowed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\n\s*", " ")
-    hits = F.flatten(F.array(*[F.regexp_extract_all(flowed, F.lit(p), 1) for p in _PHRASES]))
-    spoken = F.transform(hits, _name)
-    phrase = F.get(
-        F.filter(spoken, lambda n: n.isNotNull() & (F.char_length(n) >= 3) & ~n.rlike(_NOT_A_NAME)), 0
-    )
-    # A number label may hold nothing but an IBAN, which then is the number as well.
-    number = F.coalesce(
-        _first(values, ("number",), lambda v: _number(v["raw"])), _first(values, ("number",), _iban_of)
-    )
-    return {
-        "account_holder": F.coalesce(_first(values, ("holder",), lambda v: _name(v["raw"])), phrase),
-        "account_number": number,
-        "iban": _first(values, ("number", "iban"), _iban_of),
-    }
+    """The parts of :func:`account_block`, by name."""
+    block = account_block(text)
+    return {name: block[name] for name in ("account_holder", "account_number", "iban")}

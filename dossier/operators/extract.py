@@ -1,7 +1,7 @@
 """Fields from document text: routing, patterns, block values, externally resolved values.
 
-Everything but the block step works inside one row, so a scan of the text table feeds
-the whole analysis without a shuffle.
+Everything works inside one row. The texts are dealt out evenly once, before the first step, as
+a row takes far longer to search than to read.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from dossier.functions.reading import (
     trim_marks,
 )
 from dossier.operators import patterns as PT
-from dossier.operators.accountlines import account_values
-from dossier.session import stored
+from dossier.operators.accountlines import account_block
+from dossier.session import spread, stored
 
 _UNCLASSIFIED = (vocab.SUPPORTING, vocab.BULK)
 _EXTRACTED_TYPES = tuple(PT.PATTERNS)
@@ -48,6 +48,7 @@ def route_document_type(texts: DataFrame) -> DataFrame:
     ``texts``: document_id, stored_type, text. ``route`` is STORED, DETECTED,
     RECOGNIZED_UNSUPPORTED or UNDETERMINED.
     """
+    texts = spread(texts, "document_id", "text")
     stored = F.when(~F.col("stored_type").isin(*_UNCLASSIFIED), F.col("stored_type"))
     checklist = [t for t in _EXTRACTED_TYPES if t in vocab.REQUIRED_TYPES]
     direct = F.coalesce(stored.isin(*checklist), F.lit(False))
@@ -164,8 +165,7 @@ def with_block_values(found: DataFrame) -> DataFrame:
     """Add holder, number and IBAN from labelled lines, for the types that have them."""
     kind, own = F.col("document_type"), F.col("extracted_fields")
     has_block = kind.isin(*PT.BANK_BLOCK_TYPES)
-    read = {n: F.when(has_block, c) for n, c in account_values(F.col("text")).items()}
-    joined = found.withColumns({f"_{n}": c for n, c in read.items()})
+    joined = found.withColumn("_block", F.when(has_block, account_block(F.col("text"))))
     merged = None
     for t, (names, replaces) in PT.BANK_BLOCK_TYPES.items():
         offered = F.map_from_entries(
@@ -173,9 +173,9 @@ def with_block_values(found: DataFrame) -> DataFrame:
                 F.array(
                     *[
                         F.when(
-                            F.col(f"_{n}").isNotNull()
+                            F.col("_block")[n].isNotNull()
                             & (F.lit(replaces) | ~F.map_contains_key(own, n)),
-                            F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value")),
+                            F.struct(F.lit(n).alias("name"), F.col("_block")[n].alias("value")),
                         )
                         for n in names
                     ]
@@ -185,7 +185,7 @@ def with_block_values(found: DataFrame) -> DataFrame:
         value = F.map_concat(_without(own, offered), offered)
         arm = kind == t
         merged = F.when(arm, value) if merged is None else merged.when(arm, value)
-    return joined.withColumn("extracted_fields", merged.otherwise(own)).drop(*[f"_{n}" for n in read])
+    return joined.withColumn("extracted_fields", merged.otherwise(own)).drop("_block")
 
 
 def extract_fields(routed: DataFrame) -> DataFrame:

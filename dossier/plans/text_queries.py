@@ -9,11 +9,11 @@ from dossier.operators import checks as CK
 from dossier.operators import extract as X
 from dossier.operators import patterns as PT
 from dossier.operators import splitting as S
-from dossier.operators.accountlines import account_values
+from dossier.operators.accountlines import account_block
 from dossier.plans.catalog import AS_OF, query
 from dossier.plans import text_sql as TS
 from dossier.plans.document_queries import _REQUIRED
-from dossier.session import stored
+from dossier.session import spread, stored
 from dossier.sources import files as FI
 from dossier.sources import pages as P
 from dossier.sources.bindings import _values
@@ -250,7 +250,7 @@ def _found(t):
 
 
 def _typed(t):
-    return _texts(t).withColumn("document_type", F.col("stored_type"))
+    return spread(_texts(t), "document_id", "text").withColumn("document_type", F.col("stored_type"))
 
 
 @query("pattern_fields", f"WITH {TS.FOUND} SELECT * FROM found")
@@ -280,15 +280,15 @@ def extract_fields(t):
 @query("bank_block", "SELECT document_id, holder AS account_holder, number AS account_number, iban FROM e_account_texts")
 def bank_block(t):
     """Account blocks in thirteen layouts; every row says what its text holds."""
-    values = account_values(F.col("raw_text"))
-    return t.account_texts.select("document_id", *[c.alias(n) for n, c in values.items()])
+    texts = spread(t.account_texts.select("document_id", "raw_text"), "document_id", "raw_text")
+    return texts.select("document_id", account_block(F.col("raw_text")).alias("b")).select("document_id", "b.*")
 
 
 @query("bank_block_fields", _BLOCK)
 def bank_block_fields(t):
     """The block within the texts of the three types that have one."""
-    texts = _texts(t).filter(F.col("stored_type").isin(*PT.BANK_BLOCK_TYPES))
-    return texts.select("document_id", *[c.alias(n) for n, c in account_values(F.col("text")).items()])
+    texts = spread(_texts(t).filter(F.col("stored_type").isin(*PT.BANK_BLOCK_TYPES)), "document_id", "text")
+    return texts.select("document_id", account_block(F.col("text")).alias("b")).select("document_id", "b.*")
 
 
 def _validated(t):

@@ -5,13 +5,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dossier.operators import extract, feedback as corrections, ordered, splitting
-from dossier.operators.accountlines import account_values
+from dossier.operators.accountlines import account_block, account_values
 from dossier.operators.lifecycle import waiting_spans
 from dossier import vocab
 from dossier.operators.rules import base, catalogue, cross, engine, pairs, presence
 from dossier.functions.timing import moment
 from dossier.plans.catalog import AS_OF
-from dossier.session import stored
+from dossier.session import spread, stored
 from dossier.sources import bindings, exports, tables
 from dossier.sources.files import scan_files
 from dossier.streaming import streams
@@ -417,3 +417,20 @@ def test_outcomes_of_documents_without_text(spark):
     )
     got = analysis_outcomes(documents, texts, AS_OF).collect()
     assert sorted(map(tuple, got)) == [(1, 3, 1, 2), (2, 1, 1, 0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_account_blocks_read_their_lines_once(spark):
+    texts = spark.createDataFrame([(1, "Account No: 1234567"), (None, None)], "document_id long, text string")
+    read = spread(texts, "document_id", "text").select(account_block(F.col("text")).alias("b")).select("b.*")
+    assert _plan(read).count("r\\n|\\r|\\n") == 1
+    assert "RepartitionByExpression" in _plan(read)
+    assert sorted(r.account_number or "" for r in read.collect()) == ["", "1234567"]
+
+
+def test_texts_are_dealt_out_before_they_are_searched(spark):
+    texts = spark.createDataFrame([(1, "PAYSLIP", "net salary: 5")], "document_id long, stored_type string, text string")
+    assert "RepartitionByExpression" in _plan(extract.route_document_type(texts))
