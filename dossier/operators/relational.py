@@ -353,27 +353,36 @@ def checklist_state(apps: DataFrame, checklists: DataFrame) -> DataFrame:
 
 def match_corrections(corrections: DataFrame, fields: DataFrame) -> DataFrame:
     """Field row of each correction: by document and name, or by name alone, where the
-    last field row of the application wins. Unmatched corrections stay with nulls."""
+    last field row of the application wins. Unmatched corrections stay with nulls.
+
+    Only fields of an application and name that some correction has are looked at; they are
+    dealt out by these two once, and both ways of matching find them there.
+    """
     value = F.coalesce(F.nullif(F.col("human_corrected_value"), F.lit("")), F.col("extracted_value"))
-    known = fields.select(
-        "application_id",
-        "field_name",
-        F.col("document_id").alias("matched_document_id"),
-        value.alias("current_value"),
+    pair = ["application_id", "field_name"]
+    known = _of_few_names(fields, corrections).select(
+        *pair, F.col("document_id").alias("matched_document_id"), value.alias("current_value")
     )
+    known = known.join(corrections.select(*pair), pair, "left_semi")
     by_document = corrections.filter(F.col("document_id").isNotNull()).join(
         known.withColumn("document_id", F.col("matched_document_id")),
         ["application_id", "document_id", "field_name"],
         "left",
     )
-    last = latest_per_key(known, ["application_id", "field_name"], ["matched_document_id"])
-    by_name = corrections.filter(F.col("document_id").isNull()).join(
-        last, ["application_id", "field_name"], "left"
-    )
+    last = latest_per_key(known, pair, ["matched_document_id"])
+    by_name = corrections.filter(F.col("document_id").isNull()).join(last, pair, "left")
     columns = [*corrections.columns, "matched_document_id", "current_value"]
     return by_document.select(columns).unionByName(by_name.select(columns))
 
 
+def _of_few_names(fields: DataFrame, corrections: DataFrame, most: int = 1000) -> DataFrame:
+    """Fields under a name that is corrected; all of them where more than ``most`` names are."""
+    names = [r[0] for r in corrections.select("field_name").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        return fields
+    return fields.filter(F.col("field_name").isin(*[n for n in names if n is not None]))
+
+
 def rules_x_applications(apps: DataFrame) -> DataFrame:
     """One row per application and registered rule."""
     rules = [

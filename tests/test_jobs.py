@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from dossier.operators import extract, feedback as corrections, ordered, splitting
+from dossier.operators import extract, feedback as corrections, ordered, relational, splitting
 from dossier.operators.accountlines import account_block, account_values
 from dossier.operators.lifecycle import waiting_spans
 from dossier import vocab
@@ -434,3 +434,19 @@ def test_account_blocks_read_their_lines_once(spark):
 def test_texts_are_dealt_out_before_they_are_searched(spark):
     texts = spark.createDataFrame([(1, "PAYSLIP", "net salary: 5")], "document_id long, stored_type string, text string")
     assert "RepartitionByExpression" in _plan(extract.route_document_type(texts))
+
+
+def test_only_corrected_fields_are_matched(spark):
+    fields = spark.createDataFrame(
+        [(1, 10, "iban", "a", ""), (1, 11, "iban", "b", "c"), (1, 11, "branch", "d", None), (2, 12, "iban", "e", None)],
+        "application_id long, document_id long, field_name string, extracted_value string, human_corrected_value string",
+    )
+    wanted = [(1, 10, "iban"), (1, None, "iban"), (1, 12, "iban"), (1, None, None), (None, None, "iban"), (1, None, "branch"), (3, None, "branch")]
+    schema = "application_id long, document_id long, field_name string"
+    for most in (1000, 1):
+        known = relational._of_few_names(fields, spark.createDataFrame(wanted[:5], schema), most)
+        assert known.count() == (3 if most > 1 else 4)
+    matched = relational.match_corrections(spark.createDataFrame(wanted, schema), fields)
+    assert "LeftSemi" in _plan(matched)
+    got = {(r[0], r[1], r[2]): (r.matched_document_id, r.current_value) for r in matched.collect()}
+    assert got == dict(zip(wanted, [(10, "a"), (11, "c"), (None, None), (None, None), (None, None), (11, "d"), (None, None)]))
