@@ -450,3 +450,20 @@ def test_only_corrected_fields_are_matched(spark):
     assert "LeftSemi" in _plan(matched)
     got = {(r[0], r[1], r[2]): (r.matched_document_id, r.current_value) for r in matched.collect()}
     assert got == dict(zip(wanted, [(10, "a"), (11, "c"), (None, None), (None, None), (None, None), (11, "d"), (None, None)]))
+
+
+def test_fields_are_joined_once(spark):
+    fields = spark.createDataFrame(
+        [(5, "b", "x", 0.5), (5, "a", "y", None), (6, "a", "z", 0.1), (None, "a", "w", 0.1)],
+        "ocr_result_id long, field_name string, extracted_value string, confidence_score double",
+    )
+    ocr = spark.createDataFrame([(5, 2), (6, 1), (7, None)], "ocr_result_id long, document_id long")
+    docs = spark.createDataFrame([(1, 8, "T"), (2, 9, "U")], "document_id long, application_id long, document_type string")
+    joined = relational.fields_with_documents(fields, ocr, docs)
+    plan = _plan(joined)
+    assert plan.index("(ocr_result_id") < plan.index("Join Inner, (document_id")
+    assert [tuple(r) for r in joined.collect()] == [
+        (1, 6, "a", "z", 0.1, 8, "T"),
+        (2, 5, "a", "y", None, 9, "U"),
+        (2, 5, "b", "x", 0.5, 9, "U"),
+    ]
