@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from dossier.functions import text
 from dossier.operators import extract, feedback as corrections, ordered, relational, splitting
 from dossier.operators.accountlines import account_block, account_values
 from dossier.operators.lifecycle import waiting_spans
@@ -436,6 +437,15 @@ def test_texts_are_dealt_out_before_they_are_searched(spark):
     assert "RepartitionByExpression" in _plan(extract.route_document_type(texts))
 
 
+def test_cleaning_stays_in_spark(spark):
+    rows = spark.createDataFrame(
+        [(t,) for t in ("a  b\t", "ﬁne Ｘ", "é", "x\n", " ", "", None, "plain text")], "t string"
+    )
+    cleaned = rows.select("t", text.clean_text(F.col("t")).alias("c"))
+    assert "Python" not in _plan(cleaned)
+    assert [r.c for r in cleaned.collect()] == ["a b", "fine X", "é", "x", "", "", None, "plain text"]
+
+
 def test_only_corrected_fields_are_matched(spark):
     fields = spark.createDataFrame(
         [(1, 10, "iban", "a", ""), (1, 11, "iban", "b", "c"), (1, 11, "branch", "d", None), (2, 12, "iban", "e", None)],
