@@ -14,16 +14,18 @@ from __future__ import annotations
 import functools
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dossier.session import stored
 
-BUCKET, _SEQ, _KNOWN = "_bucket", "_seq", "_known"
+BUCKET, _SEQ, _PLACE = "_bucket", "_seq", "_place"
 DEFAULT_BUCKETS = 64
+#: Bytes of a table that are merged by a shuffle; more are merged bucket by bucket, without one.
+SHUFFLED = 32 << 20
 
 
 class Conflict(RuntimeError):
@@ -56,6 +58,9 @@ class Folder:
         finally:
             stream.close()
 
+    def size(self, name: str) -> int:
+        return self._fs.getContentSummary(self._of(name)).getLength()
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._of(name), True)
 
@@ -132,51 +137,56 @@ class VersionedTable:
         wanted = self.state["base"] if buckets is None else {str(b) for b in buckets} & set(self.state["base"])
         return self._files([f"{self.state['base'][b]}/{BUCKET}={b}" for b in sorted(wanted)], self.schema)
 
-    def _merged_updates(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
-        """One row per updated key: its columns, which of them were offered, and whether the
-        base knows the key. Columns to keep hold what the key was added with."""
-        keys, keep = self.state["keys"], self.state["keep"]
-        parts = []
-        for seq, update in enumerate(self.state["updates"]):
-            wanted = [b for b in update["buckets"] if buckets is None or b in buckets]
-            if wanted:
-                names = [*keys, *update["columns"]]
-                schema = StructType([self.schema[n] for n in names]).add(_KNOWN, "boolean")
-                files = self._files([f"{update['folder']}/{BUCKET}={b}" for b in wanted], schema)
-                parts.append(files.withColumn(_SEQ, F.lit(seq)))
-        if not parts:
-            return None
-        rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        found = []
-        for name in self.schema.names:
-            if name in keys:
-                continue
-            offers = [i for i, u in enumerate(self.state["updates"]) if name in u["columns"]]
-            if name in keep:
-                added = F.when(~F.col(_KNOWN), F.col(_SEQ))
-                found.append(F.min_by(name, added).alias(name) if name in rows.columns else F.lit(None).alias(name))
-            elif name in rows.columns:
-                at = F.when(F.col(_SEQ).isin(offers), F.col(_SEQ))
-                found += [F.max_by(name, at).alias(name), F.max(at).isNotNull().alias(f"_has_{name}")]
+    def _merge(self, updates: Sequence[int]) -> Callable[..., DataFrame]:
+        """How rows that these updates touch are merged. Rows of the base take the
+        newest offer of each column, but keep what they have in the columns to keep; a new key
+        gives one row, whose columns to keep hold what the key was added with."""
+        keys, keep, names = self.state["keys"], self.state["keep"], self.schema.names
+        own, seq = Window.partitionBy(*keys), F.lit(-1)
+        for i in updates:
+            folder = self.state["updates"][i]["folder"]
+            seq = F.when(F.col("_metadata.file_path").contains(f"/{folder}/"), i).otherwise(seq)
+        columns = []
+        for name in names:
+            offers = [i for i in updates if name in self.state["updates"][i]["columns"]]
+            if name in keys or name in keep or not offers:
+                columns.append(F.col(name))
             else:
-                found += [F.lit(None).cast(self.schema[name].dataType).alias(name), F.lit(False).alias(f"_has_{name}")]
-        return rows.groupBy(*keys).agg(F.bool_and(_KNOWN).alias(_KNOWN), *found)
+                # Of equal keys in the base, each row keeps its own values where none is offered.
+                at = F.when(F.col(_SEQ).isin(offers), F.col(_SEQ))
+                newest = F.max_by(name, at).over(own)
+                columns.append(F.when(F.max(at).over(own).isNotNull(), newest).otherwise(F.col(name)).alias(name))
+        place = F.row_number().over(own.orderBy(_SEQ)).alias(_PLACE)
+
+        def merge(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+            found = rows.select(*names, seq.alias(_SEQ))
+            found = (found.coalesce(tasks) if tasks else found).select(*columns, _SEQ, place)
+            return found.filter((F.col(_SEQ) < 0) | (F.col(_PLACE) == 1)).select(*names)
+
+        return merge
 
     def _rows(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        base = self._base(buckets)
-        merged = self._merged_updates(buckets) if self.state["updates"] else None
-        if merged is None:
-            return base
-        keys, keep, names = self.state["keys"], self.state["keep"], self.schema.names
-        # Few updated rows are broadcast by Spark, and then the base is not shuffled.
-        known = merged.filter(_KNOWN).withColumnsRenamed({c: f"_new_{c}" for c in [*keys, *names]})
-        met = F.col(_KNOWN).isNotNull()
-        columns = [
-            F.col(n) if n in keys or n in keep else F.when(met & F.col(f"_has_{n}"), F.col(f"_new_{n}")).otherwise(F.col(n)).alias(n)
-            for n in names
-        ]
-        changed = base.join(known, _all_equal(keys, [f"_new_{k}" for k in keys]), "left").select(*columns)
-        return changed.unionByName(merged.filter(~F.col(_KNOWN)).select(*names))
+        base, updates = self.state["base"], self.state["updates"]
+        held = {int(b) for b in base}
+        wanted = held.union(*(u["buckets"] for u in updates)) if buckets is None else set(buckets)
+        touched = sorted(wanted & set().union(*(u["buckets"] for u in updates)))
+        plain = self._base((held & wanted).difference(touched))
+        if not touched:
+            return plain
+        # A column that an update did not offer reads as null.
+        merge = self._merge(range(len(updates)))
+        places = {b: [f"{u['folder']}/{BUCKET}={b}" for u in updates if b in u["buckets"]] for b in touched}
+        for b in held.intersection(touched):
+            places[b].append(f"{base[str(b)]}/{BUCKET}={b}")
+        folders = {base[str(b)] for b in held.intersection(touched)} | {u["folder"] for u in updates}
+        if sum(self.folder.size(f"data/{f}") for f in folders) <= SHUFFLED:
+            rows = self._files([p for b in touched for p in places[b]], self.schema)
+            return plain.unionAll(merge(rows))
+        # One task reads a whole bucket, so that a key's rows meet without a shuffle.
+        parts = [plain, *(merge(self._files(places[b], self.schema), 1) for b in touched)]
+        while len(parts) > 1:  # pair by pair, as every union looks through its whole plan
+            parts = [functools.reduce(DataFrame.unionAll, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0]
 
     def read(self) -> DataFrame:
         """The rows of the version that this object stands at."""
@@ -192,15 +202,13 @@ class VersionedTable:
             raise Conflict(f"version {number} of {self.folder.path} is there already")
         self.number, self.state = number, state
 
-    def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
-        """Store rows by bucket; the folder and the buckets it has. A bucket that holds most
-        rows is written by several tasks."""
+    def _write(self, rows: DataFrame, deal: bool = True) -> tuple[str, list[int]]:
+        """Store rows by bucket; the folder and the buckets it has. With ``deal`` rows are dealt
+        out by bucket first, and one that holds most rows is written by several tasks; without
+        it each task writes a file for every bucket that it has rows of."""
         name = uuid.uuid4().hex
-        (
-            rows.hint("rebalance", BUCKET)
-            .write.partitionBy(BUCKET)
-            .parquet(f"{self.folder.path}/data/{name}")
-        )
+        dealt = rows.hint("rebalance", BUCKET) if deal else rows
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.folder.path}/data/{name}")
         found = self.folder.names(f"data/{name}")
         return name, [int(f.partition("=")[2]) for f in found if f.startswith(f"{BUCKET}=")]
 
@@ -237,7 +245,7 @@ class VersionedTable:
         never change once a row is there."""
         if self.number >= 0:
             raise ValueError(f"{self.folder.path} holds a table already")
-        folder, found = self._write(rows.withColumn(BUCKET, self._bucket()))
+        folder, found = self._write(rows.withColumn(BUCKET, self._bucket()), deal=False)
         self._commit(
             self.state
             | {"schema": json.loads(rows.schema.json()), "keys": list(keys), "keep": list(keep)}
@@ -247,26 +255,14 @@ class VersionedTable:
     def upsert(self, updates: DataFrame, token: int | None = None) -> bool:
         """Refresh known keys and add new ones, as files beside the base, which stays as it is.
 
-        ``updates``: the keys, once each, and any of the other columns. Only key columns of the
-        touched buckets are read, to learn which keys are new. With a ``token``, a number that
+        ``updates``: the keys, once each, and any of the other columns. Nothing of the table is
+        read: which keys are new is found where rows are merged. With a ``token``, a number that
         rises from update to update, one that is there already is not applied again (false).
         """
         if token is not None and token <= self.state.get("token", -1):
             return False
         keys = self.state["keys"]
-        rows = stored(updates.withColumn(BUCKET, self._bucket()))
-        touched = self._touched(rows)
-        held = self._base(touched).select(*keys)
-        earlier = self._merged_updates(touched) if self.state["updates"] else None
-        if earlier is not None:
-            held = held.unionByName(earlier.filter(~F.col(_KNOWN)).select(*keys))
-        other = held.select(*[F.col(k).alias(f"_old_{k}") for k in keys], F.lit(True).alias(_KNOWN))
-        marked = (
-            rows.join(other, _all_equal(keys, [f"_old_{k}" for k in keys]), "left")
-            .drop(*[f"_old_{k}" for k in keys])
-            .withColumn(_KNOWN, F.coalesce(F.col(_KNOWN), F.lit(False)))
-        )
-        folder, found = self._write(marked)
+        folder, found = self._write(updates.withColumn(BUCKET, self._bucket()), deal=False)
         columns = [c for c in updates.columns if c not in keys]
         update = {"folder": folder, "columns": columns, "buckets": found}
         state = self.state | {"updates": [*self.state["updates"], update]}
@@ -277,7 +273,7 @@ class VersionedTable:
         """Merge the updates into the base of the buckets that have any."""
         touched = sorted({b for u in self.state["updates"] for b in u["buckets"]})
         if touched:
-            folder, found = self._write(self._rows(touched).withColumn(BUCKET, self._bucket()))
+            folder, found = self._write(self._rows(touched).withColumn(BUCKET, self._bucket()), deal=False)
             base = self.state["base"] | {str(b): folder for b in found}
             self._commit(self.state | {"base": base, "updates": []})
 

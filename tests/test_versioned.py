@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.sources import exports
+from dossier.sources import exports, versioned
 from dossier.sources.versioned import Conflict, VersionedTable, append_batch
 
 RESULTS = "application_id long, run_date string, rule_category string, status string"
@@ -87,6 +87,29 @@ def test_updates_equal_full_rewrites(spark, tmp_path):
             assert sorted(got, key=str) == sorted((tuple(r.values()) for r in want.values()), key=str)
 
 
+def test_large_tables_merge_without_a_shuffle(spark, tmp_path, monkeypatch):
+    schema = "k long, name string, v string, human string"
+    base = [(i, n, f"v{i}", f"h{i}") for i in (*range(40), None) for n in ("a", None)] + [(7, "a", "other", "h")]
+    first = [(i, "a", None if i == 8 else "u1", "m1") for i in range(0, 50, 2)] + [(None, None, "u1", "m1")]
+    second = [(i, "a", "u2", "m2") for i in range(0, 60, 5)]
+    table = VersionedTable(spark, str(tmp_path), ["k"], buckets=4)
+    table.create(spark.createDataFrame(base, schema), ["k", "name"], ["human"])
+    monkeypatch.setattr(table, "_base", lambda buckets=None: 1 / 0)  # an update reads nothing of the table
+    for rows in (first, second):
+        table.upsert(spark.createDataFrame(rows, schema))
+    monkeypatch.undo()
+    offers = {r[:2]: r[2] for r in (*first, *second)}
+    want = [(*r[:2], offers.get(r[:2], r[2]), r[3]) for r in base]
+    new = {r[:2]: r[3] for r in (*second, *first) if r[:2] not in {b[:2] for b in base}}
+    want = sorted(want + [(*k, offers[k], human) for k, human in new.items()], key=str)
+    assert rows_of(table.read()) == want
+    monkeypatch.setattr(versioned, "SHUFFLED", -1)
+    assert "Exchange" not in table.read()._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(table.read()) == want
+    table.compact()
+    assert not table.state["updates"] and rows_of(table.read()) == want
+
+
 def test_a_batch_is_added_once(spark, tmp_path):
     path = str(tmp_path / "h")
     rows = spark.range(10)
