@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -57,6 +58,8 @@ TASK_BYTES = 64 << 20
 #: Pieces that a worker remembers, and the longest of them.
 REMEMBERED = 1_200_000
 REMEMBERED_LENGTH = 64
+#: Runs of signs that a worker remembers.
+TAILS = 10_000
 
 #: Fixed values of the format: the reflected Castagnoli polynomial and the mask's constant.
 _POLYNOMIAL = 0x82F63B78
@@ -67,7 +70,18 @@ _HEAD = np.dtype([("kind", "u1"), ("id", "<i8")])
 _CUT = re.compile(" (?=[!-~¡-ᙿ])")
 #: A space that is no cut; most texts have none.
 _ODD = re.compile(" (?![!-~¡-ᙿ])")
-_MARKS = ".,;:!?"
+#: ASCII signs at the end of a piece, without the quote, which may begin a contraction.
+_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]*\Z")
+
+
+def _letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies name a byte; printable ones name themselves."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _letters()
 
 
 def _tables() -> np.ndarray:
@@ -128,53 +142,57 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
-        self.tokenizer, self.kind, self.width = tokenizer, kind, int(kind[2:])
-        # A token stands for as many bytes as its name has letters.
-        names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size(True)))
-        self.bytes = np.fromiter((len(n or "") for n in names), np.int64)
-        self.marks = {m: self.ids(m) for m in _MARKS}
-
-    def _codes(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        self.tokenizer, self.kind, self.tails = tokenizer, kind, {}
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.tokenize = tokenizer.model.tokenize
 
     def ids(self, text: str) -> bytes:
-        return self._codes(text).tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode many pieces in one call and cut the ids where a piece begins."""
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
-            code = self._codes("".join([f" {p}" for p in some]))
-            raw = code.tobytes()
-            sizes = self.bytes[code]
-            lengths = np.fromiter((len(p.encode()) for p in some), np.int64, len(some)) + 1
-            cuts = np.searchsorted(np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths) * self.width
-            edges = [*cuts.tolist(), len(raw)]
-            self.update((p, raw[a:b]) for p, a, b in zip(some, edges, edges[1:]))
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array(self.code, found.ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self._letters("\u0120", piece)
+        if value is None:
+            # A line feed between a word and a letter is a pre-token, and a line begins another.
+            head, _, line = piece.partition("\n")
+            word = head[: len(head) - len(_TAIL.search(head)[0])]
+            rest = self._letters("", line) if word.isalpha() else None
+            value = self.ids(" " + piece) if rest is None else self[head] + self._tail("\n") + rest
+        if len(self) < REMEMBERED and len(piece) <= REMEMBERED_LENGTH:  # the first met are the frequent ones
+            self[piece] = value
+        return value
+
+    def _letters(self, before: str, piece: str) -> bytes | None:
+        """Id bytes of letters and the signs behind them; nothing for any other piece. Letters are
+        one pre-token, which the library's model takes as it is, and the signs are the next."""
+        tail = _TAIL.search(piece)[0]
+        word = piece[: len(piece) - len(tail)]
+        if not word.isalpha() or len(word) > REMEMBERED_LENGTH:
+            return None
+        if tail and before and word in self:
+            return self[word] + self._tail(tail)
+        name = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        value = array(self.code, [t.id for t in self.tokenize(before + name)]).tobytes()
+        return value + self._tail(tail) if tail else value
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            value = self.ids(tail)
+            if len(self.tails) >= TAILS or len(tail) > REMEMBERED_LENGTH:
+                return value
+            self.tails[tail] = value
+        return self.tails[tail]
 
     def coded(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Id bytes of each text, ``end`` behind them."""
         cut = [_pieces_of(t) if t else [""] for t in texts]
         first = [words.pop(0) for words in cut]
         begun = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
-        fresh = set().union(*cut).difference(self)
-        once = {p: self.ids(" " + p) for p in fresh if len(p) > REMEMBERED_LENGTH}
-        fresh.difference_update(once)
-        # A mark behind a letter is a pre-token of its own, so only what is before it is new.
-        marked = [p for p in fresh if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        fresh.difference_update(marked)
-        fresh.update(p for p in [p[:-1] for p in marked] if p not in self)
-        self.learn(list(fresh))
-        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        get = self.__getitem__ if not once else lambda p: once[p] if p in once else self[p]
-        coded = [
-            b"".join((np.array(code.ids, self.kind).tobytes(), *map(get, words), end))
+        get = self.__getitem__
+        return [
+            b"".join((array(self.code, code.ids).tobytes(), *map(get, words), end))
             for code, words in zip(begun, cut)
         ]
-        if len(self) > REMEMBERED:
-            for p in list(self)[REMEMBERED:]:  # the first met are the frequent ones
-                del self[p]
-        return coded
 
 
 def _pieces_of(text: str) -> list[str]:

@@ -347,3 +347,25 @@ def test_context_tells_more_than_word_frequencies(spark):
 
     untrained, trained = mean(0), mean(L.ROUNDS)
     assert abs(untrained - frequencies) < 0.05 and trained - frequencies > 0.15
+
+
+def test_letters_and_their_signs_skip_the_pre_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        pieces, whole = records.Pieces(Tokenizer.from_str(f.read()), "<u2"), Tokenizer.from_file(path)
+    plain = "Wort wort, größe. ÉTÉ!? ñandú.\nOtra Ende.%%%\nNeu, a\nb ßß:-) жар;"
+    odd = [
+        "don't can't. it's's 'quote' x'. x'\n", "a.\n\nb a\n b a \nb a.\r\nb \n a\n", "x1 1x ab12. a_b _a a.b a-b\nc ", "a<|endoftext|> b <|endoftext|>. a.<|endoftext|>",
+        "  two  spaces ", "汉 漢字。 字.\n字 a", "\u00aab \u2126 e\u0301 \u0905\u093f \u01c5 \u00b2 \u2160 \u200bz z\u00ad. \u00a0n\u00a0m", "w" * 70 + " " + "v" * 70 + ". " + "ab" + "!" * 80, "", None,
+    ]
+    want = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u2").tobytes() for t in (plain, *odd)]
+    for _ in range(2):
+        assert pieces.coded([plain, *odd], b"\2\0") == want
+    pieces.clear()
+    asked, ids = [], pieces.ids
+    pieces.ids = lambda text: asked.append(text) or ids(text)
+    pieces.coded([plain], b"")
+    assert not [t for t in asked if any(c.isalpha() for c in t)]
