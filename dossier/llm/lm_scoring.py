@@ -61,7 +61,10 @@ SQUARES = 1e-7
 #: Distinct words that a task counts before it passes the counts on.
 _COUNTED = 200_000
 _PIECE = 4096
+#: Largest logit whose exponential is taken as it is; 64 of them must be a number of 32 bits.
+MOST_LOGIT = 80
 _EDGE = VOCABULARY
+_ONES = np.ones(GROUPS, np.float32)
 _PLACES = tuple(o for o in range(-REACH, REACH + 1) if o)
 
 
@@ -124,12 +127,19 @@ class Network:
         np.tanh(total, out=hidden[:, :-1])
         return hidden
 
+    def _bounded(self) -> bool:
+        """Whether no logit can leave the range where its exponential is exact enough in 32 bits;
+        hidden units lie between -1 and 1."""
+        return all(np.abs(self.parts[k]).sum(-2).max() < MOST_LOGIT for k in ("group", "inner"))
+
     @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
+    def _exps(logits: np.ndarray, bounded: bool) -> np.ndarray:
+        """Exponentials in place of the logits, less the largest of a row where they may be large;
+        their sums."""
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
+        return np.matmul(logits, _ONES)
 
     def run(self, targets: np.ndarray, contexts: np.ndarray, learn: bool) -> np.ndarray:
         """Log-probability of each target; with ``learn`` also one gradient step.
@@ -142,15 +152,18 @@ class Network:
         groups, inner = targets % GROUPS, targets // GROUPS
         h, rows = self._hidden(contexts), np.arange(n)
         by_group, by_inner = self._room("by_group", n, GROUPS), self._room("by_inner", n, GROUPS)
-        self._softmax(np.matmul(h, p["group"], out=by_group))
+        bounded = self._bounded()
+        group_sums = self._exps(np.matmul(h, p["group"], out=by_group), bounded)
         bounds = np.searchsorted(groups, np.arange(GROUPS + 1))
         spans = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
         for g, s in spans:
             np.matmul(h[s], p["inner"][g], out=by_inner[s])
-        self._softmax(by_inner)
+        inner_sums = self._exps(by_inner, bounded)
         logs = np.empty(n)
-        logs[order] = np.log(by_group[rows, groups]) + np.log(by_inner[rows, inner])
+        logs[order] = np.log(by_group[rows, groups] / group_sums) + np.log(by_inner[rows, inner] / inner_sums)
         if learn:
+            by_group *= (1 / group_sums)[:, None]
+            by_inner *= (1 / inner_sums)[:, None]
             by_group[rows, groups] -= 1
             by_inner[rows, inner] -= 1
             units, steps = h[:, :-1], self.steps

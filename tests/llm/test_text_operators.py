@@ -276,6 +276,22 @@ def test_lm_scores_equal_brute_force(spark, odd, nothing):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
+def test_lm_takes_the_largest_logit_off_where_it_may_be_large():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, lm_scoring.VOCABULARY, 300)
+    contexts = lm_scoring.windows_of(ids, np.array([300]))
+    net = lm_scoring.Network()
+    assert net._bounded() and np.isfinite(net.run(ids, contexts, learn=True)).all()
+    small = net.run(ids, contexts, learn=False)
+    net.parts["group"][-1] += 500  # a bias that all groups share changes nothing
+    net.parts["inner"][:, -1] -= 500
+    assert not net._bounded()
+    assert np.allclose(net.run(ids, contexts, learn=False), small, atol=1e-3)
+    assert np.isfinite(net.run(ids, contexts, learn=True)).all()
+    net.parts["group"][0, 0] = np.nan
+    assert not net._bounded()
+
+
 def test_lm_tells_words_of_one_bucket_apart(spark):
     def both(word):  # its bucket, also under the 40 buckets of old
         h = xxhash.xxh3_64_intdigest(word.encode())
