@@ -10,7 +10,7 @@ Vocabulary: all words of all documents. The most frequent ones are classes of th
 other word belongs to a bucket by its hash, and its probability is that of the bucket times
 the share of the word in the bucket's tokens. The counts are a table that grows with the
 corpus; its most frequent words are broadcast, those beyond are joined to their tokens, by
-63 bits of hash. As context, words of a bucket are alike.
+64 bits of hash. As context, words of a bucket are alike.
 
 The biases start at the counts of the classes. Training reads every token of every document
 once: in each round tasks run gradient steps on their part from common weights, and the
@@ -26,21 +26,20 @@ often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.registry import query, table
-from dossier.llm.words import text_words
+from dossier.llm.words import text_words  # noqa: F401  (the words of ``distinct_words``, for callers)
 from dossier.session import stored
 
 #: Classes of the network, 64 groups of 64; so many of them are hash buckets of words.
@@ -58,13 +57,17 @@ BATCH = 4096
 #: Where the sums of squared gradients begin; gradients are means over a batch, so those of a
 #: rare word are small, and a larger start would keep its weights where they are.
 SQUARES = 1e-7
-#: Distinct words that a task counts before it passes the counts on.
-_COUNTED = 200_000
+#: Bytes of text whose words a task tells apart at a time: to count them, as each run passes its
+#: counts on, and to number them.
+_COUNT_RUN = 8 << 20
+_NUMBER_RUN = 2 << 20
 _PIECE = 4096
 #: Largest logit whose exponential is taken as it is; 64 of them must be a number of 32 bits.
 MOST_LOGIT = 80
 _EDGE = VOCABULARY
 _ONES = np.ones(GROUPS, np.float32)
+#: Places of the numbers of each row in an embedding table.
+_CELLS = np.arange((VOCABULARY + 1) * HIDDEN).reshape(-1, HIDDEN)
 _PLACES = tuple(o for o in range(-REACH, REACH + 1) if o)
 
 
@@ -89,12 +92,12 @@ class Network:
         self.parts["group"][-1] = 0
         self.parts["inner"][:, -1] = 0
         self.squares = {k: np.full_like(v, SQUARES) for k, v in self.parts.items()}
-        self.steps = {k: np.zeros_like(self.parts[k]) for k in ("group", "inner")}
+        self.steps = {k: np.zeros_like(v) for k, v in self.parts.items()}
         self.rooms: dict[str, np.ndarray] = {}
 
-    def _room(self, name: str, n: int, width: int) -> np.ndarray:
+    def _room(self, name: str, n: int, width: int, kind: type = np.float32) -> np.ndarray:
         if name not in self.rooms or len(self.rooms[name]) < n:
-            self.rooms[name] = np.empty((n, width), np.float32)
+            self.rooms[name] = np.empty((n, width), kind)
         return self.rooms[name][:n]
 
     def expect(self, counts: np.ndarray) -> "Network":
@@ -124,7 +127,7 @@ class Network:
             total += np.take(self.parts["tables"][place], own, axis=0, out=row, mode="clip")
         hidden = self._room("hidden", n, HIDDEN + 1)
         hidden[:, -1] = 1
-        np.tanh(total, out=hidden[:, :-1])
+        hidden[:, :-1] = np.tanh(total, out=total)
         return hidden
 
     def _bounded(self) -> bool:
@@ -148,7 +151,7 @@ class Network:
         p, n = self.parts, len(targets)
         # Narrow integers are sorted by radix.
         order = np.argsort((targets % GROUPS).astype(np.uint8), kind="stable")
-        targets, contexts = targets[order], contexts[:, order]
+        targets, contexts = targets[order], np.take(contexts, order, axis=1)
         groups, inner = targets % GROUPS, targets // GROUPS
         h, rows = self._hidden(contexts), np.arange(n)
         by_group, by_inner = self._room("by_group", n, GROUPS), self._room("by_inner", n, GROUPS)
@@ -177,41 +180,79 @@ class Network:
             np.matmul(h.T, by_group, out=steps["group"])
             np.multiply(units, units, out=back)
             pull *= np.subtract(1, back, out=back)
-            for name, step in (*steps.items(), ("bias", pull.sum(0))):
-                self._step(p[name], self.squares[name], step / n)
-            # The tables of all places as one, so that each step sorts once.
-            keys = (contexts + (np.arange(len(_PLACES)) * (VOCABULARY + 1))[:, None]).ravel()
-            by_key = np.argsort(keys.astype(np.uint16 if keys.max() < 1 << 16 else np.uint32), kind="stable")
-            sorted_keys = keys[by_key]
-            first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-            moved = np.take(pull, by_key % n, axis=0, out=self._room("moved", len(keys), HIDDEN), mode="clip")
-            own, step = sorted_keys[first], np.add.reduceat(moved, first, axis=0) / n
-            t, q = (x["tables"].reshape(-1, x["tables"].shape[-1]) for x in (p, self.squares))
-            squares = q[own] + step * step
-            q[own] = squares
-            t[own] -= RATE * step / np.sqrt(squares)
+            pull.sum(0, out=steps["bias"])
+            # Each place adds the pull of a position to the row of its context in its table.
+            steps["tables"][:] = 0
+            cells, pulls = self._room("cells", n, HIDDEN, np.intp), pull.ravel()
+            for place, own in enumerate(contexts):
+                np.take(_CELLS, own, axis=0, out=cells, mode="clip")
+                np.add.at(steps["tables"][place].reshape(-1), cells.ravel(), pulls)
+            for name in p:
+                self._step(name, n)
         return logs
 
-    @staticmethod
-    def _step(value: np.ndarray, squares: np.ndarray, step: np.ndarray) -> None:
-        squares += step * step
-        value -= RATE * step / np.sqrt(squares)
+    def _step(self, name: str, n: int) -> None:
+        """Move weights by their summed gradients over ``n`` tokens; those without any stay."""
+        step, squares = self.steps[name], self.squares[name]
+        room = self._room(f"{name} step", len(step.ravel()), 1).reshape(step.shape)
+        step *= 1 / n
+        squares += np.multiply(step, step, out=room)
+        step *= RATE
+        self.parts[name] -= np.divide(step, np.sqrt(squares, out=room), out=room)
 
 
 def windows_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Context tokens of every position of joined documents; edges are tokens of their own."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    left = np.repeat(lengths, lengths) - place
-    out = np.full((len(_PLACES), len(ids)), _EDGE, np.int64)
+    # Documents lie with edge tokens before, between and behind them.
+    at = np.arange(len(ids)) + REACH * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    padded = np.full(len(ids) + REACH * (len(lengths) + 1), _EDGE, np.int64)
+    padded[at] = ids
+    out = np.empty((len(_PLACES), len(ids)), np.int64)
     for row, o in enumerate(_PLACES):
-        known = np.flatnonzero(place >= -o) if o < 0 else np.flatnonzero(left > o)
-        out[row, known] = ids[known + o]
+        np.take(padded, at + o, out=out[row], mode="clip")
     return out
 
 
-def word_hash(word: bytes) -> int:
-    """63 bits of hash under a set top bit, so that it is no number of the word table."""
-    return xxhash.xxh3_64_intdigest(word) | 1 << 63
+def word_hashes(words: pa.Array) -> np.ndarray:
+    found = map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False))
+    return np.fromiter(found, np.uint64, len(words))
+
+
+def _text_runs(batches: Iterator[pa.RecordBatch], column: int, run: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``run`` bytes of text, also over the borders of batches; a row
+    counts 16 bytes more than its text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy() + np.int64(16))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(int(np.searchsorted(ends, before + run - size)) + 1, batch.num_rows)
+            held.append(batch.slice(start, stop - start))
+            size += ends[stop - 1] - before
+            start = stop
+            if size >= run:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word among them, words of each text); words are those of
+    ``text_words``."""
+    split = pc.ascii_split_whitespace(texts)
+    lengths = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    blank = words.index(b"").as_py()
+    if blank >= 0:  # beside white space at either end, and in empty texts
+        kept = codes != blank
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+        codes = codes[kept]
+        codes -= codes > blank
+        words = words.filter(pc.not_equal(words, b""))
+    return words, codes, lengths
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -220,22 +261,15 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     The tasks count and Spark sums by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: Counter) -> pa.RecordBatch:
-            hashes = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(hashes.view(np.int64)), pa.array((hashes % np.uint64(BUCKETS)).astype(np.int32)), pa.array(seen.values(), pa.int64())],
+        for run in _text_runs(batches, 0, _COUNT_RUN):
+            words, codes, _ = distinct_words(run.column(0))
+            hashes = word_hashes(words)
+            n = np.bincount(codes, minlength=len(words))
+            yield pa.RecordBatch.from_arrays(
+                [words, pa.array(hashes.view(np.int64)), pa.array((hashes % np.uint64(BUCKETS)).astype(np.int32)), pa.array(n, pa.int64())],
                 names=["word", "hash", "bucket", "n"],
             )
 
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(text_words(text))
-                if len(seen) > _COUNTED:
-                    yield out(seen)
-                    seen = Counter()
-        yield out(seen)
-
     rows = df.select(text_col).mapInArrow(count, "word binary, hash long, bucket int, n long")
     return stored(rows.groupBy("word", "hash", "bucket").agg(F.sum("n").alias("n")))
 
@@ -264,11 +298,6 @@ def word_table(counts: DataFrame, size: int = TABLE_WORDS) -> WordTable:
     return WordTable(best.column("word").to_pylist(), classes, np.log(n / totals[classes]), totals)
 
 
-class _WordNumbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return word_hash(word)
-
-
 def encoded(df: DataFrame, id_col: str, text_col: str, table: WordTable) -> DataFrame:
     """Per row: id, its token classes (two bytes each), the sum of the log shares of the words
     in the table, the hashes of the words beyond and a number of the row's own."""
@@ -276,33 +305,35 @@ def encoded(df: DataFrame, id_col: str, text_col: str, table: WordTable) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, classes, shares, _ = known.value
-        numbers = _WordNumbers({w: i for i, w in enumerate(words)}).__getitem__
+        words = pa.array(words, pa.binary())
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            tokens, sums, rare = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = text_words(text)
-                codes = np.fromiter(map(numbers, own), np.uint64, len(own))
-                beyond = codes >= np.uint64(1 << 63)
-                ids = WORDS + (codes % np.uint64(BUCKETS)).astype(np.int64)
-                inside = codes[~beyond].astype(np.int64)
-                ids[~beyond] = classes[inside]
-                tokens.append(ids.astype("<u2").tobytes())
-                sums.append(float(shares[inside].sum()))
-                rare.append(codes[beyond].view(np.int64))
-            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            hashes = pa.array(np.concatenate(rare) if rare else [], pa.int64())
+        for run in _text_runs(batches, 1, _NUMBER_RUN):
+            own, codes, lengths = distinct_words(run.column(1))
+            places = pc.index_in(own, value_set=words)
+            beyond = places.is_null().to_numpy(zero_copy_only=False)
+            inside = places.drop_null().to_numpy()
+            hashes = np.zeros(len(own), np.uint64)
+            hashes[beyond] = word_hashes(own.filter(places.is_null()))
+            ids = WORDS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+            ids[~beyond] = classes[inside]
+            logs = np.zeros(len(own))
+            logs[~beyond] = shares[inside]
+            texts, text_of = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+            far = np.flatnonzero(beyond[codes])
+            ends = np.cumsum([0, *(2 * lengths)]).astype(np.int32)
+            far_ends = np.cumsum([0, *np.bincount(text_of[far], minlength=texts)]).astype(np.int32)
+            tokens = ids.astype("<u2")[codes]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array(tokens, pa.binary()),
-                    pa.array(sums, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(ends), hashes),
-                    pa.array(range(row, row + len(tokens)), pa.int64()),
+                    run.column(0),
+                    pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(ends), pa.py_buffer(tokens)]),
+                    pa.array(np.bincount(text_of, logs[codes], minlength=texts), pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(far_ends), pa.array(hashes[codes[far]].view(np.int64))),
+                    pa.array(range(row, row + texts), pa.int64()),
                 ],
                 names=["id", "tokens", "share", "rare", "row"],
             )
-            row += len(tokens)
+            row += texts
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -346,7 +377,7 @@ def train(tokens: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> np.nda
                     mixed_order = rng.permutation(len(ids))
                     for i in range(0, len(ids), BATCH):
                         rows = mixed_order[i : i + BATCH]
-                        net.run(ids[rows], contexts[:, rows], learn=True)
+                        net.run(ids[rows], np.take(contexts, rows, axis=1), learn=True)
                     seen += len(ids)
             if seen:
                 flat = net.flat() * np.float64(seen)
@@ -392,7 +423,7 @@ def score_documents(
                     net.run(ids[i : i + BATCH], contexts[:, i : i + BATCH], learn=False)
                     for i in range(0, len(ids), BATCH)
                 ]
-                ends = np.concatenate([[0.0], np.cumsum(np.fromiter(chain.from_iterable(logs), float, len(ids)))])
+                ends = np.cumsum(np.concatenate([[0.0], *logs]))
                 stops = np.cumsum(lengths)
                 sizes.extend(lengths.tolist())
                 sums.extend((ends[stops] - ends[stops - lengths]).tolist())

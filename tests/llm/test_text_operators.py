@@ -3,10 +3,13 @@
 import collections
 import hashlib
 import itertools
+import random
+import time
 
 import compare
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from tokenizers import Tokenizer
 
 from dossier.llm import bpe, chat_windows, decontamination, exact_dedup, jaccard_join
 from dossier.llm import lm_scoring, quality_rules, registry, substring_dedup, token_counts, warc
+from dossier.llm.words import text_words
 
 registry.load()
 
@@ -292,6 +296,68 @@ def test_lm_takes_the_largest_logit_off_where_it_may_be_large():
     assert not net._bounded()
 
 
+def test_lm_learns_by_the_gradients_of_each_position():
+    rng = np.random.default_rng(3)
+    words, places, groups, n = lm_scoring.VOCABULARY, 2 * lm_scoring.REACH, lm_scoring.GROUPS, 200
+    ids = rng.integers(0, 30, n) * 130
+    contexts = lm_scoring.windows_of(ids, np.array([0, 3, n - 3, 0]))
+    net = lm_scoring.Network()
+    old = {k: v.astype(float) for k, v in net.parts.items()}
+    net.run(ids, contexts, learn=True)
+    want = {k: np.zeros_like(v) for k, v in old.items()}
+    for i, token in enumerate(ids):
+        h = np.tanh(old["bias"] + sum(old["tables"][p, contexts[p, i]] for p in range(places)))
+        one, g, m = np.append(h, 1), token % groups, token // groups
+        a, b = np.exp(one @ old["group"]), np.exp(one @ old["inner"][g])
+        a, b = a / a.sum() - (np.arange(groups) == g), b / b.sum() - (np.arange(groups) == m)
+        pull = (old["group"][:-1] @ a + old["inner"][g, :-1] @ b) * (1 - h * h)
+        want["group"] += np.outer(one, a) / n
+        want["inner"][g] += np.outer(one, b) / n
+        want["bias"] += pull / n
+        for p in range(places):
+            want["tables"][p, contexts[p, i]] += pull / n
+    assert want["tables"][:, words].any() and not want["tables"].all()
+    for name, step in want.items():
+        moved = old[name] - lm_scoring.RATE * step / np.sqrt(lm_scoring.SQUARES + step * step)
+        assert np.allclose(net.parts[name], moved, atol=2e-5), name
+        assert (net.parts[name] == old[name])[step == 0].all()
+
+
+def test_lm_words_are_those_of_text_words():
+    rng = random.Random(4)
+    signs = " \t\n\x0b\x0c\r\x1c\x85\xa0 ab\0é\U0001f600"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(20))) if i % 9 else None for i in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 30], pa.string())}) for i in range(0, 200, 30)]
+    for size in (1, 40, 400, 1 << 20):
+        got = []
+        for run in lm_scoring._text_runs(iter(batches), 0, size):
+            words, codes, lengths = lm_scoring.distinct_words(run.column(0))
+            assert len(set(words.to_pylist())) == len(words) and set(codes) == set(range(len(words)))
+            said = iter(words.take(pa.array(codes)).to_pylist())
+            got += [list(itertools.islice(said, n)) for n in lengths]
+        assert got == [text_words(t) for t in texts]
+
+
+def test_lm_tells_words_apart_without_a_step_of_python_for_each():
+    """Text of many repeats costs less than a counter of Python's words."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 20_000, 400))) for _ in range(500)]
+    column = pa.array(texts, pa.string())
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    def plain():
+        seen = collections.Counter()
+        for text in column.to_pylist():
+            seen.update(text_words(text))
+
+    columnar = min(seconds(lambda: lm_scoring.distinct_words(column)) for _ in range(7))
+    assert columnar < min(seconds(plain) for _ in range(7))
+
+
 def test_lm_tells_words_of_one_bucket_apart(spark):
     def both(word):  # its bucket, also under the 40 buckets of old
         h = xxhash.xxh3_64_intdigest(word.encode())
